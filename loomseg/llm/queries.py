@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, simhash, token_store
+from . import embeddings, mixing, secrets, simhash, token_store
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_embeddings": embeddings.op3_embeddings,
     "op8_token_store": token_store.op8_token_store,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
