@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import embeddings, mixing, secrets, simhash, token_store
+from . import embeddings, langid, mixing, quality, secrets, simhash, token_store
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_quality": quality.op2_quality,
     "op3_embeddings": embeddings.op3_embeddings,
+    "op4_langid": langid.op4_langid,
     "op8_token_store": token_store.op8_token_store,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
