@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import embeddings, langid, mixing, quality, secrets, simhash, token_store
+from . import embeddings, langid, mixing, quality, secrets, simhash, token_store, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_quality": quality.op2_quality,
     "op3_embeddings": embeddings.op3_embeddings,
     "op4_langid": langid.op4_langid,
+    "op5_warc": warc.op5_warc,
     "op8_token_store": token_store.op8_token_store,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
+    "op5_warc": warc.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
