@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, langid, mixing, quality, secrets, simhash, token_store, warc
+from . import decontaminate, embeddings, langid, mixing, quality, secrets, simhash, suffix_dedup, token_store, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_langid": langid.op4_langid,
     "op5_warc": warc.op5_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_token_store": token_store.op8_token_store,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
