@@ -23,8 +23,8 @@ CHUNK = 256
 
 
 def tables_for(n: int, threshold: float, miss: float) -> tuple[int, int]:
-    """(bits, tables): buckets of some tens of vectors, and so many tables that a pair at the threshold is missed with probability `miss`."""
-    bits = min(24, max(4, round(math.log2(max(n, 2))) - 4))
+    """(bits, tables): buckets of about a hundred vectors, and so many tables that a pair at the threshold is missed with probability `miss`."""
+    bits = min(24, max(4, round(math.log2(max(n, 2))) - 7))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log1p(-same))
 
@@ -62,14 +62,14 @@ def _close(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray,
     return np.delete(i, drop), np.delete(j, drop)
 
 
-def link_blocks(vectors: DataFrame, threshold: float, miss: float, seed: int) -> DataFrame:
-    """(kind, a, b) from distinct vectors (rid long, many long, v binary of doubles): kind 0: a has b more links; kind 1: a and b are connected."""
+def link_blocks(vectors: DataFrame, dtype: str, threshold: float, miss: float, seed: int) -> DataFrame:
+    """(kind, a, b) from distinct vectors (rid long, many long, v binary of dtype numbers): kind 0: a has b more links; kind 1: a and b are connected."""
     n = vectors.count()
     bits, tables = tables_for(n, threshold, miss)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.frombuffer(x, np.float64) for x in b.column("v").to_pylist()]
+            rows = [np.frombuffer(x, dtype).astype(np.float64) for x in b.column("v").to_pylist()]
             codes: list = [None] * len(rows)
             for dim in {len(r) for r in rows}:
                 at = [i for i, r in enumerate(rows) if len(r) == dim]
@@ -84,9 +84,10 @@ def link_blocks(vectors: DataFrame, threshold: float, miss: float, seed: int) ->
     full = stored(rows.groupBy(*key).agg(F.count("*").alias("n")).filter(f"n > {CHUNK}").select(*[F.col(k).alias(f"f_{k}") for k in key], F.ceil(F.col("n") / CHUNK).alias("chunks")), "full")
     met = rows.join(full, [F.col(k) == F.col(f"f_{k}") for k in key], "left")
     met = met.withColumn("chunk", F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("rid"), F.col("chunks"))))
-    chunks = met.groupBy(*key, "chunk").agg(F.collect_list(F.struct("rid", "many", "v")).alias("x"), F.first("chunks").alias("chunks"))
-    chunks = stored(chunks.filter("chunks IS NOT NULL OR size(x) > 1"), "chunks")
-    many = chunks.filter("chunks IS NOT NULL").drop("chunks")
+    entry = F.struct("rid", "many", "v")
+    chunks = met.groupBy(*key, "chunk").agg(F.collect_list(entry).alias("x")).filter("size(x) > 1")
+    # only vectors of full buckets move again, to meet their bucket's other chunks
+    many = met.filter("chunks IS NOT NULL").groupBy(*key, "chunk").agg(F.collect_list(entry).alias("x"))
     other = many.select(*key, F.col("chunk").alias("chunk_b"), F.col("x").alias("y"))
     pairs = many.join(other, key).filter("chunk < chunk_b").select("t", "dim", "x", "y")
     blocks = chunks.select("t", "dim", "x", F.lit(None).cast(chunks.schema["x"].dataType).alias("y")).union(pairs)
@@ -95,7 +96,7 @@ def link_blocks(vectors: DataFrame, threshold: float, miss: float, seed: int) ->
         x = col[k]
         if x is None:
             return None
-        v = np.frombuffer(b"".join(e["v"] for e in x), np.float64).reshape(len(x), -1)
+        v = np.frombuffer(b"".join(e["v"] for e in x), dtype).reshape(len(x), -1).astype(np.float64)
         return np.array([e["rid"] for e in x], np.int64), np.array([e["many"] for e in x], np.int64), _unit(v)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,16 +144,18 @@ def embedding_links(
     vectors of their own. A pair at the threshold is missed with probability `miss`, a closer one far less often.
     """
 
+    dtype = "<f4" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [None if a is None else (a + 0.0).tobytes() for a in _usable(b.column("v").to_pylist())]
+            got = [None if a is None else (a + 0.0).astype(dtype).tobytes() for a in _usable(b.column("v").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(got, pa.binary())], ["vec_id", "v"])
 
     rows = stored(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).mapInArrow(packed, "vec_id long, v binary").withColumn("rid", F.xxhash64("v", F.octet_length("v"))), "vectors")
     usable = rows.filter("v IS NOT NULL")
     # rid: 64-bit hash of the vector; the smallest id of each copy group names it afterwards
     nodes = stored(usable.groupBy("rid", "v").agg(F.count("*").alias("many"), F.min("vec_id").alias("first")), "nodes")
-    found = stored(link_blocks(nodes.select("rid", "many", "v"), threshold, miss, seed), "found")
+    found = stored(link_blocks(nodes.select("rid", "many", "v"), dtype, threshold, miss, seed), "found")
     links = found.filter("kind = 0").groupBy(F.col("a").alias("lid")).agg(F.sum("b").alias("links"))
     comps = stored(connected_components(found.filter("kind = 1").select("a", "b")), "components")
     placed = nodes.select("rid", "many", "first").join(comps, F.col("rid") == F.col("node"), "left").join(stored(links, "links"), F.col("rid") == F.col("lid"), "left")
