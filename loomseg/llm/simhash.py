@@ -1,13 +1,16 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint's 64 bits are cut into segments. Two fingerprints within the radius differ in some segment by at most
-radius // segments bits, so each fingerprint enumerates that small Hamming ball of every segment,
-fetches what the segment's table holds there, and verifies whole distances.
+A fingerprint's bits are cut into segments. Two fingerprints close enough differ in some segment by a bit or none, so each
+fingerprint enumerates that small Hamming ball of every segment, fetches what the segment's table holds there, and
+verifies whole distances. Where radius < 2 * segments some segment must be so close, and nothing within the radius is missed;
+looser similarities take more bits and more segments, by a stated probability of missing a pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -21,85 +24,117 @@ from .shared import bounded_batches, stored, utf8_column
 
 #: Members of a table's entry that stand in one row; a fuller entry is dealt to several rows.
 ENTRY = 256
+#: Shingles that are hashed at once.
+PIECE = 255 * 64
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
-    """The SimHash of a text's word shingles: bit set if it is in over half the XXH64 values; 0 without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    joined = b" ".join(words)
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lens + 1) - 1
-    starts = ends - lens
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    spans = list(zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True))
-    for i in range(0, len(spans), 1 << 15):
-        h = np.array([digest(joined[s:e], seed) for s, e in spans[i : i + (1 << 15)]], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(spans), bitorder="little").view("<u8")[0])
+@dataclass(frozen=True)
+class Index:
+    """Of how many 64-bit words a fingerprint is, its segments (word, offset, bits), the balls' radius and the largest distance linked."""
+
+    words: int = 1
+    segments: tuple[tuple[int, int, int], ...] = ((0, 0, 21), (0, 21, 21), (0, 42, 22))
+    ball: int = 1
+    radius: int = 4
+
+
+def index_for(n: int, share: float, miss: float, ball: int = 1) -> Index:
+    """An index for n fingerprints of which pairs differ in up to `share` of their bits.
+
+    Segments have about log2(n) bits, so that an entry holds few, and are so many that a pair at `share` is met in none of them
+    with probability `miss`.
+    """
+    bits = min(32, max(16, math.ceil(math.log2(max(n, 2))) - 2))
+    met = sum(math.comb(bits, r) * share**r * (1 - share) ** (bits - r) for r in range(ball + 1))
+    many, each = math.ceil(math.log(miss) / math.log1p(-met)), 64 // bits
+    words = -(-many // each)
+    return Index(words, tuple((k // each, k % each * bits, bits) for k in range(many)), ball, int(share * 64 * words))
+
 
+def fingerprint(text: bytes, width: int = 4, seed: int = 42, words: int = 1) -> np.ndarray:
+    """The SimHash of a text's word shingles: a bit is set if it is in over half the hashes; all 0 without words.
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fp long): fp has the fingerprint's bits as a signed number. Null text counts as empty. No other column is read."""
+    The first word's hashes are XXH64; a further word's are mixed from them.
+    """
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros(words, "<u8")
+    joined = b" ".join(tokens)
+    if len(tokens) <= width:
+        spans = [(0, len(joined))]
+    else:
+        lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ends = np.cumsum(lens + 1) - 1
+        spans = list(zip((ends - lens)[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True))
+    digest = xxhash.xxh64_intdigest
+    ones = np.zeros(64 * words, np.int64)
+    for i in range(0, len(spans), PIECE):
+        h = np.array([digest(joined[s:e], seed) for s, e in spans[i : i + PIECE]], "<u8")
+        every = np.empty((len(h), words), "<u8")
+        every[:, 0] = h
+        for k in range(1, words):
+            x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            every[:, k] = x ^ (x >> np.uint64(31))
+        bits = np.unpackbits(every.view(np.uint8), axis=1, bitorder="little")
+        full = len(bits) // 255 * 255  # so many ones fit a byte
+        ones += bits[:full].reshape(-1, 255, 64 * words).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        ones += bits[full:].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(spans), bitorder="little").view("<u8")
+
+
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, fp array<long>): fp has the fingerprint's words as signed numbers. Null text counts as empty. No other column is read."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, width, seed) for t in utf8_column(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(np.array(fps, "<u8").view("<i8"))], ["doc_id", "text_hash", "fp"])
+            fps = [fingerprint(t, width, seed, words).view("<i8") for t in utf8_column(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp"])
 
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
-
-
-def _segments(n: int) -> list[tuple[int, int]]:
-    """(offset, bits) of n segments."""
-    edges = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp array<long>")
 
 
-def near_links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
-    """(a, b): links that connect whatever fingerprints (column fp, distinct) within `radius` bits connect.
+def near_links(fps: DataFrame, index: Index = Index()) -> DataFrame:
+    """(a, b) by id: links that connect whatever fingerprints (id long, fp array<long>; distinct) the index connects.
 
     Of the two ends of a pair, the one whose lowest flipped bit is 0 probes, so a pair is met once a segment. Entries
     of a table over ENTRY members are dealt to rows of about so many: a probe then meets a few rows, each verified
     by one expression, and what they match is contracted to a forest where it lies. No entry is capped.
     """
-    ball = radius // segments
-    cut = _segments(segments)
 
     def value(k):
-        off, bits = cut[k]
-        return F.shiftrightunsigned(F.col("fp"), off).bitwiseAND(F.lit((1 << bits) - 1))
-
-    table = fps.select("fp", F.posexplode(F.array(*[value(k) for k in range(segments)])).alias("seg", "key"))
-    full = stored(table.groupBy("seg", "key").agg(F.count("*").alias("n")).filter(f"n > {ENTRY}").select(F.col("seg").alias("fs"), F.col("key").alias("fk"), F.ceil(F.col("n") / ENTRY).alias("rows")), "full")
-    dealt = table.join(full, (F.col("seg") == F.col("fs")) & (F.col("key") == F.col("fk")), "left")
-    dealt = dealt.withColumn("row", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp", F.lit(7)), F.col("rows"))))
-    entries = dealt.groupBy("seg", "key", "row").agg(F.collect_list("fp").alias("held"))
+        word, off, bits = index.segments[k]
+        return F.shiftrightunsigned(F.element_at("fp", word + 1), off).bitwiseAND(F.lit((1 << bits) - 1))
 
     def probes(k):
-        _, bits = cut[k]
-        flips = [sum(1 << x for x in c) for r in range(1, ball + 1) for c in combinations(range(bits), r)]
+        bits = index.segments[k][2]
+        flips = [sum(1 << x for x in c) for r in range(1, index.ball + 1) for c in combinations(range(bits), r)]
         own = F.array(F.struct(F.lit(k).alias("seg"), value(k).alias("key"), F.lit(True).alias("same")))
         if not flips:
             return own
         masks = F.filter(F.array(*[F.lit(m).cast("long") for m in flips]), lambda m: value(k).bitwiseAND(m).bitwiseAND(-m) == 0)
         return F.concat(own, F.transform(masks, lambda m: F.struct(F.lit(k).alias("seg"), value(k).bitwiseXOR(m).alias("key"), F.lit(False).alias("same"))))
 
-    probing = fps.select("fp", F.explode(F.concat(*[probes(k) for k in range(segments)])).alias("p")).select("fp", "p.*")
+    every = range(len(index.segments))
+    table = fps.select("id", "fp", F.posexplode(F.array(*[value(k) for k in every])).alias("seg", "key"))
+    counts = fps.select(F.posexplode(F.array(*[value(k) for k in every])).alias("fs", "fk")).groupBy("fs", "fk").agg(F.count("*").alias("n"))
+    full = stored(counts.filter(f"n > {ENTRY}").select("fs", "fk", F.ceil(F.col("n") / ENTRY).alias("rows")), "full")
+    dealt = table.join(full, (F.col("seg") == F.col("fs")) & (F.col("key") == F.col("fk")), "left")
+    dealt = dealt.withColumn("row", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("rows"))))
+    entries = dealt.groupBy("seg", "key", "row").agg(F.collect_list(F.struct("id", "fp")).alias("held"))
+    probing = fps.select("id", "fp", F.explode(F.concat(*[probes(k) for k in every])).alias("p")).select("id", "fp", "p.*")
+    apart = " + ".join(f"bit_count(x.fp[{w}] ^ fp[{w}])" for w in range(index.words))
     near = probing.join(entries, ["seg", "key"]).select(
-        "fp", F.expr(f"filter(held, x -> bit_count(x ^ fp) <= {radius} AND (NOT same OR x > fp))").alias("near")
+        "id", F.expr(f"transform(filter(held, x -> {apart} <= {index.radius} AND (NOT same OR x.id > id)), x -> x.id)").alias("near")
     )
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, lists = b.column("fp").to_numpy(), b.column("near")
+            own, lists = b.column("id").to_numpy(), b.column("near")
             many = lists.value_lengths().to_numpy(zero_copy_only=False)
             x, y = np.repeat(own, many), lists.flatten().to_numpy(zero_copy_only=False)
             for i in range(0, len(x), BLOCK):
@@ -108,39 +143,39 @@ def near_links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     return near.filter(F.size("near") > 0).mapInArrow(contract, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable by links, itself included).
+def simhash_components(docs: DataFrame, index: Index = Index(), width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fp array<long>, component_id (the smallest doc_id reachable by links, itself included).
 
     Documents of one fingerprint are one node, so a group of copies costs one row. Empty and null texts
     have fingerprint 0 and are linked like any other. Null ids keep their row; they give a component its id only where it
     has no other. Repeated rows come back repeated; an empty table gives no rows. Extra columns are not read.
     """
-    own, named = _named(docs, radius, segments, width, seed, id_col, text_col)
-    return own.join(named, own["fp"] == named["node"]).select("doc_id", own["fp"], F.col("least").alias("component_id"))
+    own, named = _named(docs, index, width, seed, id_col, text_col)
+    return own.join(named, own["node"] == named["id"]).select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
-def _named(docs, radius, segments, width, seed, id_col, text_col) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows, and per fingerprint (node) its component (c) and that one's smallest id (least)."""
-    own = stored(fingerprints(docs, width, seed, id_col, text_col), "fingerprints")
-    nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    comps = stored(connected_components(near_links(nodes.select("fp"), radius, segments)), "components")
-    placed = stored(nodes.join(comps, nodes["fp"] == comps["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c")), "placed")
+def _named(docs, index, width, seed, id_col, text_col) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and per fingerprint (id) its component (c) and that one's smallest doc_id (least)."""
+    node = F.col("fp")[0] if index.words == 1 else F.xxhash64("fp")
+    own = stored(fingerprints(docs, width, seed, index.words, id_col, text_col).withColumn("node", node), "fingerprints")
+    nodes = stored(own.groupBy(F.col("node").alias("id"), "fp").agg(F.min("doc_id").alias("first")), "nodes")
+    comps = stored(connected_components(near_links(nodes.select("id", "fp"), index)), "components")
+    placed = stored(nodes.join(comps, nodes["id"] == comps["node"], "left").select("id", "first", F.coalesce("component", "id").alias("c")), "placed")
     smallest = stored(placed.groupBy(F.col("c").alias("k")).agg(F.min("first").alias("least")), "smallest")
-    named = placed.join(smallest, F.col("c") == F.col("k")).select(F.col("fp").alias("node"), "c", "least")
-    return own, stored(named, "named")
+    return own, stored(placed.join(smallest, F.col("c") == F.col("k")).select("id", "c", "least"), "named")
 
 
 def simhash_dedup(
-    docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, index: Index = Index(), width: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The documents without near copies, with their own columns: of each component one row stays.
 
     It is the row with the smallest id (null last), then the smallest hash of the text; of equal rows one stays.
     Texts move once, to meet the kept keys.
     """
-    own, named = _named(docs, radius, segments, width, seed, id_col, text_col)
+    own, named = _named(docs, index, width, seed, id_col, text_col)
     kept = (
-        own.join(named, own["fp"] == named["node"])
+        own.join(named, own["node"] == named["id"])
         .groupBy("c")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
         .select(F.col("k.doc_id").alias("kd"), F.col("k.text_hash").alias("kh"))
@@ -152,4 +187,4 @@ def simhash_dedup(
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     found = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")

@@ -56,7 +56,7 @@ def test_dense_group_of_close_fingerprints(spark):
         fps.add(x)
     fps |= {rng.getrandbits(64) for _ in range(300)}
     signed = np.array(sorted(fps), "<u8").view("<i8").tolist()
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()
+    links = simhash.near_links(spark.createDataFrame([(x, [x]) for x in signed], "id long, fp array<long>")).collect()
     a, b = (np.array([r[i] for r in links]) for i in (0, 1))
     assert all((int(x) ^ int(y)) & (1 << 64) - 1 for x, y in zip(a, b, strict=True))
     got = dict(zip(*(v.tolist() for v in forest(a, b)), strict=True))
@@ -85,3 +85,20 @@ def test_components_of_a_path_and_a_star(spark):
     got = dict(connected_components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect())
     assert got == {i: 100 for i in range(100, 401)} | {i: 1 for i in [1, *range(500, 900)]} | {900: 900, 901: 900}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_loose_similarity(spark):
+    rng = random.Random(2)
+    docs, groups = [], []
+    for g in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(150, 500))]
+        for k in range(3):
+            own = list(words)
+            for _ in range(len(own) * k // 100):  # a changed word breaks five shingles
+                own[rng.randrange(len(own))] = "x"
+            docs.append((len(docs), " ".join(own)))
+            groups.append(g)
+    index = simhash.index_for(len(docs), 0.18, 0.01)
+    got = {r.doc_id: r.component_id for r in simhash.simhash_components(spark.createDataFrame(docs, "doc_id long, text string"), index, 5).collect()}
+    want = {i: 3 * groups[i] for i in range(len(docs))}
+    assert sum(got[i] != want[i] for i in want) <= 2 and all(groups[got[i]] == groups[i] for i in want)
