@@ -39,10 +39,10 @@ def _folding() -> np.ndarray:
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts, each after ORDER - 1 spaces, and each text's number of symbols without them; runs of other characters are one space."""
-    raw = np.frombuffer("\0".join(texts).lower().encode("utf-32-le", "replace"), "<u4") if texts else np.zeros(0, "<u4")
-    lens = np.array([len(t.lower()) for t in texts])
-    owner = np.repeat(np.arange(len(texts)), lens + 1)[: len(raw)]
+    """Symbols of all texts, each after ORDER - 1 spaces, and each text's number of symbols without them; runs of other characters are one space, and so is a text's end."""
+    low = [t.lower() for t in texts]
+    raw = np.frombuffer("".join(t + "\0" for t in low).encode("utf-32-le", "replace"), "<u4")
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in low])
     s = _folding()[raw]
     gap = s == SPACE
     first = np.ones(len(s), bool)
