@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op5_warc": warc.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op10_secrets": secrets.OP10_SQL,
 }

@@ -138,3 +138,41 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
         F.sha2(_joined(F.filter("spans", lambda x: x["kind"] != "entropy")), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
     )
+
+
+# The same in SQL: runs of the plain alphabets, filtered afterwards where Java's patterns look around.
+_ASSIGN_SQL = ASSIGN.replace("'", "''")
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (
+  SELECT doc_id, text, 0 AS k, 'assign' AS kind, '{_ASSIGN_SQL}' AS r, 2 AS g FROM d UNION ALL
+  SELECT doc_id, text, 1, 'access', 'AKIA[A-Z0-9]{{16,}}', 0 FROM d UNION ALL
+  SELECT doc_id, text, 2, 'hex', '[0-9a-f]{{24,}}', 0 FROM d UNION ALL
+  SELECT doc_id, text, 3, 'entropy', '[A-Za-z0-9+/_=-]{{20,}}', 0 FROM d),
+m AS (
+  SELECT doc_id, k, kind, CASE k WHEN 0 THEN regexp_extract_all(text, '{_ASSIGN_SQL}', 0) WHEN 1 THEN regexp_extract_all(text, 'AKIA[A-Z0-9]{{16,}}', 0)
+      WHEN 2 THEN regexp_extract_all(text, '[0-9a-f]{{24,}}', 0) ELSE regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{20,}}', 0) END AS hits,
+    CASE k WHEN 0 THEN regexp_split_to_array(text, '{_ASSIGN_SQL}') WHEN 1 THEN regexp_split_to_array(text, 'AKIA[A-Z0-9]{{16,}}')
+      WHEN 2 THEN regexp_split_to_array(text, '[0-9a-f]{{24,}}') ELSE regexp_split_to_array(text, '[A-Za-z0-9+/_=-]{{20,}}') END AS gaps,
+    CASE k WHEN 0 THEN regexp_extract_all(text, '{_ASSIGN_SQL}', 2) END AS tests
+  FROM f),
+u AS (SELECT doc_id, k, kind, unnest(hits) AS h, unnest(gaps[1:len(hits)]) AS gap, unnest(coalesce(tests, hits)) AS t, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+p AS (SELECT *, (sum(length(gap) + length(h)) OVER (PARTITION BY doc_id, k ORDER BY i))::BIGINT AS e FROM u),
+s AS (SELECT doc_id, k, kind, h, e - length(h) AS s, e FROM p WHERE k > 0 OR length(t) >= 6),
+base AS (SELECT * FROM s WHERE k < 3),
+w AS (
+  SELECT c.doc_id, c.s, c.e, c.h, max(list_aggregate(string_split(substr(c.h, n::INT, 20), ''), 'entropy')) AS bits
+  FROM (SELECT *, unnest(range(1, length(h) - 18)) AS n FROM s WHERE k = 3 AND regexp_matches(h, '[0-9]') AND regexp_matches(h, '[A-Za-z]')) c GROUP BY ALL),
+added AS (
+  SELECT w.doc_id, 3 AS k, 'entropy' AS kind, h, s, e FROM w
+  WHERE bits > CASE WHEN regexp_matches(h, '^[0-9a-fA-F]+$') THEN {THRESHOLDS["hex"]} WHEN regexp_matches(h, '^[A-Za-z0-9]+$') THEN {THRESHOLDS["alnum"]} ELSE {THRESHOLDS["base64"]} END
+    AND NOT ({" OR ".join(f"regexp_matches(h, '{a}')" for a in ALLOW)})
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
+spans AS (SELECT doc_id, k, kind, s, e FROM base UNION ALL SELECT doc_id, k, kind, s, e FROM added),
+j AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j ON d.doc_id = j.doc_id
+"""
