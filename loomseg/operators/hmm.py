@@ -147,11 +147,22 @@ def posterior_decode(gamma: np.ndarray) -> np.ndarray:
 # over DataFrames
 
 
+def _codes(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of some columns, and each row's place among them."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        u, at = np.unique(c, return_inverse=True)
+        code = code * len(u) + at
+        _, code = np.unique(code, return_inverse=True)  # stays dense whatever the columns are
+    first = np.zeros(code.max(initial=-1) + 1, np.int64)
+    first[code] = np.arange(len(code))
+    return [c[first] for c in columns], code
+
+
 def _likelihood(model: Model, pdf: pd.DataFrame, k: str) -> np.ndarray:
     """Evaluated once for each distinct (count, scale)."""
-    pairs = np.stack([pdf[k].to_numpy(float), pdf["scale"].to_numpy(float)], axis=1)
-    u, at = np.unique(pairs, axis=0, return_inverse=True)
-    return np.stack([d.log_likelihood(u[:, 0], u[:, 1]) for d in model.emissions], axis=1)[at.ravel()]
+    (ks, ss), at = _codes([pdf[k].to_numpy(float), pdf["scale"].to_numpy(float)])
+    return np.stack([d.log_likelihood(ks, ss) for d in model.emissions], axis=1)[at]
 
 
 def decode(bins: DataFrame, model: Model, k: str = "reads", posterior: bool = False) -> DataFrame:
@@ -181,9 +192,8 @@ def expectations(bins: DataFrame, model: Model, k: str, pair: tuple[str, str] |
         ll = _likelihood(model, pdf, k)
         gamma, total = posteriors(model, ll)
         moves = transition_posteriors(model, ll).sum(axis=0).ravel()
-        own = pdf[values].astype(float).reset_index(drop=True)
-        sums = pd.concat([own, pd.DataFrame(gamma, columns=[f"g{i}" for i in range(n)])], axis=1).groupby(values, as_index=False).sum()
-        sums["kind"] = 0
+        distinct, at = _codes([pdf[v].to_numpy(float) for v in values])
+        sums = pd.DataFrame({"kind": 0} | dict(zip(values, distinct, strict=True)) | {f"g{i}": np.bincount(at, gamma[:, i]) for i in range(n)})
         head = pd.DataFrame([dict.fromkeys(values, 0.0) | {f"g{i}": 0.0 for i in range(n)} | {"kind": 1 + i, "g0": m} for i, m in enumerate([*moves, total])])
         return pd.concat([sums, head])[["kind", *values, *[f"g{i}" for i in range(n)]]]
 
