@@ -232,6 +232,12 @@ def half_mass_split(spark, d):
     return stats.half_mass_split(ad.table(spark, d, "supplier"), "s_acctbal", "s_suppkey").select("s_suppkey", "top")
 
 
+@query("""WITH o AS (SELECT s_suppkey, coalesce(sum(abs(s_acctbal)) OVER (ORDER BY s_acctbal DESC, s_suppkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead, ceil(sum(abs(s_acctbal)) OVER () / 3) AS third FROM supplier),
+f AS (SELECT min(ahead) AS first FROM o WHERE ahead >= third) SELECT s_suppkey, CASE WHEN ahead < third THEN 0 WHEN ahead - first < third THEN 1 ELSE 2 END AS part FROM o, f""")
+def third_mass_split(spark, d):
+    return stats.third_mass_split(ad.table(spark, d, "supplier"), "s_acctbal", "s_suppkey").select("s_suppkey", "part")
+
+
 @query("SELECT (SELECT list_sort(list(c_acctbal))[(floor(count(*) * 0.95 + 1e-9))::BIGINT + 1] FROM customer) AS cutoff")
 def percentile_cutoff(spark, d):
     return spark.createDataFrame([(stats.percentile_cutoff(ad.table(spark, d, "customer"), "c_acctbal"),)], "cutoff double")
@@ -551,6 +557,23 @@ def kmer_index(spark, d):
     return k.filter(fx.index_kmer(F.col("idx"), 4) == F.col("kmer"))
 
 
+@query(f"""WITH {ad.SEQS} SELECT name, substr(seq, (6 + name::INT % 7)::INT, 12) AS fwd, {RC.format("substr(seq, (6 + name::INT % 7)::INT, 12)")} AS rev FROM seqs""")
+def extract_sequences(spark, d):
+    """Bases under regions, complemented on the other strand."""
+    s = ad.seqs(spark, d)
+    start = (5 + F.col("name").cast("int") % 7).cast("long")
+    regions = s.select(F.col("name").alias("chrom"), start.alias("start"), (start + 12).alias("end"), F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"))
+    got = text.extract_sequences(regions, s)
+    one = lambda x: F.max(F.when(F.col("strand") == x, F.col("seq")))
+    return got.groupBy(F.col("chrom").alias("name")).agg(one("+").alias("fwd"), one("-").alias("rev"))
+
+
+@query(f"WITH {ad.SEQS} SELECT name, seq AS called FROM seqs")
+def base_calls(spark, d):
+    """Bases to error probabilities and back."""
+    return ad.seqs(spark, d).select("name", fx.call_bases(fx.error_matrix(F.col("seq"))).alias("called"))
+
+
 # alignments made of lineitem
 
 SAM = """sam AS (SELECT 'r' || l_orderkey || '_' || l_linenumber AS qname, ((l_suppkey * 37 + l_partkey) % 2048)::INT AS flag, l_returnflag || l_linestatus AS rname,
@@ -599,6 +622,18 @@ def depth(spark, d):
     return alignments.depth(sam_lineitem(spark, d), 50)
 
 
+@query(f"""WITH {SAM}, ok AS (SELECT * FROM sam WHERE mapq >= 58 AND flag & 4 = 0), c AS (SELECT rname, unnest(range(pos, pos + q)) AS pos FROM ok UNION ALL SELECT rname, unnest(range(pos + q + 2, pos + q + 7)) FROM ok)
+SELECT rname, pos::BIGINT AS pos, count(*) AS depth, repeat('A', count(*)) AS bases FROM c GROUP BY ALL""")
+def pileup(spark, d):
+    return alignments.pileup(sam_lineitem(spark, d).filter("mapq >= 58"))
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def sam_count(spark, d):
+    """Count mode of the alignment view."""
+    return spark.createDataFrame([(alignments.view(sam_lineitem(spark, d)).count(),)], "n long")
+
+
 @query(f"WITH {SAM} SELECT qname, pos::BIGINT AS start, (pos + q + 7)::BIGINT AS \"end\", CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END AS strand, mapq::DOUBLE AS score FROM sam WHERE flag & 4 = 0")
 def sam_intervals(spark, d):
     return text.sam_intervals(sam_lineitem(spark, d)).select(F.col("name").alias("qname"), "start", "end", "strand", "score")
@@ -621,5 +656,22 @@ def streamed_bins(spark, d):
     return live.stream_counts(spark, d, STEP)
 
 
+@query("""WITH o AS (SELECT event_type AS chrom, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY ts) AS i FROM o) SELECT chrom, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1800000000 AS "end", count(*) AS n FROM s GROUP BY chrom, i""")
+def streamed_sessions(spark, d):
+    """Regions of a stream: a gap of half an hour begins the next."""
+    return live.stream_sessions(spark, d, "30 minutes")
+
+
+@query()
+def binsize_empirical(spark, d):
+    """The size with the lowest cost by ternary search; rounding is by a seeded hash, so there is no SQL for it."""
+    r = ad.reads_lineitem(spark, d)
+    base = binning.load_bins({"reads": r}, ad.chroms_lineitem(spark), 50).persist()
+    size = binsize.hideaki_empirical(base, 50)
+    base.unpersist()
+    return spark.createDataFrame([(size,)], "size long")
+
+
 #: Queries that bench.py times.
 HEADLINE = ["bin_counts", "desert_regions", "interval_overlap_join", "interval_nearest", "viterbi_2s", "domains_single", "domains_control", "domains_two_samples", "kmer_duplicates", "depth"]

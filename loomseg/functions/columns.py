@@ -68,6 +68,26 @@ def bisulfite_partly(seq: Column, key: Column, rate: float, seed: int = 0) -> Co
     return F.array_join(F.transform(F.split(seq, ""), one), "")
 
 
+def sequencing_errors(seq: Column, key: Column, rate: float, seed: int = 0) -> Column:
+    """Each base is misread as one of the three others with the given probability, by a seeded hash of the key and its place; N stays."""
+    draw = lambda i, salt: F.pmod(F.xxhash64(key, i, F.lit(seed), F.lit(salt)), F.lit(1 << 30))
+    other = lambda c, i: F.substring(F.lit("ACGTACG"), base_code(c) + 2 + (draw(i, 1) % 3).cast("int"), F.lit(1))
+    one = lambda c, i: F.when((base_code(c) < 4) & (draw(i, 0) < int(rate * (1 << 30))), other(c, i)).otherwise(c)
+    return F.array_join(F.transform(F.split(seq, ""), one), "")
+
+
+def error_matrix(seq: Column, error: float = 1e-4) -> Column:
+    """array<array<double>>: a base's row has 1 - 3 error at its own place and error at the others; N is even."""
+    row = lambda c: F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.when(base_code(c) == 4, 0.25).when(base_code(c) == i, 1 - 3 * error).otherwise(error))
+    return F.transform(F.split(seq, ""), row)
+
+
+def call_bases(matrix: Column) -> Column:
+    """The base of more than half the probability in each row, else N."""
+    best = lambda r: F.when(F.array_max(r) > 0.5, F.substring(F.lit("ACGT"), F.array_position(r, F.array_max(r)).cast("int"), F.lit(1))).otherwise("N")
+    return F.array_join(F.transform(matrix, best), "")
+
+
 def base_code(base: Column) -> Column:
     """0 to 3 for A, C, G, T in either case, else 4."""
     b = F.upper(base)

@@ -30,3 +30,14 @@ def stream_counts(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
     q.awaitTermination()
     begin = 1_704_067_200
     return spark.table(name).select("chrom", F.floor((F.unix_timestamp("start") - begin) / seconds).cast("long").alias("bin"), "n")
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str, gap: str) -> DataFrame:
+    """Runs the sessions over the events table as a stream to its end; times in microseconds."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    found = sessions(stream.select(F.col("event_type").alias("chrom"), F.col("ts").cast("timestamp").alias("ts")), gap)
+    name = f"sessions_{abs(hash((sf_dir, gap))) % 10**9}"
+    q = found.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("chrom", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
