@@ -169,3 +169,15 @@ def embedding_links(
 
 def op3_embeddings(spark, sf_dir: str) -> DataFrame:
     return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT l.b, reach.c FROM reach JOIN l ON l.a = reach.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT a, min(c) AS component_id FROM reach GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
+    "op3_embeddings": embeddings.OP3_SQL,
     "op5_warc": warc.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_secrets": secrets.OP10_SQL,
