@@ -170,12 +170,12 @@ SELECT chrom, min(s) AS start, max(e) AS "end" FROM f GROUP BY chrom, i"""
 
 @query(_merge_sql(">="))
 def interval_merge(spark, d):
-    return intervals.merge(_spans(spark, d, 0), touching=False)
+    return intervals.merge(_spans(spark, d, 0), touching=False, cell=1000)
 
 
 @query(_merge_sql(">"))
 def interval_merge_touching(spark, d):
-    return intervals.merge(_spans(spark, d, 0))
+    return intervals.merge(_spans(spark, d, 0), cell=300)
 
 
 @query(_merge_sql(">"))

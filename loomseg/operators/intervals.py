@@ -26,13 +26,24 @@ def distance(a: str, b: str) -> Column:
     return F.when(F.col(f"{a}.chrom") == F.col(f"{b}.chrom"), F.when(overlaps(a, b), F.lit(0)).otherwise(gap))
 
 
-def merge(x: DataFrame, touching: bool = True) -> DataFrame:
-    """The union of intervals: overlapping ones become one, touching ones too if asked for."""
-    ahead = F.max("end").over(Window.partitionBy("chrom").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.col("start") > ahead if touching else F.col("start") >= ahead
-    marked = x.select("chrom", "start", "end", F.coalesce(apart, F.lit(True)).cast("int").alias("_new"))
-    island = F.sum("_new").over(Window.partitionBy("chrom").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("_i", island).groupBy("chrom", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
+def merge(x: DataFrame, touching: bool = True, cell: int = 1 << 22) -> DataFrame:
+    """The union of intervals: overlapping ones become one, touching ones too if asked for.
+
+    An axis is cut into cells by start, which are sorted side by side. What a cell needs of those before it, their largest end and how
+    many islands began in them, comes from running windows over one row per cell.
+    """
+    rows = x.select("chrom", "start", "end", F.floor(F.col("start") / cell).alias("_c"))
+    prior = Window.partitionBy("chrom").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy("chrom", "_c").agg(F.max("end").alias("_e")).withColumn("_e", F.max("_e").over(prior))
+    own = Window.partitionBy("chrom", "_c").orderBy("start", "end")
+    ahead = F.greatest(F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), "_e")
+    marked = rows.join(carry, ["chrom", "_c"]).withColumn("_a", ahead)
+    apart = F.col("start") > F.col("_a") if touching else F.col("start") >= F.col("_a")
+    marked = marked.withColumn("_n", F.coalesce(apart, F.lit(True)).cast("int"))
+    before = marked.groupBy("chrom", "_c").agg(F.sum("_n").alias("_s")).withColumn("_s", F.coalesce(F.sum("_s").over(prior), F.lit(0)))
+    # of equal intervals the one that begins the island comes first
+    island = F.sum("_n").over(own.orderBy("start", "end", F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_s")
+    return marked.join(before, ["chrom", "_c"]).withColumn("_i", island).groupBy("chrom", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
 
 
 def merge_by_depth(x: DataFrame) -> DataFrame:
