@@ -78,66 +78,68 @@ def text_stretches(text: bytes, length: int) -> Iterator[tuple[int, int, int, in
             yield at + s, at + e, key, np.uint64(xxhash.xxh3_64_intdigest(text[at + s : at + e + length])).view(np.int64).item()
 
 
-def suffix_array(b: np.ndarray, upto: int) -> np.ndarray:
-    """Suffixes sorted by their first `upto` bytes at least: Larsson-Sadakane refinement.
+def suffix_array(b: np.ndarray) -> np.ndarray:
+    """All suffixes in order: Larsson-Sadakane refinement.
 
     A suffix's rank is the first place of its group. A round sorts only groups that are not single yet, by the rank of
-    the suffix h further on, and doubles h.
+    the suffix h further on, and doubles h. It ends when every group is single: Kasai's rule needs the whole order.
     """
     n = len(b)
-    padded = np.concatenate([b.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
-    key = np.zeros(n, np.uint64)
+    padded = np.concatenate([b.astype(np.int64) + 1, np.zeros(6, np.int64)])
+    key = np.zeros(n, np.int64)
     for j in range(7):  # 9 bits each
-        key = (key << np.uint64(9)) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+        key = (key << 9) | padded[j : j + n]
+    order = np.argsort(key).astype(np.int32)
+    sorted_ = key[order]
     new = np.ones(n, bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n + 1, np.int64)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    rank[order] = start
-    h = 7
-    while h < upto:
-        single = new & np.append(new[1:], True)
-        at = np.flatnonzero(~single)
-        if not len(at):
-            break
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    at, h = np.flatnonzero(~(new & np.append(new[1:], True))), 7
+    while len(at):
         sub = order[at]
-        group, ahead = rank[sub], rank[np.minimum(sub + h, n)]
-        o = np.argsort(group * (n + 2) + ahead + 1, kind="stable")
-        sub, group, ahead = sub[o], group[o], ahead[o]
+        pair = rank[sub].astype(np.int64) * (n + 2) + rank[np.minimum(sub + h, n)] + 1
+        o = np.argsort(pair)
+        sub, pair = sub[o], pair[o]
         order[at] = sub
         differ = np.ones(len(at), bool)
-        differ[1:] = (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])
-        new[at] = differ
+        differ[1:] = pair[1:] != pair[:-1]
         rank[sub] = np.maximum.accumulate(np.where(differ, at, 0))
+        at = at[~(differ & np.append(differ[1:], True))]
         h *= 2
     return order
 
 
-def common_prefixes(b: np.ndarray, order: np.ndarray, upto: int, lanes: int = 2048) -> np.ndarray:
+def common_prefixes(b: np.ndarray, order: np.ndarray, upto: int, lanes: int = 32768) -> np.ndarray:
     """Length, at most `upto`, of what each suffix in the array shares with the one before it (0 for the first).
 
-    Kasai's rule: in text order the length falls by at most one a step. Lanes of text are walked side by side.
+    Kasai's rule: in text order the length falls by at most one a step. Lanes of text are walked side by side, and
+    eight bytes are compared at once; the lowest bit that differs tells how many of them agree.
     """
     n = len(b)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     long = np.zeros(n, np.int64)
-    padded = np.concatenate([b.astype(np.int16), np.full(upto + 1, -1, np.int16)])
+    padded = np.concatenate([b, np.zeros(upto + 16, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view("<u8").ravel()
     span = -(-n // max(1, min(lanes, n)))
     lane = np.arange(0, n, span)
     have = np.zeros(len(lane), np.int64)
     for t in range(span):
         i = lane + t
         ok = i < n
-        have = np.maximum(have - 1, 0)
-        go = np.flatnonzero(ok & (before[np.minimum(i, n - 1)] >= 0))
-        have[np.setdiff1d(np.arange(len(lane)), go)] = 0
+        prior = before[np.minimum(i, n - 1)]
+        have = np.where(ok & (prior >= 0), np.maximum(have - 1, 0), 0)
+        go = np.flatnonzero(ok & (prior >= 0) & (have < upto))
         while len(go):
-            x, y = i[go] + have[go], before[i[go]] + have[go]
-            go = go[(padded[np.minimum(x, n + upto)] == padded[np.minimum(y, n + upto)]) & (np.maximum(x, y) < n) & (have[go] < upto)]
-            have[go] += 1
+            x, y = i[go] + have[go], prior[go] + have[go]
+            apart = words[np.minimum(x, n + upto)] ^ words[np.minimum(y, n + upto)]
+            agree = np.where(apart == 0, 8, np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> 3)
+            agree = np.minimum(agree, n - np.maximum(x, y))  # not beyond the text's end
+            have[go] += agree
+            go = go[(agree == 8) & (have[go] < upto)]
+        np.minimum(have, upto, out=have)
         long[i[ok]] = have[ok]
     return long[order]
 
@@ -155,7 +157,7 @@ class Shard:
 
     def repeated(self) -> np.ndarray:
         """Starts of windows that occur at two starts at least."""
-        self.order = suffix_array(self.b, self.length)
+        self.order = suffix_array(self.b)
         same = common_prefixes(self.b, self.order, self.length) >= self.length
         group = np.cumsum(~same)
         whole = self.whole[self.order]
@@ -164,7 +166,7 @@ class Shard:
 
     def found_in(self, other: Shard) -> np.ndarray:
         """Starts of windows that other has too, by binary search in its suffix array."""
-        base = other.order = suffix_array(other.b, other.length)
+        base = other.order = suffix_array(other.b)
         base = base[other.whole[base]]
         mine, steps, out = np.flatnonzero(self.whole), np.arange(self.length), []
         for k in range(0, len(mine), 2048):
