@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, stored, utf8_column
+from .shared import bounded_batches, stored, utf8_column, worker_cache
 
 WINDOW = 8
 #: Fewest literal words in a window, as a share: windows of placeholders would match anything.
@@ -33,58 +34,76 @@ WORD, NAME, NUMBER, UNIT, QUANTITY, NONE = range(6)
 _EDGES = b" .,!?;:|*#%&$\"'()[]{}<>=+~^_`-/\\"
 _NUMBER = re.compile(r"[+-]?[$£€]?\d+(?:[.,:/]\d+)*%?")
 _QUANTITY = re.compile(r"[+-]?[$£€]?\d+(?:[.,:/]\d+)*([A-Za-zµ]+)")
+_DIGIT = re.compile(rb"[0-9]")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct raw tokens that a worker remembers.
-MEMO = 1_000_000
+MEMO = 300_000
+
+
+class _Memo(dict):
+    """Looks a token up, or learns it."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, raw: bytes) -> int:
+        return self.learn(raw)
 
 
 class Tokens:
     """Raw token -> kind, hash of the lower-case word, and whether it ends a sentence; each distinct token is looked at once."""
 
     def __init__(self):
-        self.memo: dict[bytes, int] = {}
+        self.memo = _Memo(self._learn)
         self.kind, self.hash, self.stop = np.zeros(1024, np.int8), np.zeros(1024, np.uint64), np.zeros(1024, bool)
 
     def _learn(self, raw: bytes) -> int:
         i = len(self.memo)
         if i == len(self.kind):
             self.kind, self.hash, self.stop = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.hash, self.stop))
-        s = raw.decode("utf-8", "replace")
         bare = raw.strip(_EDGES).decode("utf-8", "replace")
-        money = s.strip(" .,!?;:|*#&\"'()")
-        if _NUMBER.fullmatch(money) or _NUMBER.fullmatch(bare):
-            kind = QUANTITY if money[:1] in "$£€" or money.endswith("%") else NUMBER
-        elif (q := _QUANTITY.fullmatch(bare)) and q[1].lower() in UNITS:
-            kind = QUANTITY
-        elif not bare:
+        low = bare.lower()
+        if not bare:
             kind = NONE
-        elif bare.lower() in UNITS:
+        elif _DIGIT.search(raw) and (found := self._number(raw, bare)) is not None:
+            kind = found
+        elif low in UNITS:
             kind = UNIT
-        elif bare[0].isupper() and any(c.islower() for c in bare):
+        elif low != bare and bare[0].isupper() and any(c.islower() for c in bare):
             kind = NAME
         else:
             kind = WORD
-        self.kind[i], self.stop[i] = kind, s.rstrip("\"')*#%&$|").endswith((".", "!", "?", ":"))
-        self.hash[i] = _hash(bare.lower().encode())
+        self.kind[i], self.stop[i] = kind, raw.rstrip(b"\"')*#%&$|").endswith((b".", b"!", b"?", b":"))
+        self.hash[i] = _hash(low.encode())
         self.memo[raw] = i
         return i
 
+    @staticmethod
+    def _number(raw: bytes, bare: str) -> int | None:
+        money = raw.decode("utf-8", "replace").strip(" .,!?;:|*#&\"'()")
+        if _NUMBER.fullmatch(money) or _NUMBER.fullmatch(bare):
+            return QUANTITY if money[:1] in "$£€" or money.endswith("%") else NUMBER
+        found = _QUANTITY.fullmatch(bare)
+        return QUANTITY if found and found[1].lower() in UNITS else None
+
     def ids(self, words: list[bytes]) -> np.ndarray:
         if len(self.memo) > MEMO:
             self.__init__()
-        get = self.memo.get
-        return np.fromiter((i if (i := get(w)) is not None else self._learn(w) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
 
 def _hash(word: bytes) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(word, 11)
 
 
 _SLOT = {k: np.uint64(_hash(b"\0slot%d" % k)) for k in (NAME, NUMBER, QUANTITY)}
 
 
+def _tokens() -> Tokens:
+    """A worker's own: what one task has learned serves the next."""
+    return worker_cache("templates", Tokens)
+
+
 @dataclass
 class Template:
     """Hashes and kinds of a text's template words, and where each begins and ends among the raw words."""
@@ -145,7 +164,7 @@ def benchmark_windows(items: DataFrame, width: int = WINDOW, id_col: str = "item
     """(h, item_id, ipos, width, islots, windows): every window of every item. Items of SHORTEST to width - 1 words are one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
+        tokens = _tokens()
         for b in batches:
             rows = []
             for item, text in zip(b.column("item_id").to_pylist(), utf8_column(b, "text"), strict=True):
@@ -189,7 +208,7 @@ def contamination(
     sieve = spark.sparkContext.broadcast(_sieve(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (flags, shift), tokens = sieve.value, Tokens()
+        (flags, shift), tokens = sieve.value, _tokens()
         for b in batches:
             rows = []
             for d, th, text in zip(b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist(), utf8_column(b, "text"), strict=True):

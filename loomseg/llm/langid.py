@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, held_out, stored, text_slices
+from .shared import bounded_batches, held_out, stored, text_slices, worker_cache
 
 ORDER = 4
 SPACE = 0x20
@@ -216,6 +216,7 @@ def fit_languages(docs: DataFrame, per_language: int = 1500, id_col: str = "doc_
     sample = stored(sample.select("lang", "text", (F.pmod(F.xxhash64("d", F.lit(4)), F.lit(10)) == 0).alias("aside")).filter("text IS NOT NULL"), "languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("languages", dict)
         for b in batches:
             langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
             for lang in sorted(set(langs)):
@@ -274,6 +275,7 @@ def _decider(spark, models: LanguageModels, passed: list[str]):
     held = spark.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("languages", dict)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             for i, j in text_slices([len(t) for t in texts], 1 << 20):

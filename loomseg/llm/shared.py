@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,12 +17,13 @@ from pyspark.sql import functions as F
 #: Texts handed to numpy at once: bounds a Python worker's memory whatever a batch holds.
 CHUNK_BYTES = 4 << 20
 _FOLDERS: dict[int, str] = {}
+_CACHE: dict[str, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder under spark.checkpoint.dir, which all executors share.
 
-    Where the setting is unset, as in tests on one machine, a temporary folder is set for the session.
+    Where the setting is unset and all runs in one process, as in tests, a temporary folder is set for the session.
     The folder is removed when the driver's Python ends.
     """
     sc = spark.sparkContext
@@ -28,6 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     if key not in _FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if sc.master.partition("[")[0] != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="loomseg-")
             spark.conf.set("spark.checkpoint.dir", base)
         _FOLDERS[key] = f"{base.rstrip('/')}/loomseg-{uuid.uuid4().hex}"
@@ -59,13 +64,32 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
     """Arrow batches to Python hold at most so many bytes (unless one row is larger)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1))) > most:
         spark.conf.set(key, str(most))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def worker_cache(name: str, make):
+    """A Python worker's cache for one operator. Workers serve one stage after another: a new operator's turn drops the last one's cache."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        gc.collect()
+        trim()
+        _CACHE[name] = make()
+    return _CACHE[name]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for rows that no model learns from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

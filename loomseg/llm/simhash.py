@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import BLOCK, connected_components, forest
-from .shared import bounded_batches, stored, utf8_column
+from .shared import bounded_batches, stored, utf8_column, worker_cache
 
 #: Members of a table's entry that stand in one row; a fuller entry is dealt to several rows.
 ENTRY = 256
@@ -89,6 +89,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, words: int = 1
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("fingerprints", dict)
         for b in batches:
             fps = [fingerprint(t, width, seed, words).view("<i8") for t in utf8_column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp"])

@@ -22,15 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, fresh_path, open_fs, text_slices, utf8_column, write_whole
+from .shared import bounded_batches, fresh_path, open_fs, text_slices, trim, utf8_column, worker_cache, write_whole
 
 MAGIC = b"LSTOK001"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("null", "<u4"), ("tokens", "<u8")])
-#: Distinct chunks that a worker remembers; beyond it the older half goes.
-MEMO = 1_200_000
+#: Distinct chunks, and pieces of chunks, that a worker remembers (about 200 bytes each); beyond it the older half goes.
+CHUNKS, PIECES = 150_000, 300_000
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-_ENCODERS: dict[str, ChunkEncoder] = {}
+#: Bytes of text encoded at once.
+SLICE = 1 << 20
 
 
 class ChunkEncoder:
@@ -41,14 +42,14 @@ class ChunkEncoder:
     pre-token borders, so that a word with a comma or a capital shares its ids with the bare word.
     """
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, chunks: int = CHUNKS, pieces: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
-        self.memo, self.most, self.pieces = {}, memo, {}
+        self.memo, self.pieces, self.most = {}, {}, (chunks, pieces)
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         # pre-token borders are known for this vocabulary only; others are encoded a chunk at a time
         self.cut = self._piecewise()
@@ -88,17 +89,15 @@ class ChunkEncoder:
         for (w, _), e in zip(rest, self.tokenizer.encode_batch([s for _, s in rest], add_special_tokens=False), strict=True):
             memo[w] = self.pack(e.ids)
         out = [b"".join(map(memo.__getitem__, d)) for d in docs]
-        for cache in (memo, self.pieces):
-            if len(cache) > self.most:
+        for cache, most in zip((memo, self.pieces), self.most, strict=True):
+            if len(cache) > most:
                 for k in list(cache)[: len(cache) // 2]:
                     del cache[k]
         return out
 
 
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return worker_cache(f"tokens {path}", lambda: ChunkEncoder(path))
 
 
 def _dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int, size: int, total: int) -> bytes:
@@ -110,7 +109,7 @@ def _dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int, size:
         enc = encoder(tokenizer)
         for b in batches:
             texts = utf8_column(b, "text")
-            for i, j in text_slices([len(t) for t in texts]):
+            for i, j in text_slices([len(t) for t in texts], SLICE):
                 # zstandard learns from at most 128 KB of a sample
                 yield pa.RecordBatch.from_arrays([pa.array([x[: 128 << 10] for x in enc.encode(texts[i:j])], pa.binary())], ["ids"])
 
@@ -161,7 +160,7 @@ def write_tokens(
             at = len(MAGIC) + len(digest)
             for b in batches:
                 ids, texts = b.column("doc_id").to_pylist(), utf8_column(b, "text")
-                for i, j in text_slices([len(t) for t in texts]):
+                for i, j in text_slices([len(t) for t in texts], SLICE):
                     for k, packed in zip(ids[i:j], enc.encode(texts[i:j]), strict=True):
                         frame = packer.compress(packed + end)
                         index.append((0 if k is None else k, at, len(frame), k is None, len(packed) // width + 1))
@@ -176,6 +175,7 @@ def write_tokens(
         batches = _chain(first, batches)
         write_whole(path, parts())
         tokens = sum(x[4] for x in index)
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([path]), pa.array([len(index)]), pa.array([tokens])], ["shard", "path", "docs", "tokens"])
 
     ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
