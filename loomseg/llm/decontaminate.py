@@ -37,7 +37,7 @@ _QUANTITY = re.compile(r"[+-]?[$£€]?\d+(?:[.,:/]\d+)*([A-Za-zµ]+)")
 _DIGIT = re.compile(rb"[0-9]")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct raw tokens that a worker remembers.
-MEMO = 300_000
+MEMO = 800_000
 
 
 class _Memo(dict):
