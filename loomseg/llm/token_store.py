@@ -27,7 +27,7 @@ from .shared import bounded_batches, fresh_path, open_fs, text_slices, trim, utf
 MAGIC = b"LSTOK001"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("null", "<u4"), ("tokens", "<u8")])
 #: Distinct chunks, and pieces of chunks, that a worker remembers (about 200 bytes each); beyond it the older half goes.
-CHUNKS, PIECES = 150_000, 300_000
+CHUNKS, PIECES = 300_000, 500_000
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: Bytes of text encoded at once.
