@@ -22,9 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id: five-word shingles, similarity of 0.8 or more.
 
-    Texts of that similarity differ in up to 0.18 of their fingerprints' bits, so fingerprints have some 200 bits here and link up to that distance.
+    Fingerprints find the candidates; the sets of shingles decide.
     """
-    return simhash.simhash_dedup(docs, simhash.index_for(docs.count(), share=0.18, miss=0.03)).select(*COLUMNS)
+    return simhash.simhash_dedup(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ A fingerprint's bits are cut into segments. Two fingerprints close enough differ
 fingerprint enumerates that small Hamming ball of every segment, fetches what the segment's table holds there, and
 verifies whole distances. Where radius < 2 * segments some segment must be so close, and nothing within the radius is missed;
 looser similarities take more bits and more segments, by a stated probability of missing a pair.
+
+simhash_dedup takes what is close as candidates only and links those whose shingle sets are similar enough, compared whole.
 """
 
 from __future__ import annotations
@@ -26,6 +28,12 @@ from .shared import bounded_batches, stored, utf8_column, worker_cache
 ENTRY = 256
 #: Shingles that are hashed at once.
 PIECE = 255 * 64
+#: Expected share of bits in which fingerprints of shingle similarity 0.8 differ: acos(2 * 0.8 / 1.8) / pi. Up to 3 / 16 where there are only five shingles.
+SHARE, SHARE_SHORT = 0.1515, 0.1875
+#: Candidates may lie so many standard deviations beyond it.
+SLACK = 4.0
+#: Flags of the sieve over text hashes, as a power of two.
+SIEVE = 26
 
 
 @dataclass(frozen=True)
@@ -38,38 +46,56 @@ class Index:
     radius: int = 4
 
 
-def index_for(n: int, share: float, miss: float, ball: int = 1) -> Index:
+def index_for(n: int, share: float, miss: float, ball: int = 1, radius: float | None = None) -> Index:
     """An index for n fingerprints of which pairs differ in up to `share` of their bits.
 
     Segments have about log2(n) bits, so that an entry holds few, and are so many that a pair at `share` is met in none of them
-    with probability `miss`.
+    with probability `miss`. Pairs are linked up to `radius` of the bits, `share` if not given.
     """
     bits = min(32, max(16, math.ceil(math.log2(max(n, 2))) - 2))
     met = sum(math.comb(bits, r) * share**r * (1 - share) ** (bits - r) for r in range(ball + 1))
     many, each = math.ceil(math.log(miss) / math.log1p(-met)), 64 // bits
     words = -(-many // each)
-    return Index(words, tuple((k // each, k % each * bits, bits) for k in range(many)), ball, int(share * 64 * words))
+    radius = share if radius is None else radius
+    return Index(words, tuple((k // each, k % each * bits, bits) for k in range(many)), ball, int(radius * 64 * words))
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42, words: int = 1) -> np.ndarray:
-    """The SimHash of a text's word shingles: a bit is set if it is in over half the hashes; all 0 without words.
+def similar_index(n: int, miss: float = 0.001) -> Index:
+    """Candidates for shingle similarity of 0.8: a pair at 0.8 is met with probability 1 - miss, and its distance is within SLACK standard deviations."""
+    bits = 64 * index_for(n, SHARE, miss).words
+    return index_for(n, SHARE, miss, radius=SHARE_SHORT + SLACK * math.sqrt(SHARE_SHORT * (1 - SHARE_SHORT) / bits))
 
-    The first word's hashes are XXH64; a further word's are mixed from them.
-    """
+
+def _spans(text: bytes, width: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """The words joined by single spaces, and where each shingle lies in them; none without words."""
     tokens = text.lower().split()
-    if not tokens:
-        return np.zeros(words, "<u8")
     joined = b" ".join(tokens)
     if len(tokens) <= width:
-        spans = [(0, len(joined))]
-    else:
-        lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ends = np.cumsum(lens + 1) - 1
-        spans = list(zip((ends - lens)[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True))
+        return joined, [(0, len(joined))] if tokens else []
+    lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(lens + 1) - 1
+    return joined, list(zip((ends - lens)[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True))
+
+
+def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's different word shingles, in order."""
+    joined, spans = _spans(text, width)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], seed) for s, e in spans), "<u8", len(spans)))
+
+
+def fingerprint(text: bytes, width: int = 4, seed: int = 42, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """The SimHash of a text's word shingles, or of its different ones: a bit is set if it is in over half the hashes; all 0 without words.
+
+    The first word's hashes are XXH64; a further word's are mixed from them.
+    """
+    joined, spans = (b"", shingles(text, width, seed)) if distinct else _spans(text, width)
+    if not len(spans):
+        return np.zeros(words, "<u8")
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(64 * words, np.int64)
     for i in range(0, len(spans), PIECE):
-        h = np.array([digest(joined[s:e], seed) for s, e in spans[i : i + PIECE]], "<u8")
+        piece = spans[i : i + PIECE]
+        h = piece if distinct else np.array([digest(joined[s:e], seed) for s, e in piece], "<u8")
         every = np.empty((len(h), words), "<u8")
         every[:, 0] = h
         for k in range(1, words):
@@ -84,14 +110,16 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42, words: int = 1) ->
     return np.packbits(2 * ones > len(spans), bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(
+    docs: DataFrame, width: int = 4, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False
+) -> DataFrame:
     """(doc_id, text_hash, fp array<long>): fp has the fingerprint's words as signed numbers. Null text counts as empty. No other column is read."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("fingerprints", dict)
         for b in batches:
-            fps = [fingerprint(t, width, seed, words).view("<i8") for t in utf8_column(b, "text")]
+            fps = [fingerprint(t, width, seed, words, distinct).view("<i8") for t in utf8_column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp"])
 
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
@@ -99,39 +127,60 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, words: int = 1
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp array<long>")
 
 
-def near_links(fps: DataFrame, index: Index = Index()) -> DataFrame:
-    """(a, b) by id: links that connect whatever fingerprints (id long, fp array<long>; distinct) the index connects.
+def _value(index: Index, k: int):
+    word, off, bits = index.segments[k]
+    return F.shiftrightunsigned(F.element_at("fp", word + 1), off).bitwiseAND(F.lit((1 << bits) - 1))
 
-    Of the two ends of a pair, the one whose lowest flipped bit is 0 probes, so a pair is met once a segment. Entries
-    of a table over ENTRY members are dealt to rows of about so many: a probe then meets a few rows, each verified
-    by one expression, and what they match is contracted to a forest where it lies. No entry is capped.
-    """
 
-    def value(k):
-        word, off, bits = index.segments[k]
-        return F.shiftrightunsigned(F.element_at("fp", word + 1), off).bitwiseAND(F.lit((1 << bits) - 1))
+def _marked(k: int, value):
+    """A segment's value with its number, as one join key."""
+    return value.bitwiseOR(F.lit(k << 32).cast("long"))
+
+
+def _entries(fps: DataFrame, index: Index) -> DataFrame:
+    """(key, row, held): what stands under each value of each segment; entries over ENTRY members are dealt to rows of about so many."""
+    keys = F.array(*[_marked(k, _value(index, k)) for k in range(len(index.segments))])
+    table = fps.select("id", "c", *_words(index), F.explode(keys).alias("key"))
+    counts = fps.select(F.explode(keys).alias("fk")).groupBy("fk").agg(F.count("*").alias("n"))
+    full = stored(counts.filter(f"n > {ENTRY}").select("fk", F.ceil(F.col("n") / ENTRY).alias("rows")), "full")
+    dealt = table.join(full, F.col("key") == F.col("fk"), "left")
+    dealt = dealt.withColumn("row", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("rows"))))
+    return dealt.groupBy("key", "row").agg(F.collect_list(F.struct("id", "c", *[f"f{w}" for w in range(index.words)])).alias("held"))
+
+
+def _words(index: Index) -> list:
+    return [F.element_at("fp", w + 1).alias(f"f{w}") for w in range(index.words)]
+
+
+def _near(fps: DataFrame, index: Index, apart: bool) -> DataFrame:
+    """(id, near array<long>): each probe with what it meets within the radius; apart: of other components (c) only.
+
+    Of the two ends of a pair, the one whose lowest flipped bit is 0 probes, so a pair is met once a segment. A probe
+    of a table's fuller entry meets a few rows, each verified by one expression. No entry is capped.
+    """
 
     def probes(k):
-        bits = index.segments[k][2]
+        bits, value = index.segments[k][2], _value(index, k)
         flips = [sum(1 << x for x in c) for r in range(1, index.ball + 1) for c in combinations(range(bits), r)]
-        own = F.array(F.struct(F.lit(k).alias("seg"), value(k).alias("key"), F.lit(True).alias("same")))
+        own = F.array(F.struct(_marked(k, value).alias("key"), F.lit(True).alias("same")))
         if not flips:
             return own
-        masks = F.filter(F.array(*[F.lit(m).cast("long") for m in flips]), lambda m: value(k).bitwiseAND(m).bitwiseAND(-m) == 0)
-        return F.concat(own, F.transform(masks, lambda m: F.struct(F.lit(k).alias("seg"), value(k).bitwiseXOR(m).alias("key"), F.lit(False).alias("same"))))
-
-    every = range(len(index.segments))
-    table = fps.select("id", "fp", F.posexplode(F.array(*[value(k) for k in every])).alias("seg", "key"))
-    counts = fps.select(F.posexplode(F.array(*[value(k) for k in every])).alias("fs", "fk")).groupBy("fs", "fk").agg(F.count("*").alias("n"))
-    full = stored(counts.filter(f"n > {ENTRY}").select("fs", "fk", F.ceil(F.col("n") / ENTRY).alias("rows")), "full")
-    dealt = table.join(full, (F.col("seg") == F.col("fs")) & (F.col("key") == F.col("fk")), "left")
-    dealt = dealt.withColumn("row", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("rows"))))
-    entries = dealt.groupBy("seg", "key", "row").agg(F.collect_list(F.struct("id", "fp")).alias("held"))
-    probing = fps.select("id", "fp", F.explode(F.concat(*[probes(k) for k in every])).alias("p")).select("id", "fp", "p.*")
-    apart = " + ".join(f"bit_count(x.fp[{w}] ^ fp[{w}])" for w in range(index.words))
-    near = probing.join(entries, ["seg", "key"]).select(
-        "id", F.expr(f"transform(filter(held, x -> {apart} <= {index.radius} AND (NOT same OR x.id > id)), x -> x.id)").alias("near")
-    )
+        masks = F.filter(F.array(*[F.lit(m).cast("long") for m in flips]), lambda m: value.bitwiseAND(m).bitwiseAND(-m) == 0)
+        return F.concat(own, F.transform(masks, lambda m: F.struct(_marked(k, value.bitwiseXOR(m)).alias("key"), F.lit(False).alias("same"))))
+
+    probing = fps.select("id", "c", *_words(index), F.explode(F.concat(*[probes(k) for k in range(len(index.segments))])).alias("p"))
+    probing = probing.select("id", "c", *[f"f{w}" for w in range(index.words)], "p.*")
+    distance = " + ".join(f"bit_count(x.f{w} ^ f{w})" for w in range(index.words))
+    other = "x.c <> c AND " if apart else ""
+    near = probing.join(_entries(fps, index), "key")
+    return near.select("id", F.expr(f"transform(filter(held, x -> {other}{distance} <= {index.radius} AND (NOT same OR x.id > id)), x -> x.id)").alias("near")).filter(F.size("near") > 0)
+
+
+def near_links(fps: DataFrame, index: Index = Index()) -> DataFrame:
+    """(a, b) by id: links that connect whatever fingerprints (id long, fp array<long>; distinct) the index connects.
+
+    What a probe meets is contracted to a forest where it lies.
+    """
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,7 +190,88 @@ def near_links(fps: DataFrame, index: Index = Index()) -> DataFrame:
             for i in range(0, len(x), BLOCK):
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in forest(x[i : i + BLOCK], y[i : i + BLOCK])], ["a", "b"])
 
-    return near.filter(F.size("near") > 0).mapInArrow(contract, "a long, b long")
+    return _near(fps.withColumn("c", F.col("id")), index, apart=False).mapInArrow(contract, "a long, b long")
+
+
+def _nearest(ids: np.ndarray, fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every entry's members, each with its nearest within the radius, and with the neighbour that has the most neighbours."""
+    starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    many = np.repeat(sizes, sizes)
+    x = np.repeat(np.arange(len(ids)), many)
+    y = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + starts[x]
+    d = np.zeros(len(x), np.int64)
+    for f in fps:
+        d += np.bitwise_count(f[x] ^ f[y])
+    close = (d <= radius) & (x != y)
+    x, y, d = x[close], y[close], d[close]
+    degree = np.bincount(x, minlength=len(ids))
+    a, b = [], []
+    for order in (np.lexsort((ids[y], d, x)), np.lexsort((ids[y], -degree[y], x))):
+        own = x[order]
+        first = order[np.flatnonzero(np.r_[True, own[1:] != own[:-1]])] if len(own) else order
+        a.append(ids[x[first]])
+        b.append(ids[y[first]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def first_pairs(fps: DataFrame, index: Index) -> DataFrame:
+    """(a, b): at most two candidates a member and entry. They join most of a large group, so that its other pairs need no comparison."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column("held")
+            sizes = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = held.flatten()
+            ids = flat.field("id").to_numpy(zero_copy_only=False)
+            fps = [flat.field(f"f{w}").to_numpy(zero_copy_only=False).view("<u8") for w in range(index.words)]
+            ends, work, i, k = np.cumsum(sizes), np.cumsum(sizes * sizes), 0, 0
+            while i < len(sizes):
+                j = max(i + 1, int(np.searchsorted(work, (work[i - 1] if i else 0) + 1_000_000, "right")))
+                e = int(ends[j - 1])
+                x, y = _nearest(ids[k:e], [f[k:e] for f in fps], sizes[i:j], index.radius)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+                i, k = j, e
+
+    held = _entries(fps.withColumn("c", F.col("id")), index).filter(F.size("held") > 1).select("held")
+    return held.mapInArrow(run, "a long, b long").distinct()
+
+
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """2 ** SIEVE flags, set where some id's upper bits fall: gathered as bitmaps, whose size does not follow the number of ids."""
+    x = ids.select(F.shiftrightunsigned("id", 64 - SIEVE).alias("x"))
+    maps = x.groupBy(F.shiftright("x", 15).alias("at")).agg(F.expr("bitmap_construct_agg(x & 32767)").alias("bits"))
+    flags = np.zeros(1 << SIEVE - 3, np.uint8)
+    for r in maps.toLocalIterator():
+        flags[r["at"] << 12 : r["at"] + 1 << 12] = np.frombuffer(r["bits"], np.uint8)
+    return flags
+
+
+def similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, width: int, seed: int) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of word shingles have a Jaccard similarity of `least` or more; two without words are alike.
+
+    rows: (doc_id, text, text_hash); nodes: (id, first), a text's hash and the smallest doc_id that has it. Only texts in pairs are cut again.
+    """
+    ends = stored(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "first"), "ends")
+    sieve = rows.sparkSession.sparkContext.broadcast(_sieve(ends))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = sieve.value
+        for b in batches:
+            at = b.column("text_hash").to_numpy().view("<u8") >> np.uint64(64 - SIEVE)
+            hit = np.flatnonzero(flags[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            b = b.take(pa.array(hit))
+            sets = [shingles(t, width, seed).view("<i8") for t in utf8_column(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "text_hash", "own"])
+
+    sets = rows.mapInArrow(run, "doc_id long, text_hash long, own array<long>")
+    sets = sets.join(ends, (F.col("text_hash") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("id").agg(F.first("own").alias("own"))
+    sets = stored(sets, "shingles")
+    left, right = (sets.select(F.col("id").alias(x), F.col("own").alias(f"{x}_own")) for x in "ab")
+    both = F.size(F.array_intersect("a_own", "b_own"))
+    alike = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("a_own") + F.size("b_own")).alias("of"))
+    return alike.filter((F.col("of") == 0) | (F.col("both") >= least * (F.col("of") - F.col("both")))).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, index: Index = Index(), width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,17 +296,39 @@ def _named(docs, index, width, seed, id_col, text_col) -> tuple[DataFrame, DataF
     return own, stored(placed.join(smallest, F.col("c") == F.col("k")).select("id", "c", "least"), "named")
 
 
+def _similar_groups(docs, index, width, seed, id_col, text_col, least) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and per text (id, its hash) its component (c) by verified links.
+
+    First candidates are few for each text and join the large groups; then every candidate between different groups is verified.
+    """
+    own = stored(fingerprints(docs, width, seed, index.words, id_col, text_col, distinct=True), "fingerprints")
+    nodes = stored(own.groupBy(F.col("text_hash").alias("id"), "fp").agg(F.min("doc_id").alias("first")), "nodes")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+
+    def placed(links):
+        comps = stored(connected_components(links), "components")
+        return stored(nodes.join(comps, nodes["id"] == comps["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("c")), "placed")
+
+    links = stored(similar(rows, nodes, stored(first_pairs(nodes, index), "pairs"), least, width, seed), "links")
+    rest = _near(placed(links), index, apart=True).select(F.col("id").alias("x"), F.explode("near").alias("y"))
+    rest = stored(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    more = stored(similar(rows, nodes, rest, least, width, seed), "links")
+    return own, placed(links.union(more))
+
+
 def simhash_dedup(
-    docs: DataFrame, index: Index = Index(), width: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, index: Index | None = None, width: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8
 ) -> DataFrame:
     """The documents without near copies, with their own columns: of each component one row stays.
 
-    It is the row with the smallest id (null last), then the smallest hash of the text; of equal rows one stays.
-    Texts move once, to meet the kept keys.
+    Texts are linked if their sets of word shingles have a Jaccard similarity of `least` or more; fingerprints of the different
+    shingles only find the candidates, by similar_index unless another index is given (which another `least` needs).
+    The row that stays is that with the smallest id (null last), then the smallest hash of the text; of equal rows one stays.
     """
-    own, named = _named(docs, index, width, seed, id_col, text_col)
+    bounded_batches(docs.sparkSession)
+    own, named = _similar_groups(docs, index or similar_index(docs.count()), width, seed, id_col, text_col, least)
     kept = (
-        own.join(named, own["node"] == named["id"])
+        own.join(named.select("id", "c"), own["text_hash"] == named["id"])
         .groupBy("c")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
         .select(F.col("k.doc_id").alias("kd"), F.col("k.text_hash").alias("kh"))

@@ -75,3 +75,13 @@ def test_mixing_and_tokens(spark, stages):
 def test_run_is_the_stages(spark, stages):
     got = Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect())
     assert got == Counter(d for d, _ in stages[0][4])
+
+
+def test_near_dedup_is_exact(stages):
+    (_, before, after, *_), _ = stages
+    kept, sh = dict(after), {i: _shingles(t) for i, t in before}
+    ids = sorted(sh)
+    close = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sh[a] & sh[b] and len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b])}
+    assert close and not [p for p in close if p[0] in kept and p[1] in kept]
+    partners = {x for p in close for x in p}
+    assert all(i in kept for i in ids if i not in partners)

@@ -102,3 +102,43 @@ def test_loose_similarity(spark):
     got = {r.doc_id: r.component_id for r in simhash.simhash_components(spark.createDataFrame(docs, "doc_id long, text string"), index, 5).collect()}
     want = {i: 3 * groups[i] for i in range(len(docs))}
     assert sum(got[i] != want[i] for i in want) <= 2 and all(groups[got[i]] == groups[i] for i in want)
+
+
+def _shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_dedup_links_every_pair_from_the_similarity_on_and_no_other(spark):
+    rng = random.Random(3)
+    new = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    docs = []
+    for n in (9, 14, 24, 44, 104, 304, 1004):
+        for part in (0.5, 0.6, 0.7, 0.74, 0.77, 0.79, 0.8, 0.81, 0.85, 0.95):
+            base, m = new(n), n - 4
+            shared = round(m * 2 * part / (1 + part))  # shingles in both, of m each
+            docs += [base, base[: shared + 4] + new(m - shared)]
+            docs.append(base[:4] + base[4:] * 3 if n == 104 else new(n))
+    hub = new(200)  # a large group whose members are similar to its centre only
+    for _ in range(150):
+        k = rng.randrange(10, 170)
+        docs.append(hub[:k] + new(14) + hub[k + 14 :])
+    docs.append(hub)
+    texts = [" ".join(w) for w in docs]
+    sets = [_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] & sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {i for i in range(len(texts)) if find(i) == i}
+    assert len(want) < len(texts) - 150
+    got = {r.doc_id for r in simhash.simhash_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == want
