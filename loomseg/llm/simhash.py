@@ -32,38 +32,44 @@ PIECE = 255 * 64
 SHARE, SHARE_SHORT = 0.1515, 0.1875
 #: Candidates may lie so many standard deviations beyond it.
 SLACK = 4.0
+#: Words in which candidates are compared.
+COMPARED = 4
 #: Flags of the sieve over text hashes, as a power of two.
 SIEVE = 26
 
 
 @dataclass(frozen=True)
 class Index:
-    """Of how many 64-bit words a fingerprint is, its segments (word, offset, bits), the balls' radius and the largest distance linked."""
+    """Of how many 64-bit words a fingerprint is, its segments (word, offset, bits), the balls' radius and the largest distance linked.
+
+    Distances are those of the first `compared` words; further ones serve segments only.
+    """
 
     words: int = 1
     segments: tuple[tuple[int, int, int], ...] = ((0, 0, 21), (0, 21, 21), (0, 42, 22))
     ball: int = 1
     radius: int = 4
+    compared: int = 1
 
 
-def index_for(n: int, share: float, miss: float, ball: int = 1, radius: float | None = None) -> Index:
+def index_for(n: int, share: float, miss: float, ball: int = 1, radius: float | None = None, compared: int = 6) -> Index:
     """An index for n fingerprints of which pairs differ in up to `share` of their bits.
 
     Segments have about log2(n) bits, so that an entry holds few, and are so many that a pair at `share` is met in none of them
-    with probability `miss`. Pairs are linked up to `radius` of the bits, `share` if not given.
+    with probability `miss`. Pairs are linked up to `radius` of the bits of the first `compared` words, `share` if not given:
+    only the search follows n, by segments in as many more words as they need, and not what is linked.
     """
     bits = min(32, max(16, math.ceil(math.log2(max(n, 2))) - 2))
     met = sum(math.comb(bits, r) * share**r * (1 - share) ** (bits - r) for r in range(ball + 1))
     many, each = math.ceil(math.log(miss) / math.log1p(-met)), 64 // bits
-    words = -(-many // each)
+    words = max(compared, -(-many // each))
     radius = share if radius is None else radius
-    return Index(words, tuple((k // each, k % each * bits, bits) for k in range(many)), ball, int(radius * 64 * words))
+    return Index(words, tuple((k // each, k % each * bits, bits) for k in range(many)), ball, int(radius * 64 * compared), compared)
 
 
 def similar_index(n: int, miss: float = 0.001) -> Index:
-    """Candidates for shingle similarity of 0.8: a pair at 0.8 is met with probability 1 - miss, and its distance is within SLACK standard deviations."""
-    bits = 64 * index_for(n, SHARE, miss).words
-    return index_for(n, SHARE, miss, radius=SHARE_SHORT + SLACK * math.sqrt(SHARE_SHORT * (1 - SHARE_SHORT) / bits))
+    """Candidates for shingle similarity of 0.8: a pair at 0.8 is met in some segment with probability 1 - miss, and the radius is SLACK standard deviations wider. Width and radius are the same for every n."""
+    return index_for(n, SHARE, miss, radius=SHARE_SHORT + SLACK * math.sqrt(SHARE_SHORT * (1 - SHARE_SHORT) / (64 * COMPARED)), compared=COMPARED)
 
 
 def _spans(text: bytes, width: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -145,11 +151,11 @@ def _entries(fps: DataFrame, index: Index) -> DataFrame:
     full = stored(counts.filter(f"n > {ENTRY}").select("fk", F.ceil(F.col("n") / ENTRY).alias("rows")), "full")
     dealt = table.join(full, F.col("key") == F.col("fk"), "left")
     dealt = dealt.withColumn("row", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("rows"))))
-    return dealt.groupBy("key", "row").agg(F.collect_list(F.struct("id", "c", *[f"f{w}" for w in range(index.words)])).alias("held"))
+    return dealt.groupBy("key", "row").agg(F.collect_list(F.struct("id", "c", *[f"f{w}" for w in range(index.compared)])).alias("held"))
 
 
 def _words(index: Index) -> list:
-    return [F.element_at("fp", w + 1).alias(f"f{w}") for w in range(index.words)]
+    return [F.element_at("fp", w + 1).alias(f"f{w}") for w in range(index.compared)]
 
 
 def _near(fps: DataFrame, index: Index, apart: bool) -> DataFrame:
@@ -169,8 +175,8 @@ def _near(fps: DataFrame, index: Index, apart: bool) -> DataFrame:
         return F.concat(own, F.transform(masks, lambda m: F.struct(_marked(k, value.bitwiseXOR(m)).alias("key"), F.lit(False).alias("same"))))
 
     probing = fps.select("id", "c", *_words(index), F.explode(F.concat(*[probes(k) for k in range(len(index.segments))])).alias("p"))
-    probing = probing.select("id", "c", *[f"f{w}" for w in range(index.words)], "p.*")
-    distance = " + ".join(f"bit_count(x.f{w} ^ f{w})" for w in range(index.words))
+    probing = probing.select("id", "c", *[f"f{w}" for w in range(index.compared)], "p.*")
+    distance = " + ".join(f"bit_count(x.f{w} ^ f{w})" for w in range(index.compared))
     other = "x.c <> c AND " if apart else ""
     near = probing.join(_entries(fps, index), "key")
     return near.select("id", F.expr(f"transform(filter(held, x -> {other}{distance} <= {index.radius} AND (NOT same OR x.id > id)), x -> x.id)").alias("near")).filter(F.size("near") > 0)
@@ -224,7 +230,7 @@ def first_pairs(fps: DataFrame, index: Index) -> DataFrame:
             sizes = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             flat = held.flatten()
             ids = flat.field("id").to_numpy(zero_copy_only=False)
-            fps = [flat.field(f"f{w}").to_numpy(zero_copy_only=False).view("<u8") for w in range(index.words)]
+            fps = [flat.field(f"f{w}").to_numpy(zero_copy_only=False).view("<u8") for w in range(index.compared)]
             ends, work, i, k = np.cumsum(sizes), np.cumsum(sizes * sizes), 0, 0
             while i < len(sizes):
                 j = max(i + 1, int(np.searchsorted(work, (work[i - 1] if i else 0) + 1_000_000, "right")))

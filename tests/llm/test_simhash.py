@@ -142,3 +142,13 @@ def test_dedup_links_every_pair_from_the_similarity_on_and_no_other(spark):
     assert len(want) < len(texts) - 150
     got = {r.doc_id for r in simhash.simhash_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
     assert got == want
+
+
+def test_what_is_linked_does_not_follow_the_number_of_rows():
+    sizes = (1, 1000, 2**18, 300_000, 10**6, 5 * 10**6, 10**9)
+    for make in (lambda n: simhash.index_for(n, 0.18, 0.03), simhash.similar_index):
+        assert len({(i.compared, i.radius) for i in map(make, sizes)}) == 1
+        assert all(max(w for w, _, _ in make(n).segments) < make(n).words for n in sizes)
+    text = " ".join(f"w{i % 37}" for i in range(300)).encode()
+    few, many = (simhash.fingerprint(text, 5, words=simhash.similar_index(n).words, distinct=True) for n in (1000, 5 * 10**6))
+    assert len(few) < len(many) and (few == many[: len(few)]).all()
