@@ -3,6 +3,8 @@
 Numbers, quantities with units and names become typed placeholders, so that a question with other values has the
 same template. Windows of template words are hash-joined with the benchmark's; along each alignment of a document
 with an item the slots must be filled consistently: the same value in the item is the same value in the document.
+Windows with few literal words count beside a literal one or where the whole item's template is met; items that have such
+windows, and items of few words, are also met by windows of their plain words.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches, stored, utf8_column, worker_cache
 
 WINDOW = 8
-#: Fewest literal words in a window, as a share: windows of placeholders would match anything.
+#: Fewest literal words in a window that counts alone, as a share: windows of placeholders would match anything.
 LITERAL = 0.5
-#: An item shorter than this has no window.
+#: An item shorter than this is met verbatim only.
 SHORTEST = 4
 # Words that make a number before them a quantity.
 UNITS = frozenset(
@@ -106,29 +108,34 @@ def _tokens() -> Tokens:
 
 @dataclass
 class Template:
-    """Hashes and kinds of a text's template words, and where each begins and ends among the raw words."""
+    """Hashes and kinds of a text's template words, where each begins and ends among the raw words, and the plain words' hashes."""
 
     hash: np.ndarray
     kind: np.ndarray
     begin: np.ndarray
     end: np.ndarray
+    plain: np.ndarray
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the windows with enough literal words."""
-        n = len(self.hash) - width + 1
+    def windows(self, width: int) -> np.ndarray:
+        """Hashes of all windows of template words; of plain words if the width is negative."""
+        words, width = (self.hash, width) if width > 0 else (self.plain, -width)
+        n = len(words) - width + 1
         if n < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64)
         h = np.full(n, width, np.uint64)
         for j in range(width):
-            h = (h ^ self.hash[j : j + n]) * _MULT
+            h = (h ^ words[j : j + n]) * _MULT
             h ^= h >> np.uint64(29)
-        literal = np.concatenate([[0], np.cumsum(self.kind == WORD)])
-        at = np.flatnonzero(literal[width:] - literal[:-width] >= LITERAL * width)
-        return at, h[at]
+        return h
+
+    def literal(self, width: int) -> np.ndarray:
+        """Which windows of template words have enough literal ones."""
+        words = np.concatenate([[0], np.cumsum(self.kind == WORD)])
+        return words[width:] - words[:-width] >= LITERAL * width
 
     def slots(self, words: list[bytes], at: int, width: int) -> list[str]:
         """The values in a window's placeholders, in order."""
-        out = []
+        out = []  # none of plain words
         for i in range(at, at + width):
             if self.kind[i] != WORD:
                 out.append(b" ".join(w.strip(_EDGES) for w in words[self.begin[i] : self.end[i]]).decode("utf-8", "replace").lower())
@@ -154,14 +161,18 @@ def template(words: list[bytes], tokens: Tokens) -> Template:
     same = np.zeros(len(at), bool)
     same[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & ~after[1:]
     first = np.flatnonzero(~(follows | same))
-    k, h = kind[first], hashes[first].copy()
+    k, h = kind[first], hashes[first]
     for slot, value in _SLOT.items():
         h[k == slot] = value
-    return Template(h, k, at[first], np.append(at[first][1:], len(words)))
+    return Template(h, k, at[first], np.append(at[first][1:], len(words)), hashes)
 
 
 def benchmark_windows(items: DataFrame, width: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(h, item_id, ipos, width, islots, windows): every window of every item. Items of SHORTEST to width - 1 words are one window."""
+    """(h, item_id, ipos, width, islots, windows, literal, whole): every window of every item. Items of SHORTEST to width - 1 words are one window.
+
+    literal: the window counts alone; whole: the item may be met by its whole template, as it has a literal word. Where not all windows
+    are literal, or the template has under SHORTEST words, windows of plain words follow, with the width negated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens()
@@ -170,16 +181,22 @@ def benchmark_windows(items: DataFrame, width: int = WINDOW, id_col: str = "item
             for item, text in zip(b.column("item_id").to_pylist(), utf8_column(b, "text"), strict=True):
                 words = text.split()
                 t = template(words, tokens)
-                w = min(width, len(t.hash))
+                w, exact = min(width, len(t.hash)), True
                 if w >= SHORTEST:
-                    at, h = t.windows(w)
-                    rows += [(int(x), item, int(p), w, t.slots(words, p, w), len(at)) for p, x in zip(at, h.view("<i8"), strict=True)]
+                    h, literal, whole = t.windows(w), t.literal(w).tolist(), bool((t.kind == WORD).any())
+                    rows += [(x, item, p, w, t.slots(words, p, w), len(h), literal[p], whole) for p, x in enumerate(h.view("<i8").tolist())]
+                    exact = not all(literal)
+                if exact and len(t.plain):
+                    w = min(width, len(t.plain))
+                    h = t.windows(-w)
+                    rows += [(x, item, p, -w, [], len(h), True, True) for p, x in enumerate(h.view("<i8").tolist())]
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["h", "item_id", "ipos", "width", "islots", "windows"])
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.bool_()]
+                names = ["h", "item_id", "ipos", "width", "islots", "windows", "literal", "whole"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "h long, item_id long, ipos int, width int, islots array<string>, windows int")
+    return rows.mapInArrow(run, "h long, item_id long, ipos int, width int, islots array<string>, windows int, literal boolean, whole boolean")
 
 
 def _sieve(windows: DataFrame) -> tuple[np.ndarray, int]:
@@ -196,10 +213,11 @@ def contamination(
 ) -> DataFrame:
     """(doc_id, text_hash, item_id, coverage, rephrased): documents that hold at least `least` of an item's windows.
 
-    Windows count along alignments whose slots are consistent; rephrased: some slot has another value than the item's.
+    Windows count along alignments whose slots are consistent; rephrased: some slot has another value than the item's. Along an alignment
+    without a literal window all of the item's windows must be met. Windows of plain words make a coverage of their own; the larger one counts.
     All windows of whole texts are looked up. A table of flags of bounded size is broadcast and sieves
-    them first; what passes is joined by hash, and Catalyst picks the join by size. Null and empty texts and items too
-    short for a window match nothing; null ids are kept; repeated rows count once; extra columns are not read.
+    them first; what passes is joined by hash, and Catalyst picks the join by size. Null and empty texts and items
+    without a word match nothing; items under SHORTEST words match wherever they stand verbatim; null ids are kept; repeated rows count once; extra columns are not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -215,9 +233,9 @@ def contamination(
                 words = text.split()
                 t = template(words, tokens)
                 for w in widths:
-                    at, h = t.windows(w)
-                    hit = flags[(h >> np.uint64(shift)).astype(np.int64)]
-                    rows += [(d, th, int(x), int(p), w, t.slots(words, p, w)) for p, x in zip(at[hit], h[hit].view("<i8"), strict=True)]
+                    h = t.windows(w)
+                    hit = np.flatnonzero(flags[(h >> np.uint64(shift)).astype(np.int64)])
+                    rows += [(d, th, int(x), int(p), w, t.slots(words, p, w)) for p, x in zip(hit, h[hit].view("<i8"), strict=True)]
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "text_hash", "dh", "dpos", "dw", "dslots"])
@@ -227,15 +245,26 @@ def contamination(
     hits = rows.mapInArrow(run, "doc_id long, text_hash long, dh long, dpos int, dw int, dslots array<string>")
     met = hits.join(known, (F.col("dh") == F.col("h")) & (F.col("dw") == F.col("width"))).filter(F.size("dslots") == F.size("islots"))
     # an alignment has at most an item's windows: the sets below are bounded by the item's length
-    along = met.groupBy("doc_id", "text_hash", "item_id", (F.col("dpos") - F.col("ipos")).alias("offset")).agg(
-        F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("islots", "dslots")))).alias("fills"), F.max("windows").alias("windows")
+    fills, some = F.arrays_zip("islots", "dslots"), F.col("literal")
+    flat = lambda x: F.array_distinct(F.flatten(F.collect_set(x)))
+    along = met.groupBy("doc_id", "text_hash", "item_id", "width", (F.col("dpos") - F.col("ipos")).alias("offset")).agg(
+        F.collect_set("ipos").alias("every"), flat(fills).alias("fills"),
+        F.collect_set(F.when(some, F.col("ipos"))).alias("sure"), flat(F.when(some, fills)).alias("sure_fills"),
+        F.max("windows").alias("windows"), F.max("whole").alias("whole"),
+    )
+    consistent = lambda x: F.size(x) == F.size(F.array_distinct(F.transform(x, lambda v: v["islots"])))
+    differs = lambda x: F.exists(x, lambda v: v["islots"] != v["dslots"])
+    anchored, full = F.size("sure") > 0, F.col("whole") & (F.size("every") == F.col("windows"))
+    counted = (
+        F.when(consistent("fills") & (anchored | full), F.struct(F.col("every").alias("at"), differs("fills").alias("other")))
+        .when(anchored & consistent("sure_fills"), F.struct(F.col("sure").alias("at"), differs("sure_fills").alias("other")))
     )
-    consistent = F.size("fills") == F.size(F.array_distinct(F.transform("fills", lambda x: x["islots"])))
-    kept = along.filter(consistent).withColumn("other", F.exists("fills", lambda x: x["islots"] != x["dslots"]))
-    found = kept.select("doc_id", "text_hash", "item_id", "windows", "other", F.explode("at").alias("p")).groupBy("doc_id", "text_hash", "item_id").agg(
+    kept = along.withColumn("counted", counted).filter("counted IS NOT NULL").select("doc_id", "text_hash", "item_id", "width", "windows", "counted.*")
+    found = kept.select("doc_id", "text_hash", "item_id", "width", "windows", "other", F.explode("at").alias("p")).groupBy("doc_id", "text_hash", "item_id", "width").agg(
         (F.count_distinct("p") / F.max("windows")).alias("coverage"), F.max("other").alias("rephrased")
     )
-    return found.filter(F.col("coverage") >= least)
+    found = found.filter(F.col("coverage") >= least).groupBy("doc_id", "text_hash", "item_id")
+    return found.agg(F.max("coverage").alias("coverage"), F.max("rephrased").alias("rephrased"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -40,3 +40,24 @@ def test_slots(spark, odd):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
     assert dc.contamination(odd, items).count() == 0
     assert dc.contamination(odd.limit(0), items).count() == 0 and dc.drop_contaminated(odd, items.limit(0)).count() == odd.count()
+
+
+def test_items_of_few_literal_words(spark):
+    sums, order, digits = "Compute 12 + 34 * 56 - 78 / 9", "Order 3 7 12 5 9 from 18 to 4", "31 41 59 26 53 58 97 93 23 84"
+    mixed = "please add up all of these numbers and then tell me what comes out " + " ".join(map(str, range(100, 160)))
+    texts = {
+        1: f"so {sums} now",  # a capital inside a sentence is a name here: met by plain words
+        2: "Well. Compute 5 + 6 * 7 - 8 / 10 now",
+        3: f"so {order} now",
+        4: "Well. Order 2 8 11 6 10 from 20 to 5 now",
+        5: f"so {digits} now",
+        6: "so 1 2 3 4 5 6 7 8 9 10 now",  # other values without a literal word: any list of numbers
+        7: "please add up all of these numbers and then tell me what comes out of it",  # lead-in only
+        8: mixed,
+        9: "so too short now",
+        10: "so Compute 5 + 6 of them",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(1, sums), (2, order), (3, digits), (4, mixed), (5, "too short"), (6, ""), (7, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.rephrased for r in dc.contamination(docs, items).collect()}
+    assert got == {(1, 1): False, (2, 1): True, (3, 2): False, (4, 2): True, (5, 3): False, (8, 4): False, (9, 5): False}
