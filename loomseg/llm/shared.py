@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 _FOLDERS: dict[int, str] = {}
 _CACHE: dict[str, object] = {}
+_GAP = re.compile(rb"[ \t-\r]")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -107,6 +109,18 @@ def text_slices(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int
         yield start, len(sizes)
 
 
+def cut_text(text: bytes, most: int) -> Iterator[bytes]:
+    """A text in pieces of about `most` bytes, cut at ASCII white space: a word that is longer stays whole."""
+    at = 0
+    while len(text) - at > most:
+        found = _GAP.search(text, at + most)
+        if found is None:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 def utf8_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column's values as UTF-8 bytes; null is empty."""
     return [b"" if v is None else v for v in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -12,87 +12,137 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, fresh_path, open_fs, text_slices, trim, utf8_column, worker_cache, write_whole
+from .shared import bounded_batches, cut_text, fresh_path, open_fs, text_slices, trim, utf8_column, worker_cache, write_whole
 
 MAGIC = b"LSTOK001"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("null", "<u4"), ("tokens", "<u8")])
-#: Distinct chunks, and pieces of chunks, that a worker remembers (about 200 bytes each); beyond it the older half goes.
-CHUNKS, PIECES = 300_000, 500_000
+#: Distinct pieces of words that a worker remembers (about 200 bytes each); beyond it the older half goes.
+PIECES = 500_000
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: Bytes of text encoded at once.
-SLICE = 1 << 20
+_BARE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: How byte-level models show a byte: printable ones as themselves, the others from 256 on.
+_SHOWN = dict(zip([b for b in range(256) if b not in _BARE], range(256, 512)))
+#: What a document gives to the dictionary's training.
+PARTS, PART = 4, 8 << 10
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 128 << 20
+#: Bytes of text encoded at once; a longer text is cut at white space.
+SLICE = 8 << 20
+
+
+class _Memo(dict):
+    """Looks a piece up, or learns it."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.learn(piece)
+        return ids
 
 
 class ChunkEncoder:
-    """Encodes with the tokenizers library, once for each distinct chunk between ASCII white space.
+    """Encodes with the tokenizers library, once for each distinct chunk between ASCII white space in a slice of text.
 
-    That is exact for tokenizers that drop white space and never look across it: chunks are encoded
-    alone and their ids joined. Chunks of plain Latin characters are cut further, at the vocabulary's own
-    pre-token borders, so that a word with a comma or a capital shares its ids with the bare word.
+    That is exact for tokenizers that drop white space and never look across it. Arrow finds a slice's distinct
+    chunks; chunks of plain Latin characters are cut further, at the vocabulary's own pre-token borders, and only a piece that this
+    worker has not met is given to the model. A slice's ids are then laid out by the chunks' places in it.
     """
 
-    def __init__(self, path: str, chunks: int = CHUNKS, pieces: int = PIECES):
+    def __init__(self, path: str, pieces: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
-        self.memo, self.pieces, self.most = {}, {}, (chunks, pieces)
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
+        self.dtype = np.dtype(self.code)
+        self.pieces, self.most = _Memo(self._learn), pieces
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        # pre-token borders are known for this vocabulary only; others are encoded a chunk at a time
-        self.cut = self._piecewise()
+        # white space is dropped and case folded by some vocabularies only
+        self.lower = self._same("That's ÉTÉ 42nd", "that's été 42nd")
+        # pre-token borders are known for one vocabulary; others are encoded a chunk at a time
+        self.cut = self.lower and self._piecewise()
+
+    def _same(self, x: str, y: str) -> bool:
+        return self.tokenizer.encode(x, add_special_tokens=False).ids == self.tokenizer.encode(y, add_special_tokens=False).ids
 
     def _piecewise(self) -> bool:
         probe = "That's 42nd, (été) O'Neill's!! x_y 'tis ...'s ÀB"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
         try:
-            return b"".join(self._pieces(w) for w in probe.split()) == self.pack(whole)
+            return b"".join(self._pieces(w.lower()) for w in probe.split()) == self.pack(whole)
         except Exception:  # noqa: BLE001  a model without single-piece calls
             return False
 
     def pack(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
+
+    def _learn(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _pieces(self, chunk: str) -> bytes:
-        out = []
-        for p in _PIECE.findall(chunk.lower()):
-            if (ids := self.pieces.get(p)) is None:
-                ids = self.pieces[p] = self.pack([t.id for t in self.model.tokenize(p)] if p.isascii() else self.tokenizer.encode(p, add_special_tokens=False).ids)
-            out.append(ids)
-        return b"".join(out)
+        if chunk.isalpha():
+            return self.pieces[chunk]
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(chunk)))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Packed ids of each text."""
-        docs, memo = [t.split() for t in texts], self.memo
-        new = set()
-        for d in docs:
-            new.update(filterfalse(memo.__contains__, d))
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of distinct chunks."""
+        out = list(map(self.pieces.get, chunks))  # most chunks are bare words
         rest = []
-        for w in new:
-            s = w.decode()
+        for i in [i for i, v in enumerate(out) if v is None]:
+            s, out[i] = chunks[i], b""
             if self.cut and _PLAIN.fullmatch(s) and not ("<|" in s and any(x in s for x in self.specials)):
-                memo[w] = self._pieces(s)
-            else:
-                rest.append((w, s))
-        for (w, _), e in zip(rest, self.tokenizer.encode_batch([s for _, s in rest], add_special_tokens=False), strict=True):
-            memo[w] = self.pack(e.ids)
-        out = [b"".join(map(memo.__getitem__, d)) for d in docs]
-        for cache, most in zip((memo, self.pieces), self.most, strict=True):
-            if len(cache) > most:
-                for k in list(cache)[: len(cache) // 2]:
-                    del cache[k]
+                out[i] = self._pieces(s.lower())
+            elif s:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = self.pack(e.ids)
+        if len(self.pieces) > self.most:
+            for k in list(self.pieces)[: len(self.pieces) // 2]:
+                del self.pieces[k]
+        return out
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts end to end, and where each begins and ends in them."""
+        if self.lower:  # fewer distinct chunks; what may hold a special token, which has a case, stays
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        words = pc.ascii_split_whitespace(texts)
+        named = words.flatten().dictionary_encode()
+        distinct = named.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), " ")[0].as_py()
+        packed = self._chunks(joined.split(" ") if len(distinct) else [])
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join(packed), self.dtype)
+        at = named.indices.to_numpy(zero_copy_only=False)
+        many = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        place = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], many)
+        return ids[place], ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of each text."""
+        out: list[bytes] = []
+        for i, j in text_slices([len(t) for t in texts], SLICE):
+            if len(texts[i]) > SLICE:
+                out.append(b"".join(self._slice(pa.array([p], pa.binary()).cast(pa.string()))[0].tobytes() for p in cut_text(texts[i], SLICE)))
+                continue
+            ids, ends = self._slice(pa.array(texts[i:j], pa.binary()).cast(pa.string()))
+            raw, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+            out += [raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
         return out
 
 
@@ -100,25 +150,32 @@ def encoder(path: str) -> ChunkEncoder:
     return worker_cache(f"tokens {path}", lambda: ChunkEncoder(path))
 
 
-def _dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int, size: int, total: int) -> bytes:
-    """A zstandard dictionary trained on the id arrays of about `sample` documents, chosen by hash; empty if they are too few."""
+def _parts(ids: bytes) -> Iterator[bytes]:
+    """Up to PARTS stretches of PART bytes, spread evenly over a document's ids."""
+    last = max(len(ids) - PART, 0) // 4 * 4
+    for at in sorted({last * k // (PARTS - 1) // 4 * 4 for k in range(PARTS)}):
+        yield ids[at : at + PART]
+
+
+def _dictionary(docs: DataFrame, tokenizer: str, sample: int, size: int, total: int) -> bytes:
+    """A zstandard dictionary trained on the id arrays of about `sample` documents, chosen by hash.
+
+    A long document gives PARTS stretches from its beginning to its end, so the driver takes 2 * sample * PARTS * PART bytes at most (64 MB).
+    Where training fails for lack of samples, the ids themselves are the dictionary; without any id it is empty.
+    """
     share = min(1.0, sample / max(total, 1))
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            texts = utf8_column(b, "text")
-            for i, j in text_slices([len(t) for t in texts], SLICE):
-                # zstandard learns from at most 128 KB of a sample
-                yield pa.RecordBatch.from_arrays([pa.array([x[: 128 << 10] for x in enc.encode(texts[i:j])], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([list(_parts(x)) for x in enc.encode(utf8_column(b, "text"))], pa.list_(pa.binary()))], ["ids"])
 
-    got = [bytes(r[0]) for r in chosen.select("text").mapInArrow(ids, "ids binary").limit(2 * sample).collect()]
-    got = [x for x in got if x]
+    got = [bytes(x) for r in chosen.select("text").mapInArrow(ids, "ids array<binary>").limit(2 * sample).collect() for x in r[0] if x]
     try:
-        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, got)) // 10)), got, level=3).as_bytes() if len(got) >= 16 else b""
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, got)) // 10)), got, level=3).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(got)[-size:]
 
 
 def write_tokens(
@@ -136,36 +193,34 @@ def write_tokens(
     """Writes every document's ids, with end_id after them, in ascending doc_id order to shards under `out`.
 
     Returns the manifest (shard, path, docs, tokens), one row per shard, stored in `out` too. Documents
-    are range-partitioned by id, so shard order is id order; ties are ordered by the text's hash.
+    are range-partitioned by id into shards of about SHARD_BYTES of text (`shards` fixes their number), so shard order is id order; ties are ordered by the text's hash.
     Null ids come first; a null or empty text has the end id only. An empty table gives an empty manifest.
     A repeated task writes the same bytes under a fresh name and renames, so a lost executor leaves no half file.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = rows.count()
-    trained = _dictionary(rows, tokenizer, end_id, dict_sample, dict_bytes, total)
+    total, volume = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    trained = _dictionary(rows, tokenizer, dict_sample, dict_bytes, total)
     digest = hashlib.sha256(trained).digest()
     write_whole(f"{out}/{digest.hex()}.dict", iter([trained]))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // SHARD_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
-        end, width = enc.pack([end_id]), np.dtype(enc.dtype).itemsize
+        end, width = enc.pack([end_id]), enc.dtype.itemsize
         index: list[tuple] = []
 
         def parts() -> Iterator[bytes]:
             yield MAGIC + digest
             at = len(MAGIC) + len(digest)
             for b in batches:
-                ids, texts = b.column("doc_id").to_pylist(), utf8_column(b, "text")
-                for i, j in text_slices([len(t) for t in texts], SLICE):
-                    for k, packed in zip(ids[i:j], enc.encode(texts[i:j]), strict=True):
-                        frame = packer.compress(packed + end)
-                        index.append((0 if k is None else k, at, len(frame), k is None, len(packed) // width + 1))
-                        at += len(frame)
-                        yield frame
+                for k, packed in zip(b.column("doc_id").to_pylist(), enc.encode(utf8_column(b, "text")), strict=True):
+                    frame = packer.compress(packed + end)
+                    index.append((0 if k is None else k, at, len(frame), k is None, len(packed) // width + 1))
+                    at += len(frame)
+                    yield frame
             yield np.array(index, INDEX).tobytes() + struct.pack("<QQ", len(index), at) + MAGIC
 
         path = f"{out}/shard-{shard:06d}.tok"

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -140,3 +141,27 @@ def test_token_store_round_trip(spark, odd):
 def test_token_store_empty(spark, empty):
     manifest = token_store.write_tokens(empty, fresh_path(spark, "t"), VOCAB, 2)
     assert token_store.read_tokens(manifest).count() == 0
+
+
+def test_encoder_is_exact_whatever_the_slices(monkeypatch):
+    rng = random.Random(3)
+    letters = [*"aAbB'sStTdD09 .,!<|>\t\n_é ÉßÀ ΣσςİI̊Å中½😀'lrevm\x1c\x85 ", "<|startoftext|>", "<|STARTOFTEXT|>", "'LL", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + [" ".join("abc'S," for _ in range(2000))]
+    monkeypatch.setattr(token_store, "SLICE", 500)
+    enc = token_store.ChunkEncoder(VOCAB, pieces=100)
+    for text, got in zip(texts, enc.encode([t.encode() for t in texts]), strict=True):
+        assert got == enc.pack(enc.tokenizer.encode(text, add_special_tokens=False).ids), text
+
+
+def test_token_store_small_tables_share_a_dictionary(spark):
+    docs = spark.createDataFrame([(i, f"the same words in each of a few texts {i}") for i in range(3)], "doc_id long, text string")
+    manifest = token_store.write_tokens(docs, fresh_path(spark, "t"), VOCAB, 2, shards=1)
+    _, digest = token_store.read_index(manifest.first().path)
+    assert token_store.load_dictionary(manifest.first().path, digest) is not None
+    assert token_store.read_tokens(manifest).count() == 3
+
+
+def test_training_parts_reach_a_documents_end():
+    ids = bytes(range(256)) * 4000
+    parts = list(token_store._parts(ids))
+    assert len(parts) == token_store.PARTS and parts[0] == ids[: token_store.PART] and parts[-1] == ids[-token_store.PART :]
