@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import adapters as ad
 from .functions import columns as fx
 from .operators import alignments, binning, binsize, boundaries, domains, hmm, intervals, kmers, stats
-from .plans import segment
+from .plans import model_sql, segment
 from .sources import text
 from .streaming import counts as live
 
@@ -263,6 +263,11 @@ def bh_adjust(spark, d):
     return stats.bh_adjust(_p(spark, d), "p").select("s_suppkey", rounded("adjusted", 9).alias("adjusted"))
 
 
+@query(f"""WITH {P_VALUES}, r AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS q FROM p) SELECT s_suppkey, round(least(min(q) OVER (ORDER BY p DESC), 1.0), 9) AS adjusted FROM r""")
+def bh_standard(spark, d):
+    return stats.bh_adjust(_p(spark, d), "p", standard=True).select("s_suppkey", rounded("adjusted", 9).alias("adjusted"))
+
+
 @query(f"""WITH {P_VALUES}, r AS (SELECT p, rank() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM p) SELECT round(max(p), 12) AS cutoff FROM r WHERE p < coalesce((SELECT min(p) FROM r WHERE p >= 0.1 * k / n), 2)""")
 def fdr_cutoff(spark, d):
     c = stats.fdr_cutoff(_p(spark, d), "p", 0.1)
@@ -424,11 +429,131 @@ def viterbi_2s(spark, d):
     return _decoded(spark, d).select("chrom", "bin", "state")
 
 
-@query()
+# differences of two samples with planted domains; rates follow the samples' means, so that every size has some
+
+PAIR = f"""{ad.READS_PLANTED}, {ad.CHROMS_PLANTED}, {_bins_sql("planted", "planted_chroms", "ca", LINE_SIZE, 0, "WHERE sample = 'A'")}, {_bins_sql("planted", "planted_chroms", "cb", LINE_SIZE, 0, "WHERE sample = 'B'")},
+lgrid AS (SELECT chrom, unnest(range(0, ceil(width / {LINE_SIZE})::BIGINT)) AS bin FROM planted_chroms),
+pairs AS (SELECT chrom, bin, least(coalesce(ca.n, 0), {LINE_SIZE})::DOUBLE AS a, least(coalesce(cb.n, 0), {LINE_SIZE})::DOUBLE AS b FROM lgrid LEFT JOIN ca USING (chrom, bin) LEFT JOIN cb USING (chrom, bin)),
+means AS (SELECT avg(a) AS ma, avg(b) AS mb FROM pairs)"""
+
+
+def _skellam_sql(rates: list[tuple[float, float]]) -> str:
+    """regions of the pair with the log-likelihood under each state (e0...), and pmf, its table over all whole numbers that matter."""
+    states = " UNION ALL ".join(f"SELECT {i} AS st, {u} * ma AS u, {v} * mb AS v FROM means" for i, (u, v) in enumerate(rates))
+    joins = " ".join(f"JOIN pmf m{i} ON m{i}.st = {i} AND m{i}.d = a - b" for i in range(len(rates)))
+    return f"""states AS ({states}), ks AS (SELECT unnest(range(-500, 501)) AS d),
+bes AS (SELECT st, d, (2 * m + abs(d)) * ln(sqrt(u * v)) - lgamma(m + 1) - lgamma(m + abs(d) + 1) AS x FROM states, ks, (SELECT unnest(range(0, 400)) AS m) WHERE abs(d) <= 120),
+beo AS (SELECT st, d, max(x) AS top FROM bes GROUP BY ALL),
+bei AS (SELECT bes.st, bes.d, any_value(top) + ln(sum(exp(x - top))) AS i FROM bes JOIN beo USING (st, d) GROUP BY ALL),
+pmf AS (SELECT st, d, coalesce(-(u + v) + d / 2 * ln(u / v) + i, -40.0) AS ll FROM states CROSS JOIN ks LEFT JOIN bei USING (st, d)),
+cdf AS (SELECT st, d, least(sum(exp(ll)) OVER (PARTITION BY st ORDER BY d), 1.0) AS f FROM pmf),
+regions AS (SELECT chrom || ':0' AS region, chrom, bin, bin * {LINE_SIZE} AS s, (bin + 1) * {LINE_SIZE} AS e, a, b, a - b AS diff, 1.0::DOUBLE AS scale, {", ".join(f"m{i}.ll AS e{i}" for i in range(len(rates)))} FROM pairs {joins})"""
+
+
+#: Rates as multiples of the means of either sample, per state.
+CONTROL_RATES = [(1.8, 0.8), (0.7, 1.1)]
+THREE_RATES = [(1.8, 0.7), (0.7, 0.7), (0.7, 1.8)]
+CONTROL_STAY, THREE_STAY = [0.85, 0.95], [0.85, 0.92, 0.85]
+
+
+def _trans(stay: list[float]) -> list[list[float]]:
+    return segment.fixed_model(["pois 1"] * len(stay), stay).trans.tolist()
+
+
+CONTROL_SQL = f"{PAIR}, {_skellam_sql(CONTROL_RATES)}, {model_sql.recursions(['e0', 'e1'], _trans(CONTROL_STAY))}"
+THREE_SQL = f"{PAIR}, {_skellam_sql(THREE_RATES)}, {model_sql.recursions(['e0', 'e1', 'e2'], _trans(THREE_STAY))}"
+
+
+def _planted_pair(spark, d) -> DataFrame:
+    r = ad.reads_planted(spark, d)
+    b = binning.load_bins({"a": r.filter("sample = 'A'"), "b": r.filter("sample = 'B'")}, ad.chroms_planted(spark), LINE_SIZE)
+    b = binning.cap_counts(binning.desert_regions(b, LINE_SIZE, 5000), LINE_SIZE, ["a", "b"])
+    return b.withColumn("diff", F.col("a") - F.col("b"))
+
+
+def _pair_model(bins: DataFrame, rates, stay) -> hmm.Model:
+    ma, mb = bins.agg(F.avg("a"), F.avg("b")).first()
+    return segment.fixed_model([f"skel {u * ma} {v * mb}" for u, v in rates], stay)
+
+
+@query(f"WITH RECURSIVE {THREE_SQL}, {model_sql.decoded(_trans(THREE_STAY))} SELECT chrom, bin, state FROM dec")
 def viterbi_3s(spark, d):
-    """Differences of two samples decoded into three states; tests compare with brute force."""
-    bins = _line_pair(spark, d).withColumn("diff", F.col("a") - F.col("b")).withColumn("region", F.col("chrom"))
-    return hmm.decode(bins, THREE, "diff").select("chrom", "bin", "state")
+    """Differences of two samples decoded into three states."""
+    bins = _planted_pair(spark, d)
+    return hmm.decode(bins, _pair_model(bins, THREE_RATES, THREE_STAY), "diff").select("chrom", "bin", "state")
+
+
+def _step_rows(spark, step: tuple, n: int) -> DataFrame:
+    """Parameters after one training step, by name."""
+    model, total = step
+    rows = [(f"p{i}{j}", v) for i, e in enumerate(model.emissions) for j, v in enumerate(e.params)]
+    rows += [(f"t{i}{j}", float(model.trans[i, j])) for i in range(n) for j in range(n)]
+    return spark.createDataFrame([(k, round(float(v), 7)) for k, v in rows], "name string, value double")
+
+
+def _step_sql(params: list[tuple[str, str]], n: int, less) -> str:
+    named = [*params, *[(f"t{i}{j}", f"(SELECT sum(x{i}{j}) / sum({' + '.join(f'x{i}{q}' for q in range(n))}) - {less(i, j)} FROM xi)") for i in range(n) for j in range(n)]]
+    return " UNION ALL ".join(f"SELECT '{k}' AS name, round({v}, 7) AS value" for k, v in named)
+
+
+TWO_SQL = f"{EV_BASE}, {model_sql.recursions([_pois(9.0), _pois(3.5)], [[0.9, 0.1], [0.05, 0.95]])}"
+TWO_DECODED = f"{TWO_SQL}, {model_sql.decoded([[0.9, 0.1], [0.05, 0.95]])}"
+TRIPLE = segment.fixed_model(["pois 9", "pois 5", "pois 2"], [0.9, 0.9, 0.9])
+TRIPLE_SQL = f"{EV_BASE}, {model_sql.recursions([_pois(9.0), _pois(5.0), _pois(2.0)], TRIPLE.trans.tolist())}, {model_sql.decoded(TRIPLE.trans.tolist())}"
+
+
+@query(f"WITH RECURSIVE {TWO_SQL} " + _step_sql([(f"p{i}0", f"(SELECT sum(p{i} * reads) / sum(p{i} * scale) FROM post)") for i in range(2)], 2, lambda i, j: 5e-11))
+def em_step_single(spark, d):
+    """One Baum-Welch step of one sample."""
+    return _step_rows(spark, hmm.em_step(ev_regions(spark, d), TWO), 2)
+
+
+_PAIR_FITS = [(f"p{i}{j}", f"(SELECT sum(p{i} * {c}) / sum(p{i} * scale) FROM post)") for i in range(3) for j, c in enumerate("ab")]
+
+
+@query(f"WITH RECURSIVE {CONTROL_SQL} " + _step_sql(_PAIR_FITS[:4], 2, lambda i, j: 1e-10 if j == 1 else 0))
+def em_step_control(spark, d):
+    """One Baum-Welch step of a sample against its control."""
+    bins = _planted_pair(spark, d)
+    return _step_rows(spark, hmm.em_step(bins, _pair_model(bins, CONTROL_RATES, CONTROL_STAY), "diff", ("a", "b")), 2)
+
+
+@query(f"WITH RECURSIVE {THREE_SQL} " + _step_sql(_PAIR_FITS, 3, lambda i, j: 0))
+def em_step_three(spark, d):
+    """One Baum-Welch step of two samples in three states."""
+    bins = _planted_pair(spark, d)
+    return _step_rows(spark, hmm.em_step(bins, _pair_model(bins, THREE_RATES, THREE_STAY), "diff", ("a", "b")), 3)
+
+
+@query(f"WITH RECURSIVE {TRIPLE_SQL} SELECT chrom, bin, round(p0, 6) AS p0, round(p1, 6) AS p1, state FROM post JOIN (SELECT region, t, state FROM dec) USING (region, t)")
+def posterior_three(spark, d):
+    p = F.col("p")
+    return hmm.decode(ev_regions(spark, d), TRIPLE).select("chrom", "bin", rounded(p[0]).alias("p0"), rounded(p[1]).alias("p1"), "state")
+
+
+@query(f"WITH RECURSIVE {TWO_DECODED}, {model_sql.scored(2)} SELECT chrom, bin, round(score, 6) AS score FROM sco")
+def boundary_scores(spark, d):
+    return boundaries.boundary_scores(_decoded(spark, d)).select("chrom", "bin", rounded("score").alias("score"))
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.withColumn("bins", F.col("bins").cast("long")).withColumns({"peak_score": rounded("peak_score"), "p": rounded("p")})
+
+
+_BOUNDARY = 'chrom, start, "end", bins, peak, round(peak_score, 6) AS peak_score, round(p, 6) AS p'
+
+
+@query(f"WITH RECURSIVE {TWO_DECODED}, {model_sql.scored(2)}, {model_sql.boundaries(2, 0.05)} SELECT {_BOUNDARY} FROM bou")
+def boundaries_both_ends(spark, d):
+    """Intervals at either end of enriched domains that have one at both."""
+    return _told(boundaries.boundaries(boundaries.boundary_scores(_decoded(spark, d)), 0.05))
+
+
+@query(f"WITH RECURSIVE {TRIPLE_SQL}, {model_sql.scored(3)}, {model_sql.boundaries(3, 0.1)} SELECT {_BOUNDARY} FROM bou")
+def boundaries_three_state(spark, d):
+    """Intervals at every change of three states, and at regions' ends."""
+    scored = boundaries.boundary_scores(hmm.decode(ev_regions(spark, d), TRIPLE), 3)
+    return _told(boundaries.boundaries(scored, 0.1, 3))
 
 
 RUNS = f"""{VITERBI}, turn AS (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER (PARTITION BY region ORDER BY bin) THEN 1 ELSE 0 END AS turn FROM dec),
@@ -481,35 +606,80 @@ def boundary_nearest(spark, d):
     return boundaries.nearest_change(_decoded(spark, d)).select("chrom", "bin", "change")
 
 
-@query()
+@query(f"WITH RECURSIVE {TWO_DECODED}, {model_sql.scored(2)}, {model_sql.boundaries(2, 0.05, islands=True)} SELECT {_BOUNDARY} FROM bou")
 def boundary_islands(spark, d):
-    """Islands of high transition posteriors around a change, with the support of a single one; tests compare with brute force."""
-    scored = boundaries.boundary_scores(_decoded(spark, d))
-    return boundaries.boundaries(scored, 0.05)
+    """Islands of high transition posteriors around a change, with the support of a single one."""
+    return _told(boundaries.boundary_islands(boundaries.boundary_scores(_decoded(spark, d)), 0.05))
 
 
-# whole programs
+# whole programs: with parameters from the data's means, which SQL can follow, and trained
 
 
-@query()
+SINGLE = f"""{ad.READS_PLANTED}, {ad.CHROMS_PLANTED}, {_bins_sql("planted", "planted_chroms", "c1", LINE_SIZE)},
+lgrid AS (SELECT chrom, unnest(range(0, ceil(width / {LINE_SIZE})::BIGINT)) AS bin FROM planted_chroms),
+ones AS (SELECT chrom, bin, least(coalesce(n, 0), {LINE_SIZE})::DOUBLE AS reads FROM lgrid LEFT JOIN c1 USING (chrom, bin)), mean AS (SELECT avg(reads) AS m FROM ones),
+regions AS (SELECT chrom || ':0' AS region, chrom, bin, bin * {LINE_SIZE} AS s, (bin + 1) * {LINE_SIZE} AS e, reads, m, 1.0::DOUBLE AS scale FROM ones, mean),
+{model_sql.recursions([f"(-{r} * m + reads * ln({r} * m) - lgamma(reads + 1))" for r in (1.5, 0.75)], _trans(CONTROL_STAY))}, {model_sql.decoded(_trans(CONTROL_STAY))}, {model_sql.domains(2, "reads", 0.95, 3000)}"""
+_DOMAIN = 'chrom, start, "end", state, round(mean, 6) AS mean, round(score, 5) AS score, n'
+
+
+def _line_settings(**more) -> segment.Settings:
+    return segment.Settings(bin_step=LINE_STEP, bin_size=LINE_SIZE, domain_size=5000, desert=5000, **more)
+
+
+def _domains(found: DataFrame) -> DataFrame:
+    return found.select("chrom", "start", "end", "state", rounded("mean").alias("mean"), rounded("score", 5).alias("score"), "n")
+
+
+@query(f"""WITH RECURSIVE {SINGLE}, cdf AS (SELECT k, sum(exp(-1.5 * m + k * ln(1.5 * m) - lgamma(k + 1))) OVER (ORDER BY k) AS f FROM (SELECT unnest(range(0, {LINE_SIZE} + 1)) AS k), mean)
+SELECT {_DOMAIN} FROM (SELECT *, 'ENRICHED' AS state FROM dom JOIN cdf ON k = floor(mean) WHERE label = 0 AND f >= 0.1)""")
 def domains_single(spark, d):
-    """One sample, trained: lineitem shipments over their days."""
-    s = segment.Settings(bin_step=LINE_STEP, bin_size=LINE_SIZE, domain_size=5000, desert=5000, max_iterations=5)
-    return segment.segment(ad.reads_lineitem(spark, d), ad.chroms_lineitem(spark), s).domains
+    """Domains in which one sample is enriched."""
+    r, chroms = ad.reads_planted(spark, d), ad.chroms_planted(spark)
+    m = binning.cap_counts(binning.load_bins({"reads": r}, chroms, LINE_SIZE), LINE_SIZE, ["reads"]).agg(F.avg("reads")).first()[0]
+    return _domains(segment.segment(r, chroms, _line_settings(), model=segment.fixed_model([f"pois {1.5 * m}", f"pois {0.75 * m}"], CONTROL_STAY)).domains)
 
 
-@query()
+def _pair_domains(spark, d, rates, stay, mode: int) -> DataFrame:
+    r, bins = ad.reads_planted(spark, d), _planted_pair(spark, d)
+    s = _line_settings(posterior_cutoff=0.5)
+    return _domains(segment.segment_pair(r.filter("sample = 'A'"), r.filter("sample = 'B'"), ad.chroms_planted(spark), s, model=_pair_model(bins, rates, stay), mode=mode).domains)
+
+
+@query(f"""WITH RECURSIVE {CONTROL_SQL}, {model_sql.decoded(_trans(CONTROL_STAY))}, {model_sql.domains(2, "diff", 0.5, 3000)}
+SELECT {_DOMAIN} FROM (SELECT dom.*, 'ENRICHED' AS state FROM dom JOIN cdf ON st = 0 AND d = floor(mean) WHERE label = 0 AND f >= 0.1)""")
 def domains_control(spark, d):
-    s = segment.Settings(bin_step=LINE_STEP, bin_size=LINE_SIZE, domain_size=5000, desert=5000, max_iterations=3, posterior_cutoff=0.5, foreground="skel", background="skel")
-    r = ad.reads_lineitem(spark, d)
-    return segment.segment_pair(r.filter("sample = 'A'"), r.filter("sample = 'B'"), ad.chroms_lineitem(spark), s).domains
+    """Domains in which a sample exceeds its control."""
+    return _pair_domains(spark, d, CONTROL_RATES, CONTROL_STAY, 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {THREE_SQL}, {model_sql.decoded(_trans(THREE_STAY))}, {model_sql.domains(3, "diff", 0.5, 3000)},
+sided AS (SELECT dom.* EXCLUDE (label), CASE WHEN label = 0 AND ceil(mean) < b.u - b.v THEN 2 WHEN label = 2 AND floor(mean) > a.u - a.v THEN 0 ELSE label END AS label FROM dom, states a, states b WHERE a.st = 0 AND b.st = 2)
+SELECT {_DOMAIN} FROM (SELECT sided.*, CASE label WHEN 0 THEN 'SAMPLE-I-ENRICHED' ELSE 'SAMPLE-II-ENRICHED' END AS state FROM sided JOIN cdf ON st = label AND d = CASE label WHEN 0 THEN floor(mean) ELSE ceil(mean) END
+  WHERE label IN (0, 2) AND CASE label WHEN 0 THEN f ELSE 1 - f END >= 0.1)""")
 def domains_two_samples(spark, d):
-    s = segment.Settings(bin_step=LINE_STEP, bin_size=LINE_SIZE, domain_size=5000, desert=5000, max_iterations=3, posterior_cutoff=0.5, foreground="nbdiff", background="nbdiff")
-    r = ad.reads_lineitem(spark, d)
-    return segment.segment_pair(r.filter("sample = 'A'"), r.filter("sample = 'B'"), ad.chroms_lineitem(spark), s, mode=3).domains
+    """Domains in which either sample exceeds the other."""
+    return _pair_domains(spark, d, THREE_RATES, THREE_STAY, 3)
+
+
+@query()
+def trained_single(spark, d):
+    """One sample with a trained model; pytest compares with what is planted."""
+    return segment.segment(ad.reads_planted(spark, d), ad.chroms_planted(spark), _line_settings(max_iterations=5)).domains
+
+
+@query()
+def trained_control(spark, d):
+    r = ad.reads_planted(spark, d)
+    s = _line_settings(max_iterations=3, posterior_cutoff=0.5, foreground="skel", background="skel")
+    return segment.segment_pair(r.filter("sample = 'A'"), r.filter("sample = 'B'"), ad.chroms_planted(spark), s).domains
+
+
+@query()
+def trained_two_samples(spark, d):
+    r = ad.reads_planted(spark, d)
+    s = _line_settings(max_iterations=3, posterior_cutoff=0.5, foreground="nbdiff", background="nbdiff")
+    return segment.segment_pair(r.filter("sample = 'A'"), r.filter("sample = 'B'"), ad.chroms_planted(spark), s, mode=3).domains
 
 
 # sequences
@@ -674,4 +844,4 @@ def binsize_empirical(spark, d):
 
 
 #: Queries that bench.py times.
-HEADLINE = ["bin_counts", "desert_regions", "interval_overlap_join", "interval_nearest", "viterbi_2s", "domains_single", "domains_control", "domains_two_samples", "kmer_duplicates", "depth"]
+HEADLINE = ["bin_counts", "desert_regions", "interval_overlap_join", "interval_nearest", "viterbi_2s", "domains_single", "domains_control", "domains_two_samples", "trained_single", "trained_control", "trained_two_samples", "kmer_duplicates", "depth"]

@@ -40,11 +40,11 @@ def gauss_ll(k: Column, s: Column, m: float, sd: float) -> Column:
     return F.greatest(-0.5 * F.pow((k - m * s) / (sd * s), F.lit(2.0)) - F.log(sd * s) - F.lit(0.5 * math.log(2 * math.pi)), F.lit(-30.0))
 
 
-def skellam_ll(k: Column, s: Column, u: float, v: float, terms: int = 80) -> Column:
-    """By the power series of the Bessel function, in log space about its terms' maximum."""
+def skellam_ll(k: Column, s: Column, u: float, v: float) -> Column:
+    """By the power series of the Bessel function, in log space about its terms' maximum, with as many terms as the rates need."""
     n, half = F.abs(k), F.log(s * math.sqrt(u * v))
     term = lambda m: (2 * m + n) * half - log_factorial(m) - log_factorial(m + n)
-    each = F.transform(F.sequence(F.lit(0), F.lit(terms)), term)
+    each = F.transform(F.sequence(F.lit(0), (80 + F.ceil(2 * s * math.sqrt(u * v))).cast("int")), term)
     top = F.array_max(each)
     total = top + F.log(F.aggregate(each, F.lit(0.0), lambda acc, t: acc + F.exp(t - top)))
     return F.when(n > 120, -40.0).otherwise(-(u + v) * s + k / 2 * math.log(u / v) + total)

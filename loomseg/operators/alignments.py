@@ -72,18 +72,13 @@ def remove_duplicates(sam: DataFrame, paired: bool = False) -> DataFrame:
 
 def depth(sam: DataFrame, mapq: int = 0) -> DataFrame:
     """(rname, pos, depth): how many alignments cover each position, from changes at the ends of covered stretches; no position is made per read."""
-    ops = cigar_ops(F.col("cigar"))
-
-    def step(acc, x):
-        covers = x["op"].isin("M", "=", "X")
-        moves = x["op"].isin("M", "=", "X", "D", "N")
-        e = acc["at"] + F.when(moves, x["n"]).otherwise(0)
-        out = F.when(covers, F.array_append(acc["out"], F.struct(acc["at"].alias("s"), e.alias("e")))).otherwise(acc["out"])
-        return F.struct(e.alias("at"), out.alias("out"))
-
-    spans = F.aggregate(ops, F.struct(F.col("pos").cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out")), step, lambda a: a["out"])
     kept = sam.filter((F.col("mapq") >= mapq) & ~has_flag(F.col("flag"), UNMAPPED | SECONDARY | FAILED | DUPLICATE))
-    edges = kept.select("rname", F.inline(spans)).select("rname", F.explode(F.array(F.struct(F.col("s").alias("p"), F.lit(1).alias("d")), F.struct(F.col("e").alias("p"), F.lit(-1).alias("d")))).alias("x"))
+    covers = F.col("op").isin("M", "=", "X")
+    # each stretch takes from what moves before it; a cigar is short
+    laid = kept.select("rname", F.col("pos").cast("long").alias("at"), cigar_ops(F.col("cigar")).alias("ops")).select("rname", "at", "ops", F.posexplode("ops").alias("i", "x")).select("rname", "at", "ops", "i", "x.*").filter(covers)
+    ahead = F.expr("aggregate(slice(ops, 1, i), 0L, (a, y) -> a + if(y.op IN ('M', '=', 'X', 'D', 'N'), y.n, 0))")
+    spans = laid.select("rname", (F.col("at") + ahead).alias("s"), F.col("n"))
+    edges = spans.select("rname", F.explode(F.array(F.struct(F.col("s").alias("p"), F.lit(1).alias("d")), F.struct((F.col("s") + F.col("n")).alias("p"), F.lit(-1).alias("d")))).alias("x"))
     w = Window.partitionBy("rname").orderBy("p")
     deep = edges.groupBy("rname", F.col("x.p").alias("p")).agg(F.sum("x.d").alias("d")).withColumn("depth", F.sum("d").over(w)).withColumn("q", F.lead("p").over(w)).filter("depth > 0")
     return deep.select("rname", F.explode(F.sequence("p", F.col("q") - 1)).alias("pos"), "depth")

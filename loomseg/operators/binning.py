@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import merge
+
 #: Bins that one generated row stands for before it is exploded: a long axis is spread over tasks.
 SPAN = 65_536
 
@@ -47,8 +49,8 @@ def bin_counts(reads: DataFrame, chroms: DataFrame, step: int, fragment: int = 0
 
 
 def dead_coverage(dead: DataFrame, step: int) -> DataFrame:
-    """(chrom, bin, dead): positions of each bin that dead stretches cover, summed over stretches."""
-    cells = dead.filter("end > start").select("chrom", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor((F.col("end") - 1) / step))).alias("bin"))
+    """(chrom, bin, dead): positions of each bin that dead stretches cover; where stretches overlap, once."""
+    cells = merge(dead.filter("end > start")).select("chrom", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor((F.col("end") - 1) / step))).alias("bin"))
     part = F.least("end", (F.col("bin") + 1) * step) - F.greatest("start", F.col("bin") * step)
     return cells.groupBy("chrom", "bin").agg(F.sum(part).alias("dead"))
 

@@ -212,32 +212,73 @@ def _ordered(m: Model) -> Model:
     return Model([m.emissions[i] for i in order], m.start[order], m.trans[np.ix_(order, order)], m.end[order])
 
 
-def baum_welch(bins: DataFrame, model: Model, k: str = "reads", pair: tuple[str, str] | None = None, most: int = 20, tolerance: float = 1e-20) -> tuple[Model, list[float]]:
-    """Trained model and the log-likelihood before each step. Start and end probabilities are kept; ends when the gain is too small or negative.
+def _swapped(m: Model) -> Model:
+    """Of two states, that with the larger mean first; start and end probabilities keep their places."""
+    if m.emissions[0].mean >= m.emissions[1].mean:
+        return m
+    return Model(m.emissions[::-1], m.start, m.trans[::-1, ::-1].copy(), m.end)
 
+
+def transitions(model: Model, moves: np.ndarray, pair: bool) -> np.ndarray:
+    """Transition probabilities from expected transitions: shares of each row, less what ends a region, at least LEAST.
+
+    One sample: each entry less half the row's end probability. A sample against its control: only moves into the second state, and its
+    stay, are lessened. Three states: none.
+    """
+    rows = moves.sum(axis=1, keepdims=True)
+    trans = np.where(rows > 0, moves / np.where(rows > 0, rows, 1), model.trans)
+    if model.n == 2:
+        less = np.stack([np.zeros(2), model.end], axis=1) if pair else np.repeat(model.end[:, None] / 2, 2, axis=1)
+        trans = trans - less
+    return np.maximum(trans, LEAST)
+
+
+def em_step(bins: DataFrame, model: Model, k: str = "reads", pair: tuple[str, str] | None = None) -> tuple[Model, float]:
+    """One Baum-Welch step: the refitted model, and the log-likelihood under the given one. Start and end probabilities are kept."""
+    moves, weighted, total = expectations(bins, model, k, pair)
+    return Model([d.fitted(w) for d, w in zip(model.emissions, weighted, strict=True)], model.start, transitions(model, moves, pair is not None), model.end), total
+
+
+def baum_welch(
+    bins: DataFrame, model: Model, k: str = "reads", pair: tuple[str, str] | None = None, most: int = 20, tolerance: float = 1e-20, order_states: bool = False
+) -> tuple[Model, list[float]]:
+    """Trained model and the log-likelihood before each step.
+
+    Two states: ends as soon as the likelihood gains less than `tolerance`; of that last step the emissions are kept and the transitions are
+    not. Three states: ends when it changes less, or falls, and keeps the whole step. States are ordered by mean where samples are
+    compared; with order_states, in one sample too.
     bins is persisted by the caller and partitioned by region, so an iteration shuffles only sums.
     """
     history: list[float] = []
     for _ in range(most):
-        moves, weighted, total = expectations(bins, model, k, pair)
-        if history and (total - history[-1]) / abs(history[-1]) < tolerance:
-            break
+        new, total = em_step(bins, model, k, pair)
+        gain = (total - history[-1]) / abs(history[-1]) if history else np.inf
+        if model.n == 3:
+            new = _ordered(new)
+        elif pair or order_states:
+            new = _swapped(new)
+        if gain < tolerance:
+            if model.n == 2:
+                new = Model(new.emissions, model.start, model.trans, model.end)
+            return new, history
         history.append(total)
-        rows = moves.sum(axis=1, keepdims=True)
-        trans = np.where(rows > 0, moves / np.where(rows > 0, rows, 1), model.trans)
-        trans = np.maximum(trans * (1 - model.end[:, None]), LEAST)
-        model = Model([d.fitted(w) for d, w in zip(model.emissions, weighted, strict=True)], model.start, trans, model.end)
-        if pair:
-            model = _ordered(model)
+        model = new
     return model, history
 
 
-def mixture(values: Weighted, kinds: list[Distribution], parts: np.ndarray, most: int, tolerance: float = 1e-20) -> tuple[list[Distribution], np.ndarray]:
-    """EM of a mixture from a first split (part of each distinct value, shares by weight); runs on the aggregated table."""
+def mixture(values: Weighted, kinds: list[Distribution], parts: np.ndarray, most: int, tolerance: float = 1e-20, scales_weigh: bool = False) -> tuple[list[Distribution], np.ndarray]:
+    """EM of a mixture from a first split (part of each distinct value, shares by weight); runs on the aggregated table.
+
+    scales_weigh: the first fit takes scales for weights, as the training of one sample does; later ones take them for scales.
+    """
     n = len(kinds)
     share = np.stack([(parts == i).astype(float) for i in range(n)], axis=1) if parts.ndim == 1 else parts
     fit = lambda w: [d.fitted(Weighted(values.k, values.s, np.maximum(values.w * w[:, i], 1e-12), values.a, values.b)) for i, d in enumerate(kinds)]
-    dists, mix, last = fit(share), np.full(n, 1 / n), None
+    mix, last = np.full(n, 1 / n), None
+    if scales_weigh:
+        dists = [d.fitted(Weighted(values.k, np.ones_like(values.s), np.maximum(values.w * values.s * share[:, i], 1e-12), values.a, values.b)) for i, d in enumerate(kinds)]
+    else:
+        dists = fit(share)
     for _ in range(most):
         ll = np.stack([d.log_likelihood(values.k, values.s) for d in dists], axis=1) + np.log(mix)
         top = ll.max(axis=1, keepdims=True)
@@ -247,7 +288,7 @@ def mixture(values: Weighted, kinds: list[Distribution], parts: np.ndarray, most
         mix = np.maximum((values.w[:, None] * p).sum(axis=0) / values.w.sum(), 1e-6)
         mix /= mix.sum()
         dists = fit(p)
-        if last is not None and abs(total - last) / abs(last) < tolerance:
+        if last is not None and ((total - last) / abs(last) if n == 2 else abs(total - last) / abs(last)) < tolerance:
             break
         last = total
     return dists, mix

@@ -94,18 +94,26 @@ def assign(x: DataFrame, big: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return points.join(_buckets(big, "big", bucket), ["_c", "_b"]).filter("x.start >= big.start AND x.start < big.end").select("x", "big")
 
 
-def nearest(x: DataFrame, targets: DataFrame) -> DataFrame:
+def nearest(x: DataFrame, targets: DataFrame, cell: int = 1 << 22) -> DataFrame:
     """x's columns with the nearest target (t_start, t_end) by distance of starts; a tie goes to the one before. Null on axes without one.
 
-    One union and two running windows per axis; no pairs are made.
+    Targets and queries of a cell of the axis stand in order; each sees the last target before it, and, in falling order, the last after it. What lies
+    in other cells comes from running windows over one row per cell. Frames only grow, and no pairs are made.
     """
     t = targets.select("chrom", F.col("start").alias("_p"), F.lit(0).alias("_k"), F.struct(F.col("start").alias("s"), F.col("end").alias("e")).alias("_t"), F.lit(None).cast(x.select(F.struct("*")).schema[0].dataType).alias("_x"))
     q = x.select("chrom", F.col("start").alias("_p"), F.lit(1).alias("_k"), F.lit(None).cast("struct<s:bigint,e:bigint>").alias("_t"), F.struct("*").alias("_x"))
-    w = Window.partitionBy("chrom").orderBy("_p", "_k", "_t.e")
-    both = t.union(q).withColumn("_l", F.last("_t", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_r", F.first("_t", True).over(w.rowsBetween(0, Window.unboundedFollowing))).filter("_k = 1")
+    both = t.union(q).withColumn("_c", F.floor(F.col("_p") / cell))
+    cells = both.groupBy("chrom", "_c").agg(F.max("_t").alias("_high"), F.min("_t").alias("_low"))
+    past = Window.partitionBy("chrom").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    next_ = Window.partitionBy("chrom").orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("chrom", "_c", F.max("_high").over(past).alias("_before"), F.min("_low").over(next_).alias("_after"))
+    up = Window.partitionBy("chrom", "_c").orderBy("_p", "_k", "_t.e")
+    # of equal starts the smallest end counts on the right, and at a query's own start a target is on its left
+    down = Window.partitionBy("chrom", "_c").orderBy(F.desc("_p"), F.desc("_k"), F.desc("_t.e"))
+    near = both.withColumn("_l", F.last("_t", True).over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.last("_t", True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.filter("_k = 1").join(cells, ["chrom", "_c"]).withColumn("_l", F.coalesce("_l", "_before")).withColumn("_r", F.coalesce("_r", "_after"))
     pick = F.when(F.col("_l").isNull(), F.col("_r")).when(F.col("_r").isNull() | (F.col("_p") - F.col("_l.s") <= F.col("_r.s") - F.col("_p")), F.col("_l")).otherwise(F.col("_r"))
-    return both.select("_x.*", pick.alias("_n")).select(*x.columns, F.col("_n.s").alias("t_start"), F.col("_n.e").alias("t_end"))
+    return near.select("_x.*", pick.alias("_n")).select(*x.columns, F.col("_n.s").alias("t_start"), F.col("_n.e").alias("t_end"))
 
 
 def sync_chroms(stable: DataFrame, other: DataFrame) -> DataFrame:

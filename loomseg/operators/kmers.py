@@ -16,9 +16,12 @@ def kmers(seqs: DataFrame, k: int, prefix: int = 5, convert: str | None = None)
     """(name, pos, kmer): every window of both strands at its forward start; the first `prefix` letters must be bases. convert: C or G, for converted reads."""
     s = F.upper("seq")
     n = F.length("seq") - k + 1
-    parts = seqs.filter(n > 0).select("name", s.alias("s"), n.alias("n")).select("name", "n", "s", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SPAN).cast("int"))).alias("p"))
-    # a part is cut out first, so a window is taken from a short string
-    part = parts.select("name", (F.col("p") * SPAN).alias("at"), F.expr(f"substring(s, p * {SPAN} + 1, {SPAN} + {k} - 1)").alias("piece"))
+    # a window is taken from a short part, and a part from a block, so that no cut runs through a long sequence from its start
+    def cut(rows: DataFrame, span: int) -> DataFrame:
+        at = F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - k) / span).cast("int"))).alias("p")
+        return rows.select("name", "at", "s", at).select("name", (F.col("at") + F.col("p") * span).alias("at"), F.expr(f"substring(s, p * {span} + 1, {span} + {k} - 1)").alias("s"))
+
+    part = cut(cut(seqs.filter(n > 0).select("name", F.lit(0).cast("long").alias("at"), s.alias("s")), SPAN * 256), SPAN).withColumnRenamed("s", "piece")
     starts = part.select("name", "at", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - k)).alias("i"))
     window = F.substring("piece", F.col("i") + 1, F.lit(k))
     change = (lambda c: c) if convert is None else (lambda c: bisulfite(c, "+" if convert == "C" else "-"))
@@ -41,16 +44,10 @@ def gap_runs(seqs: DataFrame, least: int = 50) -> DataFrame:
     s = F.upper("seq")
     pattern = f"N{{{least},}}"
     gaps, hits = F.split(s, pattern, -1), F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), hits.alias("h"))
-    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-
-    def step(acc, x):
-        b = acc["at"] + F.length(x["g"])
-        e = b + F.length(x["h"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(b.alias("s"), e.alias("e"))).alias("out"))
-
-    found = F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return seqs.select(F.col("name").alias("chrom"), F.explode(found).alias("x")).select("chrom", F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+    rows = seqs.select("name", F.posexplode(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("g"), hits.alias("h"))).alias("i", "x"))
+    w = Window.partitionBy("name").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.select("name", F.length("x.h").alias("n"), F.sum(F.length("x.g") + F.length("x.h")).over(w).alias("e"))
+    return ends.select(F.col("name").alias("chrom"), (F.col("e") - F.col("n")).alias("start"), F.col("e").alias("end"))
 
 
 def position_runs(positions: DataFrame) -> DataFrame:

@@ -6,16 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that an ordered column is cut into, and rows from which on that is done; a range is sorted by one task.
+RANGES, LEAST_ROWS = 512, 200_000
+
+
+def _ranges(rows: DataFrame, value: str, n: int) -> Column:
+    """The number of a value's range, by approximate quantiles: rising with the value, about RANGES of them for many rows."""
+    cuts = rows.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES)) if n > LEAST_ROWS else []
+    cuts = sorted(set(cuts))
+    return F.size(F.filter(F.lit(cuts), lambda c: c < F.col(value))) if cuts else F.lit(0)
+
+
+def running(rows: DataFrame, value: str, of: str, name: str, how=F.sum, desc: bool = False, inclusive: bool = True) -> DataFrame:
+    """Adds name: how (sum or max) of `of` over the rows with a smaller value (desc: larger), and the row's own if inclusive; values are distinct.
+
+    Ranges of the value run side by side; a window over one row a range gives each what lies before it.
+    """
+    far = rows.withColumn("_g", _ranges(rows, value, rows.count()))
+    order = (lambda c: F.desc(c)) if desc else F.col
+    past = Window.orderBy(order("_g")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = far.groupBy("_g").agg(how(of).alias("_c")).withColumn("_c", how("_c").over(past))
+    within = Window.partitionBy("_g").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    met = far.join(F.broadcast(carry), "_g").withColumn(name, how(of).over(within))
+    joined = F.greatest(name, "_c") if how is F.max else F.when(F.col(name).isNull(), F.col("_c")).otherwise(F.col(name) + F.coalesce("_c", F.lit(0)))
+    return met.withColumn(name, joined).drop("_g", "_c")
+
+
 def _mass_before(values: DataFrame, value: str, order: str) -> DataFrame:
     """value, order, _before: sum of |value| of the rows ahead in (value desc, order desc), and _total.
 
-    Sums per distinct value come first: the ordered window runs over those, not over rows.
+    Sums per distinct value come first: the ordered windows run over those, not over rows.
     """
     per = values.groupBy(value).agg(F.sum(F.abs(value)).alias("_m"))
-    ahead = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_ahead", F.coalesce(F.sum("_m").over(ahead), F.lit(0.0))).withColumn("_total", F.sum("_m").over(Window.partitionBy()))
+    total = per.agg(F.sum("_m").alias("_total"))
+    per = running(per, value, "_m", "_ahead", desc=True, inclusive=False).withColumn("_ahead", F.coalesce("_ahead", F.lit(0.0)))
     at = F.row_number().over(Window.partitionBy(value).orderBy(F.col(order).desc())) - 1
-    return values.join(per.drop("_m"), value).withColumn("_before", F.col("_ahead") + at * F.abs(value)).drop("_ahead")
+    return values.join(per.drop("_m"), value).crossJoin(F.broadcast(total)).withColumn("_before", F.col("_ahead") + at * F.abs(value)).drop("_ahead")
 
 
 def half_mass_split(values: DataFrame, value: str, order: str) -> DataFrame:
@@ -27,19 +53,31 @@ def third_mass_split(values: DataFrame, value: str, order: str) -> DataFrame:
     """Adds part 0, 1, 2: rows by falling value until a third of the mass each; the sum begins anew with part 1."""
     m = _mass_before(values, value, order)
     third = F.ceil(F.col("_total") / 3)
-    first = F.min(F.when(F.col("_before") >= third, F.col("_before"))).over(Window.partitionBy())
-    return m.withColumn("_first", first).withColumn("part", F.when(F.col("_before") < third, 0).when(F.col("_before") - F.col("_first") < third, 1).otherwise(2)).drop("_before", "_total", "_first")
+    first = m.agg(F.min(F.when(F.col("_before") >= third, F.col("_before"))).alias("_first"))
+    return m.crossJoin(F.broadcast(first)).withColumn("part", F.when(F.col("_before") < third, 0).when(F.col("_before") - F.col("_first") < third, 1).otherwise(2)).drop("_before", "_total", "_first")
 
 
 def percentile_cutoff(values: DataFrame, value: str, share: float = 0.05) -> float | None:
-    """Element floor(n (1 - share)), counted from 0, of the sorted values: found among counts of distinct values."""
-    n = values.filter(F.col(value).isNotNull()).count()
+    """Element floor(n (1 - share)), counted from 0, of the sorted values; None without values.
+
+    Values are counted by range until the range that holds the element has few different ones; only those are sorted.
+    """
+    left = values.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    n = left.agg(F.sum("_n")).first()[0]
     if not n:
         return None
     at = min(int(n * (1 - share) + 1e-9), n - 1)
-    per = values.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    while True:
+        grouped = left.withColumn("_g", _ranges(left, value, left.count()))
+        for r in grouped.groupBy("_g").agg(F.sum("_n").alias("n"), F.count("*").alias("k")).orderBy("_g").collect():
+            if at < r.n:
+                break
+            at -= r.n
+        left = grouped.filter(F.col("_g") == r["_g"]).drop("_g")
+        if r.k <= LEAST_ROWS or r["_g"] == 0 and grouped.select("_g").distinct().count() == 1:
+            break
     upto = F.sum("_n").over(Window.orderBy(value))
-    return per.withColumn("_u", upto).filter(F.col("_u") > at).agg(F.min(value)).first()[0]
+    return left.withColumn("_u", upto).filter(F.col("_u") > at).agg(F.min(value)).first()[0]
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
@@ -52,18 +90,23 @@ def weighted_variance(x: Column, w: Column) -> Column:
     return (F.sum(w * x * x) / total - F.pow(F.sum(w * x) / total, F.lit(2.0))) * (total * total) / (total * total - F.sum(w * w))
 
 
-def bh_adjust(values: DataFrame, p: str) -> DataFrame:
-    """Adds adjusted: the running maximum, by rising p, of p n / rank; ties share the rank of their last. At most 1."""
-    per = values.groupBy(p).agg(F.count("*").alias("_k"))
-    w = Window.orderBy(p)
-    per = per.withColumn("_rank", F.sum("_k").over(w)).withColumn("_n", F.sum("_k").over(Window.partitionBy()))
-    per = per.withColumn("adjusted", F.least(F.max(F.col(p) * F.col("_n") / F.col("_rank")).over(w), F.lit(1.0)))
-    return values.join(per.select(p, "adjusted"), p)
+def bh_adjust(values: DataFrame, p: str, standard: bool = False) -> DataFrame:
+    """Adds adjusted, at most 1; ties share the rank of their last.
+
+    The running maximum, by rising p, of p n / rank; standard: the smallest of p n / rank from a row on (Benjamini and Hochberg).
+    """
+    per = running(values.groupBy(p).agg(F.count("*").alias("_k")), p, "_k", "_rank").crossJoin(F.broadcast(values.agg(F.count(p).alias("_n"))))
+    per = per.withColumn("_q", F.col(p) * F.col("_n") / F.col("_rank"))
+    if standard:
+        per = running(per.withColumn("_q", -F.col("_q")), p, "_q", "_m", how=F.max, desc=True).withColumn("_m", -F.col("_m"))
+    else:
+        per = running(per, p, "_q", "_m", how=F.max)
+    return values.join(per.select(p, F.least("_m", F.lit(1.0)).alias("adjusted")), p)
 
 
 def fdr_cutoff(values: DataFrame, p: str, alpha: float) -> float | None:
     """The largest p below the first that reaches alpha rank / n; null if the smallest already does."""
-    per = values.groupBy(p).agg(F.count("*").alias("_k")).withColumn("_rank", F.sum("_k").over(Window.orderBy(p)) - F.col("_k") + 1)
+    per = running(values.groupBy(p).agg(F.count("*").alias("_k")), p, "_k", "_rank").withColumn("_rank", F.col("_rank") - F.col("_k") + 1)
     n = values.count()
     bad = per.filter(F.col(p) >= alpha * F.col("_rank") / n).agg(F.min(p)).first()[0]
     good = per if bad is None else per.filter(F.col(p) < bad)

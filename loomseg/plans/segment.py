@@ -13,6 +13,10 @@ from ..operators import binning, binsize, boundaries, domains, hmm, kmers
 from ..operators.hmm import Model
 
 
+#: Bins of the shuffled control where samples are compared.
+CONTROL = 150_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """Options with their defaults; distributions by name."""
@@ -35,6 +39,7 @@ class Settings:
     foreground: str = "nbd"
     background: str = "nbd"
     seed: int = 1
+    order_states: bool = False
 
 
 DIFFERENCE = Settings(posterior_cutoff=0.5, foreground="nbdiff", background="nbdiff")
@@ -55,10 +60,15 @@ class Segmentation:
     def boundary_scores(self) -> DataFrame:
         return boundaries.boundary_scores(self.bins, self.model.n)
 
-    def boundaries(self, seed: int = 1, most: int = 0) -> DataFrame:
-        """Islands above what 95 % of shuffled bins reach."""
+    def boundaries(self, seed: int = 1, most: int | None = None, both_ends: bool = True) -> DataFrame:
+        """Intervals around domains' ends above what 95 % of shuffled bins reach; without bins there is none.
+
+        most: the shuffled control's bins, of the first 150,000 where samples are compared. both_ends=False: islands that hold a change, once each.
+        """
+        most = (CONTROL if len(self.counts) > 1 else 0) if most is None else most
         cutoff = boundaries.control_cutoff(self.bins, self.model, self.k, [*dict.fromkeys([self.k, *self.counts, "scale"])] if len(self.counts) > 1 else [self.k], seed=seed, most=most)
-        return boundaries.boundaries(self.boundary_scores(), cutoff or 0.0, self.model.n)
+        find = boundaries.boundaries if both_ends else boundaries.boundary_islands
+        return find(self.boundary_scores(), np.inf if cutoff is None else cutoff, self.model.n)
 
 
 def choose_bin_size(bins: DataFrame, s: Settings, count: str) -> int:
@@ -84,9 +94,9 @@ def prepare(samples: dict[str, DataFrame], chroms: DataFrame, s: Settings, dead:
 
 def _train(bins: DataFrame, kinds: list[str], k: str, pair, s: Settings, size: int, starts: int) -> tuple[Model, list[float]]:
     values = hmm.distinct_values(bins, k, pair)
-    dists, mix = hmm.mixture(values, [make(x) for x in kinds], hmm.mass_parts(values, len(kinds)), starts)
+    dists, mix = hmm.mixture(values, [make(x) for x in kinds], hmm.mass_parts(values, len(kinds)), starts, scales_weigh=pair is None)
     model = Model(dists, *hmm.first_transitions(mix, s.domain_size, size))
-    return hmm.baum_welch(bins, hmm._ordered(model) if pair else model, k, pair, s.max_iterations)
+    return hmm.baum_welch(bins, hmm._ordered(model) if pair else model, k, pair, s.max_iterations, order_states=s.order_states)
 
 
 def _finish(bins: DataFrame, model: Model, k: str, counts: tuple[str, ...], s: Settings, size: int, history: list[float]) -> Segmentation:

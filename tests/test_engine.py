@@ -155,6 +155,7 @@ def test_micro_cases(spark):
 def test_single_change_by_enumeration():
     moves = np.random.default_rng(2).random((5, 2, 2))
     rows = moves / moves.sum(axis=2, keepdims=True)
+    rows[0] = moves[0]  # the interval is entered by a joint posterior
     want = sum(np.prod([rows[t, 0, 0] for t in range(k)]) * rows[k, 0, 1] * np.prod([rows[t, 1, 1] for t in range(k + 1, 5)]) for k in range(5))
     assert boundaries.single_change(moves, 0, 1) == pytest.approx(want)
 
@@ -215,3 +216,35 @@ def test_small_functions(spark):
         fx.bisulfite(F.lit("ACGT")), fx.split_text(F.lit("a,,b"), ","), fx.error_to_phred(F.lit(0.01)), fx.quality_scores(F.lit("!I")),
     ).first()
     assert tuple(r) == (pytest.approx(math.log(math.exp(-1) + math.exp(-2))), 2, 27, ["a", "b c", "d", "e"], 66, "y", "ATGT", ["a", "b"], 20.0, [0, 40])
+
+
+def test_transition_rules():
+    moves = np.array([[9.0, 1.0], [2.0, 8.0]])
+    m = hmm.Model([make("pois 3"), make("pois 1")], np.full(2, 0.5), np.full((2, 2), 0.5), np.array([0.02, 0.04]))
+    assert hmm.transitions(m, moves, False) == pytest.approx(np.array([[0.89, 0.09], [0.18, 0.78]]))
+    assert hmm.transitions(m, moves, True) == pytest.approx(np.array([[0.9, 0.08], [0.2, 0.76]]))
+    m3 = hmm.Model([make("pois 3")] * 3, np.full(3, 1 / 3), np.eye(3), np.full(3, 0.1))
+    assert hmm.transitions(m3, np.ones((3, 3)), True) == pytest.approx(np.full((3, 3), 1 / 3))
+
+
+def test_overlapping_dead_stretches_count_once(spark):
+    dead = spark.createDataFrame([("c", 0, 50), ("c", 0, 50), ("c", 10, 60)], "chrom string, start long, end long")
+    chroms = spark.createDataFrame([("c", 0, 100)], "chrom string, start long, end long")
+    reads = spark.createDataFrame([("c", 5, 41, "+")], "chrom string, start long, end long, strand string")
+    got = {r.bin: r.scale for r in binning.load_bins({"reads": reads}, chroms, 50, dead).collect()}
+    assert got == {0: pytest.approx(0.0), 1: pytest.approx(0.8)}
+
+
+def test_ranges_of_an_ordered_column(spark, monkeypatch):
+    from loomseg.operators import stats
+
+    monkeypatch.setattr(stats, "LEAST_ROWS", 20)
+    monkeypatch.setattr(stats, "RANGES", 8)
+    rng = np.random.default_rng(1)
+    x = rng.permutation(300) / 7
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    assert stats.percentile_cutoff(df, "x", 0.05) == np.sort(x)[285]
+    got = {r.x: r.s for r in stats.running(df, "x", "x", "s").collect()}
+    want = dict(zip(np.sort(x), np.cumsum(np.sort(x)), strict=True))
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    assert stats.percentile_cutoff(spark.createDataFrame([(1.0,)] * 50, "x double"), "x") == 1.0
