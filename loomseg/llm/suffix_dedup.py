@@ -4,8 +4,10 @@ Every window of `length` bytes is given to the K-gram in it with the smallest ha
 windows meet under one key whatever surrounds them. Successive windows with the same K-gram are a stretch of
 text. Stretches are counted by key and content first, so copies cost a row each; only keys under which different
 stretches meet go on to the shards. A shard holds whole keys: its suffix array is built by Larsson-Sadakane refinement and
-common prefixes follow by Kasai's rule. A key with very many different stretches is dealt to several shards, which
-are merged by binary search of one's windows in the other's suffix array.
+common prefixes follow by Kasai's rule. A key with very many different stretches is dealt to several shards; what they
+share is found by binary search of each one's windows, in order of their 128-bit hashes, among those of all, range by range.
+
+Two stretches are taken for equal if they agree in key and content, 64 bits each; only stretches under one key are compared so.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .shared import bounded_batches, stored, utf8_column
 GRAM = 64
 #: Bytes of a text that are winnowed at once.
 BLOCK = 1 << 19
-#: Stretches in a shard, about: bounds the suffix array's memory.
+#: Stretches in a shard, about: one has under 2 * length bytes, so this bounds the suffix array's memory.
 SHARD = 3000
 _BASE = 0x9E3779B97F4A7C15
 
@@ -164,26 +166,10 @@ class Shard:
         many = np.bincount(group[whole], minlength=group[-1] + 1)
         return np.sort(self.order[whole & (many[group] > 1)])
 
-    def found_in(self, other: Shard) -> np.ndarray:
-        """Starts of windows that other has too, by binary search in its suffix array."""
-        base = other.order = suffix_array(other.b)
-        base = base[other.whole[base]]
-        mine, steps, out = np.flatnonzero(self.whole), np.arange(self.length), []
-        for k in range(0, len(mine), 2048):
-            s = mine[k : k + 2048]
-            want = self.b[s[:, None] + steps]
-            low, high = np.zeros(len(s), np.int64), np.full(len(s), len(base))
-            while (open_ := low < high).any():
-                mid = (low + high) // 2
-                got = other.b[base[np.minimum(mid, len(base) - 1)][:, None] + steps]
-                unlike = got != want
-                at = unlike.argmax(axis=1)
-                less = unlike[np.arange(len(s)), at] & (got[np.arange(len(s)), at] < want[np.arange(len(s)), at])
-                low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
-            hit = low < len(base)
-            hit[hit] = (other.b[base[low[hit]][:, None] + steps] == want[hit]).all(axis=1)
-            out.append(s[hit])
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of whole windows, and the windows' 128-bit hashes."""
+        starts, view = np.flatnonzero(self.whole), memoryview(self.b)
+        return starts, np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[s : s + self.length]) for s in starts.tolist()]), "S16")
 
     def runs(self, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(key, content, first, last): runs of starts, counted from their stretch's beginning."""
@@ -207,7 +193,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def repeated_runs(bodies: DataFrame, length: int) -> DataFrame:
     """(key, content, u, v): windows repeated among the different stretches (key, content, body) of each key."""
-    spark = bodies.sparkSession
     total = bodies.count()
     buckets = max(1, -(-total // (SHARD // 2)))
     placed = bodies.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
@@ -215,7 +200,8 @@ def repeated_runs(bodies: DataFrame, length: int) -> DataFrame:
     placed = placed.join(stored(full, "full"), F.col("bucket") == F.col("fb"), "left")
     placed = placed.withColumn("sub", F.when(F.col("subs").isNull(), 0).otherwise(F.pmod(F.xxhash64("content"), F.col("subs"))))
     shards = placed.groupBy("bucket", "sub").agg(F.collect_list(F.struct("key", "content", "body")).alias("x"), F.max("subs").alias("subs"))
-    shards = stored(shards.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "bucket", "sub"), "shards")
+    # a task has a few shards, however small a file they stand in
+    shards = stored(shards, "shards").repartition(max(1, 2 * total // SHARD), "bucket", "sub")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,18 +210,59 @@ def repeated_runs(bodies: DataFrame, length: int) -> DataFrame:
                 if rows := s.runs(s.repeated()):
                     yield _batch(rows)
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = "key long, content long, u long, v long"
+    dealt = shards.filter("subs IS NOT NULL")
+    return shards.select("x").mapInArrow(own, schema).union(_across(dealt, length).mapInArrow(_met_runs(length), schema))
+
+
+def _across(dealt: DataFrame, length: int) -> DataFrame:
+    """(x, hashes): each shard of a dealt bucket with the hashes of those of its windows that another of its shards has too.
+
+    A shard's different windows are put in order of their hash and cut into as many ranges as the bucket has shards. Of a range, every shard's part
+    is searched for in all parts laid in order; so the work follows the number of windows, and no two shards meet whole.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                bucket, sub, subs = (b.column(c)[i].as_py() for c in ("bucket", "sub", "subs"))
+                h = np.unique(Shard(b.column("x")[i].as_py(), length).digests()[1])
+                upper = np.frombuffer(h.tobytes(), ">u4")[::4].astype(np.uint64)
+                edges = np.searchsorted(upper * np.uint64(subs) >> np.uint64(32), np.arange(subs + 1))
+                parts = [(bucket, sub, r, h[x:y].tobytes()) for r, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*parts, strict=True)], ["bucket", "sub", "range", "hashes"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                x, y = (Shard(b.column(c)[i].as_py(), length) for c in "xy")
-                if rows := x.runs(x.found_in(y)) + y.runs(y.found_in(x)):
+                bucket, parts = b.column("bucket")[i].as_py(), b.column("parts")[i].as_py()
+                own = [np.frombuffer(p["hashes"], "S16") for p in parts]
+                every = np.sort(np.concatenate(own))
+                found = []
+                for p, h in zip(parts, own, strict=True):
+                    many = np.searchsorted(every, h, "right") - np.searchsorted(every, h, "left")
+                    if (many > 1).any():
+                        found.append((bucket, p["sub"], h[many > 1].tobytes()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["b2", "s2", "hashes"])
+
+    ranges = dealt.mapInArrow(cut, "bucket long, sub long, range long, hashes binary").groupBy("bucket", "range").agg(F.collect_list(F.struct("sub", "hashes")).alias("parts"))
+    met = ranges.select("bucket", "parts").mapInArrow(meet, "b2 long, s2 long, hashes binary").groupBy("b2", "s2").agg(F.collect_list("hashes").alias("hashes"))
+    return dealt.join(met, (F.col("bucket") == F.col("b2")) & (F.col("sub") == F.col("s2"))).select("x", "hashes")
+
+
+def _met_runs(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                s, wanted = Shard(b.column("x")[i].as_py(), length), np.sort(np.frombuffer(b"".join(b.column("hashes")[i].as_py()), "S16"))
+                starts, h = s.digests()
+                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                if rows := s.runs(starts[wanted[at] == h]):
                     yield _batch(rows)
 
-    schema = "key long, content long, u long, v long"
-    parts = shards.filter("subs IS NOT NULL")
-    other = parts.select(F.col("bucket").alias("b2"), F.col("sub").alias("s2"), F.col("x").alias("y"))
-    pairs = parts.join(other, (F.col("bucket") == F.col("b2")) & (F.col("sub") < F.col("s2"))).select("x", "y")
-    return shards.select("x").mapInArrow(own, schema).union(pairs.mapInArrow(merged, schema))
+    return run
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -69,3 +69,16 @@ def test_hard_texts(spark, odd, empty, monkeypatch):
     rows = sd.remove_repeats(odd).collect()
     assert len(rows) == 8 and {r.n_removed for r in rows if r.doc_id == 5} == {150_000}
     assert sd.remove_repeats(empty).count() == 0
+
+
+def test_planted_passages_go_from_400_bytes_on(spark):
+    """Passages of 51 words and more in several texts: every byte of one goes if it has 400 bytes, and none if it is shorter."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randrange(3, 9)))
+    passages = [" ".join(word() for _ in range(n)) for n in (51, 52, 55, 60, 70, 90, 130)]
+    passages += [p.encode()[:n].decode("utf-8", "ignore") for n in (399, 400, 401) for p in passages[-1:]]
+    texts = [f"{rng.random()} {' '.join(word() for _ in range(20))} {p} {rng.random()}" for p in passages for _ in range(3)]
+    got = {r.doc_id: r for r in sd.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == _brute(texts, 400)
+    for i, p in enumerate(p for p in passages for _ in range(3)):
+        assert (got[i].n_removed >= len(p.encode())) == (got[i].n_removed > 0) == (len(p.encode()) + 2 >= 400)
