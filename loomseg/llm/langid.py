@@ -8,6 +8,7 @@ character wins; a text whose cross-entropy is far above what its language's own
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -19,13 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, held_out, stored, text_slices, worker_cache
+from .shared import bounded_batches, held_out, stored, text_slices, trim, worker_cache
 
 ORDER = 4
 SPACE = 0x20
 #: A first-order model shares what it discounts among so many characters.
 ALPHABET = 1 << 16
 UNKNOWN = "und"
+#: Characters of a text that are folded, and symbols that are scored, at once.
+LONG = 1 << 20
+#: Symbols in a block of calibration, fewest set-aside texts that calibrate a language alone, and standard deviations up to which a text is not rejected.
+BLOCK, ALONE, LIMIT = 16, 5, 12
 
 
 @cache
@@ -57,6 +62,24 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
+def long_symbols(text: str) -> np.ndarray:
+    """symbols() of one text, folded piece by piece."""
+    low, out = text.lower(), [np.full(ORDER - 1, SPACE, np.uint16)]
+    for at in range(0, len(low), LONG):
+        piece, after = low[at : at + LONG], low[at + LONG : at + LONG + 1]
+        s = symbols([piece])[0][ORDER - 1 :]
+        # a piece's end is a space; within the text it is one only if the next character or this piece's last is
+        if after and _folding()[ord(after)] != SPACE and _folding()[ord(piece[-1])] != SPACE:
+            s = s[:-1]
+        if len(out) == 1 or not (len(s) and s[0] == SPACE and out[-1][-1] == SPACE):
+            out.append(s)
+        else:
+            out.append(s[1:])
+        if not len(out[-1]):
+            out.pop()
+    return np.concatenate(out)
+
+
 def grams(s: np.ndarray) -> np.ndarray:
     """The packed ORDER-gram that ends at each symbol from ORDER - 1 on."""
     w = s.astype(np.uint64)
@@ -120,14 +143,18 @@ class LanguageModels:
         return -out
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy in bits per symbol of each text under each language, and symbols per text."""
+        """Cross-entropy in bits per symbol of each text under each language, and symbols per text. A long text is scored in blocks that overlap."""
+        if len(texts) == 1 and len(texts[0]) > LONG:
+            s = long_symbols(texts[0])
+            n, total = len(s) - ORDER + 1, np.zeros(len(self.langs))
+            for i in range(0, n, LONG):
+                total += self.costs(grams(s[i : i + LONG + ORDER - 1])).sum(axis=0, dtype=np.float64)
+            return (total / max(n, 1))[None], np.array([n])
         s, n = symbols(texts)
         out = np.zeros((len(texts), len(self.langs)))
         if len(self.langs) and n.any():
-            bits = self.costs(grams(s))
-            own = real(n)
+            sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.costs(grams(s))[real(n)], axis=0, dtype=np.float64)])
             ends = np.cumsum(n)
-            sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(bits[own], axis=0, dtype=np.float64)])
             out = (sums[ends] - sums[ends - n]) / np.maximum(n, 1)[:, None]
         return out, n
 
@@ -141,7 +168,7 @@ class LanguageModels:
                 continue
             best = int(c.argmin())
             share = 1 / float(np.exp2(np.clip((c[best] - c) * k, -1000, 0)).sum())
-            most = self.mean[best] + 6 * np.sqrt(self.spread[best] ** 2 + self.noise[best] ** 2 / k)
+            most = self.mean[best] + LIMIT * np.sqrt(self.spread[best] ** 2 + self.noise[best] ** 2 / k)
             got.append((self.langs[best], share, float(c[best]), bool(c[best] > most)))
         return got
 
@@ -201,8 +228,7 @@ def build(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]) ->
 def fit_languages(docs: DataFrame, per_language: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
     """Models of every non-null language among documents that are not held out, from about `per_language` of each, chosen by hash.
 
-    A tenth of the sample is left out of the counts and calibrates rejection: the mean and spread of its texts' cross-entropy,
-    and the noise of a single symbol. What reaches the driver is bounded by the sample, whatever the corpus holds.
+    A tenth of the sample is left out of the counts and calibrates rejection (calibrate). What reaches the driver is bounded by the sample, whatever the corpus holds.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -236,26 +262,56 @@ def fit_languages(docs: DataFrame, per_language: int = 1500, id_col: str = "doc_
         at = at[np.argsort(k[at])]
         counts[x] = k[at], c[at]
     models = build(langs, counts)
-    for r in _calibration(sample.filter("aside"), models).collect():
-        i = langs.index(r["lang"])
-        models.mean[i], models.spread[i], models.noise[i] = r["m"], max(r["s"] or 0.0, 0.05), r["v"]
+    calibrate(models, _calibration(sample.filter("aside"), models).collect())
     return models
 
 
+def calibrate(models: LanguageModels, told: list) -> None:
+    """Sets each language's mean, its texts' spread about it and the noise of a symbol from sums over set-aside texts.
+
+    A language with under ALONE such texts takes the spread and the noise of all languages together, and their mean if it has none.
+    Without any set-aside text nothing is rejected.
+    """
+    of = {r["lang"]: np.array([r[x] or 0.0 for x in ("k", "n", "bits", "square", "blocks", "bm", "bs")]) for r in told}
+    fits = {}
+    for lang, x in [*of.items(), (None, sum(of.values()) if of else None)]:
+        if x is None or not x[1]:
+            continue
+        k, n, bits, square, blocks, bm, bs = x
+        mean = bits / n
+        noise2 = BLOCK * max(bs / blocks - (bm / blocks) ** 2, 0.0) if blocks else (2 * mean) ** 2
+        fits[lang] = k, mean, math.sqrt(max(square / n - mean**2 - noise2 * k / n, 0.05**2)), math.sqrt(noise2)
+    if None in fits:
+        for i, lang in enumerate(models.langs):
+            own, every = fits.get(lang, fits[None]), fits[None]
+            models.mean[i], (models.spread[i], models.noise[i]) = own[1], (own if own[0] >= ALONE else every)[2:]
+
+
 def _calibration(rows: DataFrame, models: LanguageModels) -> DataFrame:
+    """Per language: texts (k), symbols (n), their bits, sum over texts of n times the squared mean (square), and number, sum and squares of the means over blocks of BLOCK symbols."""
     held = rows.sparkSession.sparkContext.broadcast(models)
+    names = ["k", "n", "bits", "square", "blocks", "bm", "bs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
         for b in batches:
-            langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
-            for i, j in text_slices([len(t) for t in texts]):
-                ce, n = held.value.score(texts[i:j])
-                at = [(x, float(c[held.value.langs.index(x)]), int(k)) for x, c, k in zip(langs[i:j], ce, n, strict=True) if k >= 50 and x in held.value.langs]
-                yield pa.RecordBatch.from_arrays([pa.array([r[q] for r in at], t) for q, t in ((0, pa.string()), (1, pa.float64()), (2, pa.int64()))], ["lang", "ce", "n"])
-
-    got = rows.mapInArrow(run, "lang string, ce double, n long")
-    # a single symbol's cost varies by about as much as its mean
-    return got.groupBy("lang").agg(F.avg("ce").alias("m"), F.stddev_pop("ce").alias("s"), (2 * F.avg("ce")).alias("v"), F.count("*").alias("k")).filter("k >= 5")
+            langs, texts, at = b.column("lang").to_pylist(), b.column("text").to_pylist(), []
+            for lang, t in zip(langs, texts, strict=True):
+                if lang not in m.langs:
+                    continue
+                s = long_symbols(t)
+                sums = np.zeros(len(names))
+                for i in range(0, len(s) - ORDER + 1, LONG):
+                    c = m.costs(grams(s[i : i + LONG + ORDER - 1]))[:, m.langs.index(lang)].astype(np.float64)
+                    means = c[: len(c) // BLOCK * BLOCK].reshape(-1, BLOCK).mean(axis=1)
+                    sums += [0, len(c), c.sum(), 0, len(means), means.sum(), (means * means).sum()]
+                if sums[1]:
+                    sums[0], sums[3] = 1, sums[2] ** 2 / sums[1]
+                    at.append((lang, *sums))
+            yield pa.RecordBatch.from_arrays([pa.array([r[q] for r in at], pa.string() if not q else pa.float64()) for q in range(len(names) + 1)], ["lang", *names])
+
+    got = rows.mapInArrow(run, "lang string, " + ", ".join(f"{c} double" for c in names))
+    return got.groupBy("lang").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,6 +338,7 @@ def _decider(spark, models: LanguageModels, passed: list[str]):
                 lang, score, bits, out = zip(*held.value.decide(texts[i:j]), strict=True)
                 cols = [b.column(c).slice(i, j - i) for c in passed]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lang), pa.array(score), pa.array(bits), pa.array(out)], [*passed, "lang_pred", "score", "bits", "rejected"])
+        trim()
 
     return run
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomseg.llm import langid, quality
@@ -119,3 +120,30 @@ def test_quality_on_held_out(spark, odd, empty):
     alone = quality.fit_quality(docs, labels.filter("quality = 1"))
     assert all(r.predicted == 1 for r in quality.score_quality(odd, alone).collect())
     assert quality.fit_quality(docs, labels.limit(0)).slope == 0
+
+
+def test_long_text_is_scored_as_a_whole(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdé ,.1 ") for _ in range(n)) for n in (0, 1, 6, 7, 8, 50, 200, 333)]
+    want = [langid.symbols([t])[0].tolist() for t in texts]
+    k, c = np.unique(np.concatenate([langid.grams(langid.symbols([t])[0]) for t in texts if t.strip()]), return_counts=True)
+    models = langid.build(["x"], {"x": (k, c)})
+    whole = [models.score([t]) for t in texts]
+    for size in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(langid, "LONG", size)
+        assert [langid.long_symbols(t).tolist() for t in texts] == want
+        for t, (ce, n) in zip(texts, whole, strict=True):
+            got = models.score([t])
+            assert got[1].tolist() == n.tolist() and got[0] == pytest.approx(ce, rel=1e-5)
+
+
+def test_calibration_falls_back_to_all_languages():
+    n = 3
+    models = langid.LanguageModels(["a", "b", "c"], [], [], [], [], np.zeros(n), np.full(n, np.inf), np.zeros(n), np.zeros(n))
+    row = lambda lang, k, mean: {"lang": lang, "k": k, "n": 100 * k, "bits": 100 * k * mean, "square": 100 * k * (mean**2 + 0.04), "blocks": 6 * k, "bm": 6 * k * mean, "bs": 6 * k * (mean**2 + 0.25)}
+    langid.calibrate(models, [row("a", 9, 2.0), row("b", 2, 3.0)])
+    assert models.mean.tolist() == pytest.approx([2.0, 3.0, (9 * 2 + 2 * 3) / 11])
+    assert models.noise[0] == pytest.approx(2.0) and models.noise[1] == models.noise[2] > 2.0 and np.isfinite(models.spread).all()
+    empty = langid.LanguageModels(["a"], [], [], [], [], np.zeros(1), np.full(1, np.inf), np.zeros(1), np.zeros(1))
+    langid.calibrate(empty, [])
+    assert empty.mean[0] == np.inf
