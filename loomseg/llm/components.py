@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import release, stored
 
 #: Links that one call of the local contraction takes: bounds a worker's memory.
 BLOCK = 200_000
@@ -45,7 +45,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Links with a null end and self-links are ignored; repeated links and either direction are fine; no links, no rows.
     Links are first contracted in bounded blocks where they lie. A round then joins each node's
     smallest neighbour, from a table of its own, so that a hub's rows can be split over tasks. Every round is written to
-    the shared folder; rounds end when the set of links stays the same.
+    the shared folder, and the one before it is removed then; rounds end when the set of links stays the same.
     """
     e = stored(links.toDF("a", "b").filter("a <> b").mapInArrow(_contract, "a long, b long").distinct(), "links")
     mark = _mark(e)
@@ -53,11 +53,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = e.union(e.select("b", "a"))
         least = stored(both.groupBy(F.col("a").alias("n")).agg(F.least(F.col("n"), F.min("b")).alias("m")), "least")
         large = stored(both.join(least, F.col("a") == F.col("n")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = stored(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "least")
-        joined = large.join(least, F.col("a") == F.col("n"))
+        lesser = stored(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "least")
+        joined = large.join(lesser, F.col("a") == F.col("n"))
         pairs = joined.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("p"))
-        e = stored(pairs.select("p.*").filter("a <> b").distinct(), "links")
+        last, e = e, stored(pairs.select("p.*").filter("a <> b").distinct(), "links")
         before, mark = mark, _mark(e)
+        release(last, least, large, lesser)
         if mark == before:
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())

@@ -22,10 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import BLOCK, connected_components, forest
-from .shared import bounded_batches, stored, utf8_column, worker_cache
+from .shared import bounded_batches, stored, trim, utf8_column, worker_cache
 
 #: Members of a table's entry that stand in one row; a fuller entry is dealt to several rows.
 ENTRY = 256
+#: Rows of an entry that a probe meets at once; of a longer one, each part is a join key of its own.
+PART = 64
+#: Fingerprints from which on op1's segments are longer: an entry of 21 bits then holds 16 that are alike in nothing else.
+MANY = 1 << 25
 #: Shingles that are hashed at once.
 PIECE = 255 * 64
 #: Expected share of bits in which fingerprints of shingle similarity 0.8 differ: acos(2 * 0.8 / 1.8) / pi. Up to 3 / 16 where there are only five shingles.
@@ -34,6 +38,8 @@ SHARE, SHARE_SHORT = 0.1515, 0.1875
 SLACK = 4.0
 #: Words in which candidates are compared.
 COMPARED = 4
+#: Texts, and shingles, in a chunk of a cluster, about.
+CHUNK, CHUNK_SHINGLES = 256, 1 << 20
 #: Flags of the sieve over text hashes, as a power of two.
 SIEVE = 26
 
@@ -67,6 +73,14 @@ def index_for(n: int, share: float, miss: float, ball: int = 1, radius: float |
     return Index(words, tuple((k // each, k % each * bits, bits) for k in range(many)), ball, int(radius * 64 * compared), compared)
 
 
+def exact_index(n: int) -> Index:
+    """For n fingerprints of 64 bits and links at 4 bits or fewer, missing none: three segments with balls of one, or two with balls of two.
+
+    Of four differing bits some third has one at most, and some half two at most. Halves take 265 probes where thirds take 12, but hold few others.
+    """
+    return Index() if n < MANY else Index(segments=((0, 0, 32), (0, 32, 32)), ball=2)
+
+
 def similar_index(n: int, miss: float = 0.001) -> Index:
     """Candidates for shingle similarity of 0.8: a pair at 0.8 is met in some segment with probability 1 - miss, and the radius is SLACK standard deviations wider. Width and radius are the same for every n."""
     return index_for(n, SHARE, miss, radius=SHARE_SHORT + SLACK * math.sqrt(SHARE_SHORT * (1 - SHARE_SHORT) / (64 * COMPARED)), compared=COMPARED)
@@ -127,6 +141,7 @@ def fingerprints(
         for b in batches:
             fps = [fingerprint(t, width, seed, words, distinct).view("<i8") for t in utf8_column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp"])
+        trim()
 
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text).withColumn("text_hash", F.xxhash64("text"))
@@ -143,12 +158,17 @@ def _marked(k: int, value):
     return value.bitwiseOR(F.lit(k << 32).cast("long"))
 
 
-def _entries(fps: DataFrame, index: Index) -> DataFrame:
+def _full(fps: DataFrame, index: Index) -> DataFrame:
+    """(fk, rows): the keys with entries of over ENTRY members, and the rows these are dealt to."""
+    keys = F.array(*[_marked(k, _value(index, k)) for k in range(len(index.segments))])
+    counts = fps.select(F.explode(keys).alias("fk")).groupBy("fk").agg(F.count("*").alias("n"))
+    return stored(counts.filter(f"n > {ENTRY}").select("fk", F.ceil(F.col("n") / ENTRY).alias("rows")), "full")
+
+
+def _entries(fps: DataFrame, index: Index, full: DataFrame) -> DataFrame:
     """(key, row, held): what stands under each value of each segment; entries over ENTRY members are dealt to rows of about so many."""
     keys = F.array(*[_marked(k, _value(index, k)) for k in range(len(index.segments))])
     table = fps.select("id", "c", *_words(index), F.explode(keys).alias("key"))
-    counts = fps.select(F.explode(keys).alias("fk")).groupBy("fk").agg(F.count("*").alias("n"))
-    full = stored(counts.filter(f"n > {ENTRY}").select("fk", F.ceil(F.col("n") / ENTRY).alias("rows")), "full")
     dealt = table.join(full, F.col("key") == F.col("fk"), "left")
     dealt = dealt.withColumn("row", F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", F.lit(7)), F.col("rows"))))
     return dealt.groupBy("key", "row").agg(F.collect_list(F.struct("id", "c", *[f"f{w}" for w in range(index.compared)])).alias("held"))
@@ -162,7 +182,8 @@ def _near(fps: DataFrame, index: Index, apart: bool) -> DataFrame:
     """(id, near array<long>): each probe with what it meets within the radius; apart: of other components (c) only.
 
     Of the two ends of a pair, the one whose lowest flipped bit is 0 probes, so a pair is met once a segment. A probe
-    of a table's fuller entry meets a few rows, each verified by one expression. No entry is capped.
+    of a table's fuller entry meets a few rows, each verified by one expression. An entry of over PART rows is met part by part,
+    by as many copies of the probe, in tasks of their own. No entry is capped.
     """
 
     def probes(k):
@@ -178,25 +199,27 @@ def _near(fps: DataFrame, index: Index, apart: bool) -> DataFrame:
     probing = probing.select("id", "c", *[f"f{w}" for w in range(index.compared)], "p.*")
     distance = " + ".join(f"bit_count(x.f{w} ^ f{w})" for w in range(index.compared))
     other = "x.c <> c AND " if apart else ""
-    near = probing.join(_entries(fps, index), "key")
+    full = _full(fps, index)
+    wide = full.filter(f"rows > {PART}").select(F.col("fk").alias("wk"), F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
+    probing = probing.join(wide, F.col("key") == F.col("wk"), "left")
+    probing = probing.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("wk", "parts")
+    near = probing.join(_entries(fps, index, full).withColumn("part", F.floor(F.col("row") / PART).cast("int")), ["key", "part"])
     return near.select("id", F.expr(f"transform(filter(held, x -> {other}{distance} <= {index.radius} AND (NOT same OR x.id > id)), x -> x.id)").alias("near")).filter(F.size("near") > 0)
 
 
-def near_links(fps: DataFrame, index: Index = Index()) -> DataFrame:
-    """(a, b) by id: links that connect whatever fingerprints (id long, fp array<long>; distinct) the index connects.
-
-    What a probe meets is contracted to a forest where it lies.
-    """
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a probe meets (id, near) as a forest (a, b), where it lies."""
+    for b in batches:
+        own, lists = b.column("id").to_numpy(), b.column("near")
+        many = lists.value_lengths().to_numpy(zero_copy_only=False)
+        x, y = np.repeat(own, many), lists.flatten().to_numpy(zero_copy_only=False)
+        for i in range(0, len(x), BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in forest(x[i : i + BLOCK], y[i : i + BLOCK])], ["a", "b"])
 
-    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own, lists = b.column("id").to_numpy(), b.column("near")
-            many = lists.value_lengths().to_numpy(zero_copy_only=False)
-            x, y = np.repeat(own, many), lists.flatten().to_numpy(zero_copy_only=False)
-            for i in range(0, len(x), BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in forest(x[i : i + BLOCK], y[i : i + BLOCK])], ["a", "b"])
 
-    return _near(fps.withColumn("c", F.col("id")), index, apart=False).mapInArrow(contract, "a long, b long")
+def near_links(fps: DataFrame, index: Index = Index()) -> DataFrame:
+    """(a, b) by id: links that connect whatever fingerprints (id long, fp array<long>; distinct) the index connects."""
+    return _near(fps.withColumn("c", F.col("id")), index, apart=False).mapInArrow(_contract, "a long, b long")
 
 
 def _nearest(ids: np.ndarray, fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,8 +262,10 @@ def first_pairs(fps: DataFrame, index: Index) -> DataFrame:
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
                 i, k = j, e
+        trim()
 
-    held = _entries(fps.withColumn("c", F.col("id")), index).filter(F.size("held") > 1).select("held")
+    nodes = fps.withColumn("c", F.col("id"))
+    held = _entries(nodes, index, _full(nodes, index)).filter(F.size("held") > 1).select("held")
     return held.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -254,12 +279,8 @@ def _sieve(ids: DataFrame) -> np.ndarray:
     return flags
 
 
-def similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, width: int, seed: int) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of word shingles have a Jaccard similarity of `least` or more; two without words are alike.
-
-    rows: (doc_id, text, text_hash); nodes: (id, first), a text's hash and the smallest doc_id that has it. Only texts in pairs are cut again.
-    """
-    ends = stored(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "first"), "ends")
+def _sets(rows: DataFrame, ends: DataFrame, width: int, seed: int) -> DataFrame:
+    """(id, own): the shingles of the texts in ends (id, first: a text's hash and the smallest doc_id that has it). Only those are cut again."""
     sieve = rows.sparkSession.sparkContext.broadcast(_sieve(ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,31 +291,104 @@ def similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, w
             b = b.take(pa.array(hit))
             sets = [shingles(t, width, seed).view("<i8") for t in utf8_column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "text_hash", "own"])
+        trim()
 
     sets = rows.mapInArrow(run, "doc_id long, text_hash long, own array<long>")
-    sets = sets.join(ends, (F.col("text_hash") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("id").agg(F.first("own").alias("own"))
-    sets = stored(sets, "shingles")
+    return sets.join(ends.select("id", "first"), (F.col("text_hash") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("id").agg(F.first("own").alias("own"))
+
+
+def similar(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, width: int, seed: int) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of word shingles have a Jaccard similarity of `least` or more; two without words are alike.
+
+    rows: (doc_id, text, text_hash); nodes: (id, first).
+    """
+    ends = stored(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "first"), "ends")
+    sets = stored(_sets(rows, ends, width, seed), "shingles")
     left, right = (sets.select(F.col("id").alias(x), F.col("own").alias(f"{x}_own")) for x in "ab")
     both = F.size(F.array_intersect("a_own", "b_own"))
     alike = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("a_own") + F.size("b_own")).alias("of"))
     return alike.filter((F.col("of") == 0) | (F.col("both") >= least * (F.col("of") - F.col("both")))).select("a", "b")
 
 
-def simhash_components(docs: DataFrame, index: Index = Index(), width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _shared(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
+    """How many values each set of x has in common with each of y (of x itself if y is None). Values that one set alone has are left out first."""
+    one, many = np.unique(np.concatenate(x), return_counts=True)
+    vocab = one[many > 1] if y is None else np.intersect1d(one, np.unique(np.concatenate(y)))
+
+    def cells(sets):
+        value, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        col = np.searchsorted(vocab, value)
+        ok = col < len(vocab)
+        ok[ok] = vocab[col[ok]] == value[ok]
+        col, row = col[ok], row[ok]
+        order = np.argsort(col, kind="stable")
+        return col[order], row[order], len(sets)
+
+    out, sides = np.zeros((len(x), len(y or x)), np.float32), [cells(x)] + ([cells(y)] if y is not None else [])
+    for at in range(0, len(vocab), 4096):
+        m = []
+        for col, row, n in sides:
+            i, j = np.searchsorted(col, (at, at + 4096))
+            m.append(np.zeros((n, 4096), np.float32))
+            m[-1][row[i:j], col[i:j] - at] = 1
+        out += m[0] @ m[-1].T
+    return out
+
+
+def _alike_within(rows: DataFrame, ends: DataFrame, least: float, width: int, seed: int) -> DataFrame:
+    """(a, b): links that connect the texts of each cluster which have a similarity of `least` or more and are of different components.
+
+    ends: (id, first, c, cluster). A cluster is dealt to chunks of a bounded number of texts and of shingles; chunks are compared with each other by blocks,
+    each of which gives a forest, so no pair is a row.
+    """
+    sets = stored(ends.join(_sets(rows, ends, width, seed), "id").select("id", "c", "cluster", "own"), "shingles")
+    sizes = sets.groupBy(F.col("cluster").alias("k")).agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.size("own")) / CHUNK_SHINGLES)).cast("long").alias("chunks"))
+    dealt = sets.join(stored(sizes, "sizes"), F.col("cluster") == F.col("k")).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(5)), F.greatest("chunks", F.lit(1))))
+    held = stored(dealt.groupBy("cluster", "chunk").agg(F.collect_list(F.struct("id", "c", "own")).alias("x"), F.max("chunks").alias("chunks")), "held")
+    more = held.filter("chunks > 1").select(F.col("cluster").alias("k"), F.col("chunk").alias("other"), F.col("x").alias("y"))
+    across = held.filter("chunks > 1").join(more, (F.col("cluster") == F.col("k")) & (F.col("chunk") < F.col("other"))).select("x", "y")
+    blocks = held.select("x", F.lit(None).cast(held.schema["x"].dataType).alias("y")).union(across)
+
+    def side(b: pa.RecordBatch, name: str, i: int):
+        v = b.column(name)[i].values
+        if v is None:
+            return None
+        own = v.field("own")
+        flat, at = own.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False))])
+        return v.field("id").to_numpy(), v.field("c").to_numpy(), [flat[p:q] for p, q in zip(at[:-1], at[1:], strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                (ids, cs, x), other = side(b, "x", i), side(b, "y", i)
+                jds, ds, y = other or (ids, cs, None)
+                both, n, m = _shared(x, y), np.array([len(s) for s in x]), np.array([len(s) for s in (y or x)])
+                alike = (both >= least * (n[:, None] + m[None] - both) - 1e-6) & (cs[:, None] != ds[None])
+                p, q = np.nonzero(alike)
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in forest(ids[p], jds[q])], ["a", "b"])
+        trim()
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def simhash_components(docs: DataFrame, index: Index | None = None, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp array<long>, component_id (the smallest doc_id reachable by links, itself included).
 
     Documents of one fingerprint are one node, so a group of copies costs one row. Empty and null texts
     have fingerprint 0 and are linked like any other. Null ids keep their row; they give a component its id only where it
     has no other. Repeated rows come back repeated; an empty table gives no rows. Extra columns are not read.
     """
-    own, named = _named(docs, index, width, seed, id_col, text_col)
+    own, named = _named(docs, index, width, seed, id_col, text_col)  # the index follows the number of rows unless given
     return own.join(named, own["node"] == named["id"]).select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def _named(docs, index, width, seed, id_col, text_col) -> tuple[DataFrame, DataFrame]:
     """The fingerprints of all rows, and per fingerprint (id) its component (c) and that one's smallest doc_id (least)."""
-    node = F.col("fp")[0] if index.words == 1 else F.xxhash64("fp")
-    own = stored(fingerprints(docs, width, seed, index.words, id_col, text_col).withColumn("node", node), "fingerprints")
+    words = index.words if index else 1
+    node = F.col("fp")[0] if words == 1 else F.xxhash64("fp")
+    own = stored(fingerprints(docs, width, seed, words, id_col, text_col).withColumn("node", node), "fingerprints")
+    index = index or exact_index(own.count())
     nodes = stored(own.groupBy(F.col("node").alias("id"), "fp").agg(F.min("doc_id").alias("first")), "nodes")
     comps = stored(connected_components(near_links(nodes.select("id", "fp"), index)), "components")
     placed = stored(nodes.join(comps, nodes["id"] == comps["node"], "left").select("id", "first", F.coalesce("component", "id").alias("c")), "placed")
@@ -305,7 +399,8 @@ def _named(docs, index, width, seed, id_col, text_col) -> tuple[DataFrame, DataF
 def _similar_groups(docs, index, width, seed, id_col, text_col, least) -> tuple[DataFrame, DataFrame]:
     """The fingerprints of all rows, and per text (id, its hash) its component (c) by verified links.
 
-    First candidates are few for each text and join the large groups; then every candidate between different groups is verified.
+    First candidates are few for each text and join the large groups. What other candidates connect is a cluster, and all texts of a cluster
+    that are of different groups are compared.
     """
     own = stored(fingerprints(docs, width, seed, index.words, id_col, text_col, distinct=True), "fingerprints")
     nodes = stored(own.groupBy(F.col("text_hash").alias("id"), "fp").agg(F.min("doc_id").alias("first")), "nodes")
@@ -316,9 +411,10 @@ def _similar_groups(docs, index, width, seed, id_col, text_col, least) -> tuple[
         return stored(nodes.join(comps, nodes["id"] == comps["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("c")), "placed")
 
     links = stored(similar(rows, nodes, stored(first_pairs(nodes, index), "pairs"), least, width, seed), "links")
-    rest = _near(placed(links), index, apart=True).select(F.col("id").alias("x"), F.explode("near").alias("y"))
-    rest = stored(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    more = stored(similar(rows, nodes, rest, least, width, seed), "links")
+    now = placed(links)
+    clusters = stored(connected_components(_near(now, index, apart=True).mapInArrow(_contract, "a long, b long")), "clusters")
+    ends = nodes.select("id", "first").join(now.select(F.col("id").alias("i"), "c"), F.col("id") == F.col("i")).join(clusters, F.col("id") == F.col("node")).select("id", "first", "c", F.col("component").alias("cluster"))
+    more = stored(_alike_within(rows, stored(ends, "ends"), least, width, seed), "links")
     return own, placed(links.union(more))
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -45,7 +46,9 @@ def test_op1_by_brute_force(spark):
     assert got == {d: (f"{f:016x}", first[r]) for d, f, r in zip(ids, fps, root, strict=True)}
 
 
-def test_dense_group_of_close_fingerprints(spark):
+@pytest.mark.parametrize(("n", "part"), [(1000, 64), (1000, 1), (simhash.MANY, 64)])
+def test_dense_group_of_close_fingerprints(spark, monkeypatch, n, part):
+    monkeypatch.setattr(simhash, "PART", part)
     rng = random.Random(5)
     base = rng.getrandbits(64)
     fps = {base}
@@ -56,7 +59,7 @@ def test_dense_group_of_close_fingerprints(spark):
         fps.add(x)
     fps |= {rng.getrandbits(64) for _ in range(300)}
     signed = np.array(sorted(fps), "<u8").view("<i8").tolist()
-    links = simhash.near_links(spark.createDataFrame([(x, [x]) for x in signed], "id long, fp array<long>")).collect()
+    links = simhash.near_links(spark.createDataFrame([(x, [x]) for x in signed], "id long, fp array<long>"), simhash.exact_index(n)).collect()
     a, b = (np.array([r[i] for r in links]) for i in (0, 1))
     assert all((int(x) ^ int(y)) & (1 << 64) - 1 for x, y in zip(a, b, strict=True))
     got = dict(zip(*(v.tolist() for v in forest(a, b)), strict=True))
