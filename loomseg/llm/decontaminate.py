@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, stored, utf8_column, worker_cache
+from .shared import bounded_batches, stored, trim, utf8_column, worker_cache
 
 WINDOW = 8
 #: Fewest literal words in a window that counts alone, as a share: windows of placeholders would match anything.
@@ -38,8 +38,8 @@ _NUMBER = re.compile(r"[+-]?[$£€]?\d+(?:[.,:/]\d+)*%?")
 _QUANTITY = re.compile(r"[+-]?[$£€]?\d+(?:[.,:/]\d+)*([A-Za-zµ]+)")
 _DIGIT = re.compile(rb"[0-9]")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct raw tokens that a worker remembers.
-MEMO = 800_000
+#: Distinct raw tokens that a worker remembers; beyond it the half that was met last goes: the commonest are met first.
+MEMO = 300_000
 
 
 class _Memo(dict):
@@ -53,7 +53,7 @@ class _Memo(dict):
 
 
 class Tokens:
-    """Raw token -> kind, hash of the lower-case word, and whether it ends a sentence; each distinct token is looked at once."""
+    """Raw token -> its place in the arrays of kinds, hashes of the lower-case words, and whether they end a sentence; a token that is remembered is looked at once."""
 
     def __init__(self):
         self.memo = _Memo(self._learn)
@@ -90,7 +90,8 @@ class Tokens:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         if len(self.memo) > MEMO:
-            self.__init__()
+            for raw in list(self.memo)[MEMO // 2 :]:
+                del self.memo[raw]
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
 
@@ -239,6 +240,7 @@ def contamination(
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "text_hash", "dh", "dpos", "dw", "dslots"])
+        trim()
 
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text).withColumn("text_hash", F.xxhash64("text"))

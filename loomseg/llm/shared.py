@@ -63,10 +63,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows of df, written once to the shared folder: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
 
 
-def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+def release(*tables: DataFrame) -> None:
+    """Removes what stored() wrote, once nothing will read it again."""
+    for t in tables:
+        drop_folder(t.sparkSession, t._folder)
+
+
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Arrow batches to Python hold at most so many bytes (unless one row is larger)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1))) > most:

@@ -27,8 +27,8 @@ from .shared import bounded_batches, cut_text, fresh_path, open_fs, text_slices,
 
 MAGIC = b"LSTOK001"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("null", "<u4"), ("tokens", "<u8")])
-#: Distinct pieces of words that a worker remembers (about 200 bytes each); beyond it the older half goes.
-PIECES = 500_000
+#: Distinct pieces of words that a worker remembers (about 200 bytes each); beyond it the half that was met last goes: the commonest are met first.
+PIECES = 300_000
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _BARE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -112,7 +112,7 @@ class ChunkEncoder:
         for i, e in zip(rest, self.tokenizer.encode_batch([chunks[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = self.pack(e.ids)
         if len(self.pieces) > self.most:
-            for k in list(self.pieces)[: len(self.pieces) // 2]:
+            for k in list(self.pieces)[len(self.pieces) // 2 :]:
                 del self.pieces[k]
         return out
 
