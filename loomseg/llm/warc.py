@@ -3,7 +3,7 @@
 Reading: file partitions are packed to a target size; predicates on the record type and on headers are pushed to the
 reader, which parses a record's headers first and skips a payload that nothing asks for without decoding it. Records are gzip
 members of their own; those written here carry the `sl` extra field with the member's length, so that skipping one is a seek.
-Writing: each task writes files of its own; the commit lists them in a manifest, so what a lost task left is not read.
+Writing: each task writes files of its own; the commit lists them in a manifest, so what a lost task left is not read. Overwriting removes older files at the commit.
 """
 
 from __future__ import annotations
@@ -279,10 +279,6 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.roll, self.overwrite = options["path"], int(options.get("rollbytes", 64 << 20)), overwrite
         self.level = int(options.get("level", 4))
-        if overwrite:
-            fs, root = open_fs(self.path)
-            if fs.get_file_info(root).type == pafs.FileType.Directory:
-                fs.delete_dir_contents(root)
 
     def write(self, iterator):
         fs, root = open_fs(self.path)
@@ -307,8 +303,15 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
-            f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        names = [n for m in messages if m for n in m.names]
+        manifest = f"{MANIFEST}-{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{root}/{manifest}") as f:
+            f.write(json.dumps(names).encode())
+        if self.overwrite:  # only now, so that a job that fails loses nothing
+            own = {f"{root}/{n}" for n in [*names, manifest]}
+            for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)):
+                if i.type == pafs.FileType.File and i.path not in own:
+                    fs.delete_file(i.path)
 
     def abort(self, messages):
         fs, root = open_fs(self.path)

@@ -3,6 +3,9 @@
 import gzip
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from loomseg.llm import warc
 from loomseg.llm.shared import fresh_path
 
@@ -61,3 +64,17 @@ def test_partitions_are_packed(tmp_path):
 
 def test_empty(spark):
     assert warc.archive_pages(spark.createDataFrame([], SCHEMA), fresh_path(spark, "w")).count() == 0
+
+
+def test_overwriting_keeps_what_was_until_the_commit(spark, tmp_path):
+    warc.register(spark)
+    out = str(tmp_path / "w")
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("concat('<urn:page:', id, '>') AS record_id", "'response' AS record_type", "CAST(NULL AS STRING) AS target_uri", "CAST(NULL AS STRING) AS refers_to", "'sha1:x' AS payload_digest", "1L AS payload_length", "CAST('a' AS BINARY) AS payload")
+    count = lambda: spark.read.format("warc").option("path", out).load().count()
+    rows(0, 5).write.format("warc").mode("overwrite").option("path", out).save()
+    bad = rows(0, 9).withColumn("payload_length", F.expr("CASE WHEN record_id LIKE '%7%' THEN CAST(raise_error('stop') AS BIGINT) ELSE 1L END"))
+    with pytest.raises(Exception, match="stop"):
+        bad.write.format("warc").mode("overwrite").option("path", out).save()
+    assert count() == 5
+    rows(0, 3).write.format("warc").mode("overwrite").option("path", out).save()
+    assert count() == 3
