@@ -143,7 +143,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, cost:
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str) -> tuple[list[np.ndarray], np.ndarray]:
     """Active buckets and labels of the `most` labelled ids, not held out, with the smallest hashes.
 
-    The ids are taken by a top-k, so what is broadcast to the documents is bounded by `most` rows.
+    The ids are taken by a top-k, so what is broadcast to the documents is bounded by `most` rows, and so is what comes back: a row an id,
+    of 4 bytes for each different n-gram bucket of its text (1 MB at most, a few KB for usual texts).
     """
     spark = docs.sparkSession
     ids = labels.select(F.col(id_col).cast("long").alias("lid"), F.col(label_col).cast("int").alias("label")).filter("lid IS NOT NULL AND label IS NOT NULL")
@@ -158,6 +159,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col: str,
             yield pa.RecordBatch.from_arrays([b.column("lid"), b.column("label"), pa.array(found, pa.binary())], ["lid", "label", "found"])
 
     met = rows.join(F.broadcast(chosen), F.col("d") == F.col("lid")).select("lid", "label", "text").mapInArrow(active, "lid long, label int, found binary")
+    met = met.groupBy("lid", "label").agg(F.min("found").alias("found"))  # rows that repeat an id count once
     got = sorted((r.lid, r.label, bytes(r.found)) for r in met.collect())
     return [np.frombuffer(x[2], "<i4") for x in got], np.array([x[1] for x in got])
 
