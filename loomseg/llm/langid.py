@@ -28,7 +28,7 @@ SPACE = 0x20
 ALPHABET = 1 << 16
 UNKNOWN = "und"
 #: Characters of a text that are folded, and symbols that are scored, at once.
-LONG = 1 << 20
+LONG = 1 << 18
 #: Symbols in a block of calibration, fewest set-aside texts that calibrate a language alone, and standard deviations up to which a text is not rejected.
 BLOCK, ALONE, LIMIT = 16, 5, 12
 
@@ -326,15 +326,16 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
     return rows.mapInArrow(_decider(docs.sparkSession, models, ["doc_id", "held_out"]), schema)
 
 
-def _decider(spark, models: LanguageModels, passed: list[str]):
+def _decider(spark, models: LanguageModels, passed: list[str], texts_of=lambda b: b.column("text")):
+    """texts_of: the texts in a batch."""
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("languages", dict)
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for i, j in text_slices([len(t) for t in texts], 1 << 20):
+            texts = [t or "" for t in texts_of(b).to_pylist()]
+            for i, j in text_slices([len(t) for t in texts], LONG):
                 lang, score, bits, out = zip(*held.value.decide(texts[i:j]), strict=True)
                 cols = [b.column(c).slice(i, j - i) for c in passed]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(lang), pa.array(score), pa.array(bits), pa.array(out)], [*passed, "lang_pred", "score", "bits", "rejected"])
@@ -345,10 +346,10 @@ def _decider(spark, models: LanguageModels, passed: list[str]):
 
 def keep_identified(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not rejected, with their own columns, in one pass: rows go through the models whole."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    rows, at = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col)
     schema = rows.schema
     fields = "lang_pred string, score double, bits double, rejected boolean"
-    marked = rows.mapInArrow(_decider(docs.sparkSession, models, ["row"]), f"row {schema['row'].dataType.simpleString()}, {fields}")
+    marked = rows.mapInArrow(_decider(docs.sparkSession, models, ["row"], lambda b: b.column("row").field(at)), f"row {schema['row'].dataType.simpleString()}, {fields}")
     return marked.filter("NOT rejected").select("row.*")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handed to numpy at once: bounds a Python worker's memory whatever a batch holds.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _FOLDERS: dict[int, str] = {}
 _CACHE: dict[str, object] = {}
 _GAP = re.compile(rb"[ \t-\r]")
@@ -74,7 +74,7 @@ def release(*tables: DataFrame) -> None:
         drop_folder(t.sparkSession, t._folder)
 
 
-def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 2 << 20) -> None:
     """Arrow batches to Python hold at most so many bytes (unless one row is larger)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1))) > most:

@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     are kept. No other column is read. Texts move twice at most: all once, those with repeats once more.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 8 << 20)
     if length < 2 * GRAM:
         raise ValueError(f"length is at least {2 * GRAM}")
 

@@ -39,7 +39,7 @@ PARTS, PART = 4, 8 << 10
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 128 << 20
 #: Bytes of text encoded at once; a longer text is cut at white space.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 class _Memo(dict):
