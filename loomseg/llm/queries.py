@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, langid, mixing, quality, secrets, simhash, suffix_dedup, token_store, warc
+from . import decontaminate, embeddings, filter_audit, langid, mixing, quality, secrets, simhash, suffix_dedup, token_store, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_token_store": token_store.op8_token_store,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 ORACLES = {
     "op3_embeddings": embeddings.OP3_SQL,
     "op5_warc": warc.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op10_secrets": secrets.OP10_SQL,
+    "op13_filter_audit": filter_audit.OP13_SQL,
 }
