@@ -110,6 +110,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sinks.write_model(spark, out.model, a.param_out)
     if a.verbose:
         print(sinks.report(out.model))
+    out.release()
     return 0
 
 

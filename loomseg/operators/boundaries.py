@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .domains import runs
-from .hmm import Model, _likelihood, transition_posteriors
+from .hmm import Model, decode
 from .stats import percentile_cutoff
 
 SCHEMA = "chrom string, start long, end long, bins int, peak long, peak_score double, p double"
@@ -58,13 +58,11 @@ def shuffled(bins: DataFrame, columns: list[str], seed: int = 1, most: int = 0)
 def control_cutoff(bins: DataFrame, model: Model, k: str, columns: list[str], share: float = 0.05, seed: int = 1, most: int = 0) -> float | None:
     """The score that `share` of the bins exceed once the counts are shuffled; None without bins."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        x = transition_posteriors(model, _likelihood(model, pdf, k))
-        x[:, np.arange(model.n), np.arange(model.n)] = 0
-        return pd.DataFrame({"score": x.max(axis=(1, 2))})
-
-    return percentile_cutoff(shuffled(bins, columns, seed, most).groupBy("region").applyInPandas(run, "score double"), "score", share)
+    moved = decode(shuffled(bins, columns, seed, most).select("region", "bin", k, "scale"), model, k, posterior=True)
+    off = [F.element_at("moves", i * model.n + j + 1) for i in range(model.n) for j in range(model.n) if i != j]
+    cutoff = percentile_cutoff(moved.select(F.greatest(*off).alias("score")), "score", share)
+    moved.held.unpersist()
+    return cutoff
 
 
 def single_change(moves: np.ndarray, a: int, b: int) -> float:

@@ -47,7 +47,10 @@ DIFFERENCE = Settings(posterior_cutoff=0.5, foreground="nbdiff", background="nbd
 
 @dataclass
 class Segmentation:
-    """What a program yields: every table is a DataFrame to be written or queried."""
+    """What a program yields: every table is a DataFrame to be written or queried.
+
+    Bins are decoded once, when a table is first read, and kept; release() frees them.
+    """
 
     model: Model
     bin_size: int
@@ -56,6 +59,11 @@ class Segmentation:
     history: list[float] = field(default_factory=list)
     k: str = "reads"
     counts: tuple[str, ...] = ("reads",)
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for t in self.held:
+            t.unpersist()
 
     def boundary_scores(self) -> DataFrame:
         return boundaries.boundary_scores(self.bins, self.model.n)
@@ -109,13 +117,13 @@ def _finish(bins: DataFrame, model: Model, k: str, counts: tuple[str, ...], s: S
         kept = domains.filter_two(built, model.emissions[0], s.cutoff, low, size)
     else:
         kept = domains.filter_three(built, model.emissions[0], model.emissions[2], s.cutoff, low, size)
-    return Segmentation(model, size, decoded, kept.select("chrom", "start", "end", "state", "mean", "score", "n"), history, k, counts)
+    return Segmentation(model, size, decoded, kept.select("chrom", "start", "end", "state", "mean", "score", "n"), history, k, counts, (bins, decoded.held))
 
 
 def segment(reads: DataFrame, chroms: DataFrame, settings: Settings = Settings(), dead: DataFrame | None = None, model: Model | None = None) -> Segmentation:
     """Domains enriched in one sample. A given model skips training."""
     bins, size = prepare({"reads": reads}, chroms, settings, dead)
-    bins = bins.repartition("region").persist()
+    bins = hmm.chunked(bins).persist()
     history: list[float] = []
     if model is None:
         model, history = _train(bins, [settings.foreground, settings.background], "reads", None, settings, size, 3)
@@ -127,7 +135,7 @@ def segment_pair(a: DataFrame, b: DataFrame, chroms: DataFrame, settings: Settin
     if mode not in (2, 3):
         raise ValueError("mode is 2 or 3")
     bins, size = prepare({"a": a, "b": b}, chroms, settings, dead)
-    bins = bins.withColumn("diff", F.col("a") - F.col("b")).repartition("region").persist()
+    bins = hmm.chunked(bins.withColumn("diff", F.col("a") - F.col("b"))).persist()
     history: list[float] = []
     if model is None:
         s = settings if settings.domain_size > 0 else replace(settings, domain_size=20_000 if mode == 2 else 6000)

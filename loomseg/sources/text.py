@@ -45,7 +45,7 @@ def parse_sam(lines: Column) -> list[Column]:
     whole = {"flag": "int", "pos": "int", "mapq": "int", "pnext": "int", "tlen": "int"}
     cols = {n: p[i].cast(whole[n]) if n in whole else p[i] for i, n in enumerate(names)}
     cols["pos"], cols["pnext"] = cols["pos"] - 1, cols["pnext"] - 1
-    tags = F.map_from_entries(F.transform(F.filter(F.slice(p, 12, 1000), lambda x: x.rlike("^..:.:")), lambda x: F.struct(F.substring(x, 1, 2), F.regexp_replace(x, "^..:.:", ""))))
+    tags = F.map_from_entries(F.transform(F.filter(F.slice(p, F.lit(12), F.greatest(F.size(p) - 11, F.lit(0))), lambda x: x.rlike("^..:.:")), lambda x: F.struct(F.substring(x, 1, 2), F.regexp_replace(x, "^..:.:", ""))))
     return [*[c.alias(n) for n, c in cols.items()], tags.alias("tags")]
 
 
