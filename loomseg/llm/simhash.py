@@ -130,22 +130,50 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42, words: int = 1, dis
     return np.packbits(2 * ones > len(spans), bitorder="little").view("<u8")
 
 
+def _identity(text) -> tuple:
+    """Two independent 64-bit hashes of a text: together they stand for it."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, text_hash, text_check); a null text is empty."""
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
+    first, second = _identity(F.col("text"))
+    return rows.withColumns({"text_hash": first, "text_check": second})
+
+
+def _clashing(own: DataFrame) -> DataFrame | None:
+    """(clash): the text hashes that different texts share, as their second hashes tell; None if there is none.
+
+    Of n texts about n * n / 2 ** 65 are expected, 27,000 of 1e12, so the table may be broadcast.
+    """
+    found = stored(own.groupBy(F.col("text_hash").alias("clash")).agg((F.min("text_check") < F.max("text_check")).alias("many")).filter("many").select("clash"), "clashing")
+    return None if found.isEmpty() else found
+
+
+def _told_apart(rows: DataFrame, clashing: DataFrame | None) -> DataFrame:
+    """rows with a text_hash of its own for each text: where texts share one, both their hashes make it."""
+    if clashing is None:
+        return rows
+    met = rows.join(F.broadcast(clashing), F.col("text_hash") == F.col("clash"), "left")
+    return met.withColumn("text_hash", F.when(F.col("clash").isNull(), F.col("text_hash")).otherwise(F.xxhash64("text_hash", "text_check"))).drop("clash")
+
+
 def fingerprints(
     docs: DataFrame, width: int = 4, seed: int = 42, words: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False
 ) -> DataFrame:
-    """(doc_id, text_hash, fp array<long>): fp has the fingerprint's words as signed numbers. Null text counts as empty. No other column is read."""
+    """(doc_id, text_hash, text_check, fp array<long>): fp has the fingerprint's words as signed numbers. Null text counts as empty. No other column is read."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("fingerprints", dict)
         for b in batches:
             fps = [fingerprint(t, width, seed, words, distinct).view("<i8") for t in utf8_column(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("text_check"), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "text_hash", "text_check", "fp"])
         trim()
 
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, text_check long, fp array<long>")
 
 
 def _value(index: Index, k: int):
@@ -396,15 +424,17 @@ def _named(docs, index, width, seed, id_col, text_col) -> tuple[DataFrame, DataF
     return own, stored(placed.join(smallest, F.col("c") == F.col("k")).select("id", "c", "least"), "named")
 
 
-def _similar_groups(docs, index, width, seed, id_col, text_col, least) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows, and per text (id, its hash) its component (c) by verified links.
+def _similar_groups(docs, index, width, seed, id_col, text_col, least) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The fingerprints of all rows, per text (id, its hash) its component (c) by verified links, and what hashes clash.
 
     First candidates are few for each text and join the large groups. What other candidates connect is a cluster, and all texts of a cluster
     that are of different groups are compared.
     """
     own = stored(fingerprints(docs, width, seed, index.words, id_col, text_col, distinct=True), "fingerprints")
+    clashing = _clashing(own)
+    own = _told_apart(own, clashing)
     nodes = stored(own.groupBy(F.col("text_hash").alias("id"), "fp").agg(F.min("doc_id").alias("first")), "nodes")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = _told_apart(_rows(docs, id_col, text_col), clashing)
 
     def placed(links):
         comps = stored(connected_components(links), "components")
@@ -415,7 +445,7 @@ def _similar_groups(docs, index, width, seed, id_col, text_col, least) -> tuple[
     clusters = stored(connected_components(_near(now, index, apart=True).mapInArrow(_contract, "a long, b long")), "clusters")
     ends = nodes.select("id", "first").join(now.select(F.col("id").alias("i"), "c"), F.col("id") == F.col("i")).join(clusters, F.col("id") == F.col("node")).select("id", "first", "c", F.col("component").alias("cluster"))
     more = stored(_alike_within(rows, stored(ends, "ends"), least, width, seed), "links")
-    return own, placed(links.union(more))
+    return own, placed(links.union(more)), clashing
 
 
 def simhash_dedup(
@@ -428,14 +458,16 @@ def simhash_dedup(
     The row that stays is that with the smallest id (null last), then the smallest hash of the text; of equal rows one stays.
     """
     bounded_batches(docs.sparkSession)
-    own, named = _similar_groups(docs, index or similar_index(docs.count()), width, seed, id_col, text_col, least)
+    own, named, clashing = _similar_groups(docs, index or similar_index(docs.count()), width, seed, id_col, text_col, least)
     kept = (
         own.join(named.select("id", "c"), own["text_hash"] == named["id"])
         .groupBy("c")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
         .select(F.col("k.doc_id").alias("kd"), F.col("k.text_hash").alias("kh"))
     )
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    first, second = _identity(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("d"), first.alias("text_hash"), second.alias("text_check"))
+    rows = _told_apart(rows, clashing).withColumnRenamed("text_hash", "h").drop("text_check")
     met = rows.join(stored(kept, "kept"), F.col("d").eqNullSafe(F.col("kd")) & (F.col("h") == F.col("kh")), "left_semi")
     return met.groupBy("d", "h").agg(F.first("row").alias("row")).select("row.*")
 

@@ -155,3 +155,13 @@ def test_what_is_linked_does_not_follow_the_number_of_rows():
     text = " ".join(f"w{i % 37}" for i in range(300)).encode()
     few, many = (simhash.fingerprint(text, 5, words=simhash.similar_index(n).words, distinct=True) for n in (1000, 5 * 10**6))
     assert len(few) < len(many) and (few == many[: len(few)]).all()
+
+
+def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
+    """A forced clash of the first hash: different texts stay, copies go."""
+    monkeypatch.setattr(simhash, "_identity", lambda text: (F.length(text).cast("long"), F.xxhash64(text)))
+    words = [f"w{i:04d}" for i in range(400)]
+    texts = [" ".join(words[k * 40 : k * 40 + 40]) for k in range(10)]  # all of one length
+    docs = [(i, t) for i, t in enumerate(texts)] + [(20 + i, t) for i, t in enumerate(texts)] + [(40, texts[0][:-5] + "w9999")]
+    kept = simhash.simhash_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(10))
