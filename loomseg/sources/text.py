@@ -7,8 +7,9 @@ import configparser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import apply_cigar, cigar_ops, has_flag, reference_length, reverse_complement
+from ..functions.columns import apply_cigar, cigar_ops, has_flag, quality_scale, reference_length, reverse_complement
 from ..operators.alignments import REVERSE, SECONDARY, UNMAPPED
+from .ranges import read_fasta, read_fasta_pieces, read_fastq, sequence_under  # noqa: F401  the sources of this module are one list
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -86,20 +87,6 @@ def sam_reads(sam: DataFrame, mapper: str = "general") -> DataFrame:
     )
 
 
-def read_fasta(spark: SparkSession, path: str, suffix: str = "fa") -> DataFrame:
-    """(name, seq): the first word after >, lines joined; records without a sequence are left out. path: a file, or a folder of *.suffix.
-
-    A record is a row, so a sequence is bounded by what a task can hold (2 GB), as whole chromosomes are.
-    """
-    reader = spark.read.option("lineSep", ">")
-    if not path.endswith((".fa", ".fasta", f".{suffix}")):
-        reader = reader.option("pathGlobFilter", f"*.{suffix}")
-    rows = reader.text(path).filter("value <> ''")
-    name = F.regexp_extract("value", r"^(\S+)", 1)
-    seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-    return rows.select(name.alias("name"), seq.alias("seq")).filter("seq <> ''")
-
-
 def extract_sequences(regions: DataFrame, seqs: DataFrame) -> DataFrame:
     """Adds seq, the bases under each region, complemented on the - strand."""
     piece = F.substring("_s", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
@@ -108,28 +95,10 @@ def extract_sequences(regions: DataFrame, seqs: DataFrame) -> DataFrame:
     return met.withColumn("seq", F.when(strand == "-", reverse_complement(piece)).otherwise(piece)).drop("_n", "_s")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, qual) of four-line records, cut at the @ that begins a line and is followed by three more; a file is one partition's stream."""
-
-    def run(batches):
-        import pandas as pd
-
-        held: list[str] = []
-        for b in batches:
-            held += b["value"].tolist()
-            n = len(held) // 4 * 4
-            recs = [held[i : i + 4] for i in range(0, n, 4)]
-            held = held[n:]
-            for r in recs:
-                if not r[0].startswith("@") or not r[2].startswith("+"):
-                    raise ValueError(f"not a record of four lines: {r[0][:80]}")
-            yield pd.DataFrame([(r[0][1:].split()[0], r[1], r[3]) for r in recs], columns=["name", "seq", "qual"])
-        if held:
-            raise ValueError("the last record is not whole")
-
-    # a file is one row, so that its records stay whole and in order
-    one = spark.read.option("wholetext", "true").text(path).select(F.explode(F.split(F.rtrim("value"), "\r?\n")).alias("value"))
-    return one.mapInPandas(run, "name string, seq string, qual string")
+def detect_scale(reads: DataFrame) -> DataFrame:
+    """(scale): what quality characters a table's qual holds says of their scale, by the smallest and the largest one; null if none fits or there is none."""
+    codes = F.transform(F.split("qual", ""), lambda c: F.ascii(c))
+    return reads.filter("qual <> ''").agg(F.min(F.array_min(codes)).alias("lo"), F.max(F.array_max(codes)).alias("hi")).select(quality_scale(F.col("lo"), F.col("hi")).alias("scale"))
 
 
 def read_quality_matrix(spark: SparkSession, path: str) -> DataFrame:
