@@ -1,10 +1,12 @@
 """Files read by ranges equal files read whole, for any range size."""
 
 import random
+import struct
+import zlib
 
 import pytest
 
-from loomseg.sources import ranges, text
+from loomseg.sources import bam, ranges, text
 
 
 def _fastq(rng, n):
@@ -79,3 +81,54 @@ def test_sequence_under_regions(spark, tmp_path):
         if c in seqs and b > a and max(a, 0) // 16 <= (len(seqs[c]) - 1) // 16 and b > 0:
             want.append((c, a, b, t, seqs[c][max(a, 0) : b]))
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def _bam(rng, n, most):
+    """A file of blocks of up to `most` bytes, and what it holds."""
+    raw = b"BAM\1" + struct.pack("<i", 5) + b"@HD\tx" + struct.pack("<i", 2)
+    for name, size in ((b"c1\0", 100_000), (b"c2\0", 5000)):
+        raw += struct.pack("<i", len(name)) + name + struct.pack("<i", size)
+    names = []
+    for i in range(n):
+        name, k = f"read.{i}", rng.choice([0, 1, 5, 40, 600])
+        cigar = struct.pack("<I", k << 4) if k else b""
+        body = struct.pack("<iiBBHHHiiii", rng.choice([-1, 0, 1]), rng.randrange(-1, 5000), len(name) + 1, rng.randrange(60), 0, len(cigar) // 4, rng.randrange(2048), k, -1, -1, 0)
+        body += name.encode() + b"\0" + cigar + rng.randbytes((k + 1) // 2) + bytes(rng.randrange(40) for _ in range(k)) + b"NMC" + bytes([i % 9])
+        raw += struct.pack("<i", len(body)) + body
+        names.append(name)
+    out, at = b"", 0
+    while at < len(raw) or not out.endswith(b"\0" * 9):
+        part = raw[at : at + rng.randrange(0, most)]
+        at += len(part)
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        packed = z.compress(part) + z.flush()
+        out += b"\x1f\x8b\x08\x04" + b"\0" * 5 + b"\xff" + struct.pack("<H", 6) + b"BC\2\0" + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(part), len(part))
+        if at >= len(raw):
+            break
+    return out, names
+
+
+@pytest.mark.parametrize("seed,most", [(1, 60), (2, 500), (3, 5000), (4, 60_000)])
+def test_binary_ranges(tmp_path, seed, most):
+    out, names = _bam(random.Random(seed), 200, most)
+    f = tmp_path / "x.bam"
+    f.write_bytes(out)
+    every = lambda *_: True
+    with open(f, "rb") as one:
+        whole = list(bam.records(one, every))
+    assert [r[0] for r in whole] == names
+    for size in (101, 997, 20_000, 1 << 20):
+        got = []
+        for a in range(0, len(out), size):
+            with open(f, "rb") as one:
+                got += bam.records(one, every, a, min(a + size, len(out)), len(out))
+        assert got == whole, size
+
+
+def test_binary_source_by_ranges(spark, tmp_path):
+    out, names = _bam(random.Random(7), 300, 3000)
+    (tmp_path / "x.bam").write_bytes(out)
+    bam.register(spark)
+    df = spark.read.format("bam").option("rangeBytes", "5000").option("path", str(tmp_path / "x.bam")).load()
+    assert df.rdd.getNumPartitions() > 3
+    assert sorted(r.qname for r in df.collect()) == sorted(names)
