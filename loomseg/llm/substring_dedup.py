@@ -3,9 +3,9 @@
 A window is `length` consecutive words. It is given to the gram of GRAM words in it with the smallest hash, its anchor: equal windows have
 the same one. Anchors that occur in one document only are dropped; successive windows of one of the others are a stretch of the document.
 The different stretches, each with the smallest document that has it, are the reference. It is dealt by anchor into
-shards of bounded size, and a task builds each shard's suffix automaton, whose states know the smallest document of their strings.
-The automaton is then broadcast to the tasks that stream the shard's stretches: matching statistics
-tell of each window whether a smaller document has it. Hashes only say what meets: equality is decided by the automata, word by word.
+shards of bounded size. A shard is broadcast to the tasks that stream its stretches, and each of them builds its suffix automaton, whose
+states know the smallest document of their strings: matching statistics then tell of each window whether a smaller document
+has it. What travels is the shard's text, as its automaton is ten times as large. Hashes only say what meets: equality is decided by the automata, word by word.
 
 Frequent lines in many surroundings would put very many different stretches under one anchor. The stretches of such an anchor are cut into
 single windows, which meet under their own hash, so a shard stays small. A shard with very many stretches to stream is broadcast to several tasks.
@@ -14,7 +14,6 @@ single windows, which meet under their own hash, so a shard stays small. A shard
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -215,34 +214,20 @@ class Automaton:
                     last = q if size[q] == size[p] + 1 else copied(p, q, c)
                 if number < low[last]:
                     low[last] = number
-        order = np.argsort(np.array(size), kind="stable")
-        for v in order[:0:-1].tolist():
+        order = np.argsort(np.array(size), kind="stable").tolist()
+        for v in order[:0:-1]:
             if low[v] < low[link[v]]:
                 low[link[v]] = low[v]
         # the strings of `length` words that end where a state's do belong to the ancestor whose own link is shorter
-        self.low = np.full(len(size), _NONE, np.int64)
         top = list(range(len(size)))
-        for v in order.tolist():
-            if size[v] >= length:
-                if size[link[v]] >= length:
-                    top[v] = top[link[v]]
-                self.low[v] = low[top[v]]
-        self.link, self.size = np.array(link, np.int32), np.array(size, np.int32)
-        self.states = np.repeat(np.arange(len(moves), dtype=np.int32), [len(m) for m in moves])
-        self.letters = np.fromiter((c for m in moves for c in m), np.int32, len(self.states))
-        self.to = np.fromiter((q for m in moves for q in m.values()), np.int32, len(self.states))
-
-    def ready(self) -> Automaton:
-        """Lays out the transitions for streaming: a dictionary by state and word."""
-        n = max(1, len(self.ids))
-        self.moves = dict(zip((self.states.astype(np.int64) * n + self.letters).tolist(), self.to.tolist(), strict=True))
-        self.steps = self.link.tolist(), self.size.tolist(), self.low.tolist()
-        return self
+        for v in order:
+            if size[v] >= length and size[link[v]] >= length:
+                top[v] = top[link[v]]
+        self.moves, self.link, self.size, self.low = moves, link, size, [low[t] for t in top]
 
     def smallest(self, body: bytes) -> np.ndarray:
         """Of each window of a text, the smallest number of a sequence that holds it: matching statistics of at least `length`."""
-        link, size, low = self.steps
-        moves, ids, n, least = self.moves, self.ids, max(1, len(self.ids)), self.length
+        moves, link, size, low, ids, least = self.moves, self.link, self.size, self.low, self.ids, self.length
         v = have = 0
         out = []
         for word in body.split(b" "):
@@ -251,30 +236,22 @@ class Automaton:
                 v = have = 0
                 out.append(_NONE)
                 continue
-            q = moves.get(v * n + c)
+            q = moves[v].get(c)
             while q is None and v:
                 v = link[v]
                 have = size[v]
-                q = moves.get(v * n + c)
+                q = moves[v].get(c)
             if q is not None:
                 v, have = q, have + 1
             out.append(low[v] if have >= least else _NONE)
         return np.array(out[least - 1 :], np.int64)
 
 
-def automata(reference: DataFrame, length: int) -> DataFrame:
-    """shard, body: the pickled suffix automaton of each shard's reference (shard, body, lo)."""
+def matched(units: DataFrame, reference: DataFrame, length: int) -> DataFrame:
+    """doc_id, th, a, b: runs of words that a smaller document has too. units: shard, doc_id, th, first, body; reference: shard, body, lo.
 
-    def build(table: pa.Table) -> pa.Table:
-        order = table.sort_by("body")
-        one = Automaton(order.column("body").to_pylist(), order.column("lo").to_pylist(), length)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "body": pa.array([pickle.dumps(one)], pa.binary())})
-
-    return reference.select("shard", "body", "lo").groupBy("shard").applyInArrow(build, "shard long, body binary")
-
-
-def matched(units: DataFrame, built: DataFrame, length: int) -> DataFrame:
-    """doc_id, th, a, b: runs of words that a smaller document has too. A shard's automaton comes ahead of the stretches of each of its parts."""
+    A shard's reference comes ahead of the stretches of each of its parts; the task builds the automaton of it and streams what follows.
+    """
     counts = stored(units.groupBy("shard").agg(F.count("*").alias("n")), "loads")
     total = counts.agg(F.sum("n")).first()[0] or 0
     fair = max(10_000, total // HOT)
@@ -283,18 +260,21 @@ def matched(units: DataFrame, built: DataFrame, length: int) -> DataFrame:
     stream = units.join(F.broadcast(hot), "shard", "left").select("shard", part.alias("part"), F.lit(1).alias("kind"), "doc_id", "th", "first", "body")
     parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     none = F.lit(None).cast("long")
-    sent = built.join(F.broadcast(hot), "shard", "left").select("shard", parts.alias("part"), F.lit(0).alias("kind"), none.alias("doc_id"), none.alias("th"), none.alias("first"), "body")
+    sent = reference.join(F.broadcast(hot), "shard", "left").select("shard", parts.alias("part"), F.lit(0).alias("kind"), F.col("lo").alias("doc_id"), none.alias("th"), none.alias("first"), "body")
     dealt = sent.union(stream).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = last = smallest = None
+        own, held, automaton, last, smallest = None, [], None, None, None
         for batch in batches:
             found = []
-            for kind, doc_id, th, first, body in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            for shard, part, kind, doc_id, th, first, body in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if (shard, part) != own:
+                    own, held, automaton, last = (shard, part), [], None, None
                 if kind == 0:
-                    automaton = last = None
-                    automaton = pickle.loads(body).ready()
+                    held.append((body, doc_id))
                     continue
+                if automaton is None:
+                    automaton, held = Automaton(*zip(*held, strict=True), length), []
                 if body != last:
                     last, smallest = body, automaton.smallest(body)
                 hit = smallest < doc_id
@@ -305,7 +285,7 @@ def matched(units: DataFrame, built: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["doc_id", "th", "a", "b"])
         trim()
 
-    return dealt.select("kind", "doc_id", "th", "first", "body").mapInArrow(run, _SPANS)
+    return dealt.mapInArrow(run, _SPANS)
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -314,6 +294,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     found = stored(_anchored(known, length), "winnowed")
     wanted = _shared(found).groupBy("doc_id").agg(F.collect_list("anchor").alias("keep"))
     units = stored(stretches(known, wanted, length), "units")
+    release(found)
     n_words = F.size(F.split(F.col("body").cast("string"), " "))
     per = lambda u: u.groupBy("key", "body").agg(F.min("doc_id").alias("lo"))
     reference = stored(per(units).withColumn("n", n_words), "reference")
@@ -324,9 +305,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         release(whole, old)
     shards = max(1, -(-(reference.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    built = stored(automata(reference.select(shard, "body", "lo"), length), "automata")
-    spans = stored(matched(units.select(shard, "doc_id", "th", "first", "body"), built, length), "spans")
-    release(found, units, reference, full, built)
+    spans = stored(matched(units.select(shard, "doc_id", "th", "first", "body"), reference.select(shard, "body", "lo"), length), "spans")
+    release(units, reference, full)
     return spans
 
 

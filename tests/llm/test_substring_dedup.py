@@ -78,7 +78,7 @@ def test_automaton(seed):
     rng = random.Random(seed)
     bodies = [b" ".join(rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(1, 40))) for _ in range(12)]
     numbers = [rng.randrange(100) for _ in bodies]
-    one = Automaton(bodies, numbers, 4).ready()
+    one = Automaton(bodies, numbers, 4)
     for text in [*bodies, b" ".join(rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(200))]:
         w = text.split(b" ")
         want = []
