@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import adapters as ad
 from .functions import columns as fx
-from .operators import alignments, binning, binsize, boundaries, domains, hmm, intervals, kmers, stats
+from .operators import alignments, binning, binsize, boundaries, calling, domains, hmm, intervals, kmers, reference, stats
 from .plans import model_sql, segment
 from .sources import text
 from .streaming import counts as live
@@ -745,31 +745,66 @@ def base_calls(spark, d):
     return ad.seqs(spark, d).select("name", fx.call_bases(fx.error_matrix(F.col("seq"))).alias("called"))
 
 
-# alignments made of lineitem
-
-SAM = """sam AS (SELECT 'r' || l_orderkey || '_' || l_linenumber AS qname, ((l_suppkey * 37 + l_partkey) % 2048)::INT AS flag, l_returnflag || l_linestatus AS rname,
-  (date_diff('day', DATE '1995-01-01', l_shipdate::DATE) * 10 + l_linenumber)::INT AS pos, (l_partkey % 61)::INT AS mapq, l_quantity::INT AS q, l_partkey % 40 AS pq FROM lineitem)"""
+# alignments made of lineitem: five kinds of cigar, bases and qualities by hashes of the names; the references are letters of hashes of orders
+
+_OPS = [
+    "[{'op': 'M', 'n': q}, {'op': 'D', 'n': 2}, {'op': 'M', 'n': 5}, {'op': 'I', 'n': 3}, {'op': 'S', 'n': 4}]",
+    "[{'op': 'S', 'n': 4}, {'op': 'M', 'n': q}, {'op': 'I', 'n': 3}, {'op': 'M', 'n': 5}]",
+    "[{'op': 'M', 'n': q + 12}]",
+    "[{'op': 'H', 'n': 2}, {'op': 'S', 'n': 3}, {'op': 'M', 'n': q}, {'op': 'N', 'n': 7}, {'op': 'M', 'n': 9}]",
+    "[{'op': 'M', 'n': q}, {'op': 'I', 'n': 1}, {'op': 'M', 'n': 6}, {'op': 'D', 'n': 1}, {'op': 'M', 'n': 5}]",
+]
+_CIGARS = [("", "M2D5M3I4S"), ("4S", "M3I5M"), (None, "M"), ("2H3S", "M7N9M"), ("", "M1I6M1D5M")]
+HEX, BASES, QUALITIES = "0123456789abcdef", "AAAAAAAACCGGGTTN", "#&),/258;>ADFGHI"
+#: Letters of a reference that one order gives.
+PER_ORDER = 16
+SAM = f"""sam0 AS (SELECT 'r' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || l_quantity::INT AS qname, ((l_suppkey * 37 + l_partkey) % 2048)::INT AS flag, l_returnflag || l_linestatus AS rname,
+  (date_diff('day', DATE '1995-01-01', l_shipdate::DATE) * 10 + l_linenumber)::INT AS pos, (l_partkey % 61)::INT AS mapq, l_quantity::INT AS q, l_partkey % 5 AS kind,
+  CASE l_suppkey % 3 WHEN 0 THEN '=' WHEN 1 THEN 'XX' ELSE l_returnflag || l_linestatus END AS rnext FROM lineitem),
+sam AS (SELECT *, substr(translate(md5(qname) || md5(qname || 'x'), '{HEX}', '{BASES}'), 1, q + 12) AS seq, substr(translate(md5(qname || 'q') || md5(qname || 'r'), '{HEX}', '{QUALITIES}'), 1, q + 12) AS qual,
+  CASE kind {" ".join(f"WHEN {i} THEN {o}" for i, o in enumerate(_OPS))} END AS ops FROM sam0)"""
+#: Operations with what moves along the reference (x) and the read (y) ahead of each; spans of whole alignments.
+OPS = """ops AS (SELECT *, sum(CASE WHEN op IN ('M', 'D', 'N') THEN n ELSE 0 END) OVER w::BIGINT - CASE WHEN op IN ('M', 'D', 'N') THEN n ELSE 0 END AS x,
+  sum(CASE WHEN op IN ('M', 'I', 'S') THEN n ELSE 0 END) OVER w::BIGINT - CASE WHEN op IN ('M', 'I', 'S') THEN n ELSE 0 END AS y
+  FROM (SELECT qname, i, o.op AS op, o.n AS n FROM (SELECT qname, unnest(range(1, len(ops) + 1)) AS i, unnest(ops) AS o FROM sam)) WINDOW w AS (PARTITION BY qname ORDER BY i)),
+spans AS (SELECT qname, sum(n) FILTER (op IN ('M', 'D', 'N'))::BIGINT AS span FROM ops GROUP BY qname),
+cols AS (SELECT qname, rname, flag, mapq, pos + x + k AS p, (y + k)::INT AS z, seq, qual FROM (SELECT ops.*, unnest(range(0, n)) AS k FROM ops WHERE op = 'M') JOIN sam USING (qname))"""
+REFERENCE = f"""refs AS (SELECT n AS rname, (o_orderkey - (SELECT min(o_orderkey) FROM orders)) * {PER_ORDER} + k AS p, substr(translate(md5(n || o_orderkey || o_orderstatus), '{HEX}', '{BASES}'), k::INT + 1, 1) AS c
+  FROM orders, (SELECT unnest(['AF', 'AO', 'NF', 'NO', 'RF', 'RO']) AS n), (SELECT unnest(range(0, {PER_ORDER})) AS k))"""
 
 
 def sam_lineitem(spark, d) -> DataFrame:
     li = ad.table(spark, d, "lineitem")
     pos = (F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01")) * 10 + F.col("l_linenumber")).cast("int")
-    q = F.col("l_quantity").cast("int")
+    q, kind = F.col("l_quantity").cast("int"), F.col("l_partkey") % 5
+    cigar, name, rname = F.lit(None).cast("string"), F.concat(F.lit("r"), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))), F.concat("l_returnflag", "l_linestatus")
+    for i, (head, tail) in enumerate(_CIGARS):
+        cigar = F.when(kind == i, F.concat(F.lit(head or ""), (q if head is not None else q + 12).cast("string"), F.lit(tail))).otherwise(cigar)
+    letters = lambda a, b, to: F.substring(F.translate(F.concat(F.md5(F.concat(name, F.lit(a))), F.md5(F.concat(name, F.lit(b)))), HEX, to), F.lit(1), q + 12)
+    mate = F.when(F.col("l_suppkey") % 3 == 0, "=").when(F.col("l_suppkey") % 3 == 1, "XX").otherwise(rname)
     return li.select(
-        F.concat(F.lit("r"), F.col("l_orderkey"), F.lit("_"), F.col("l_linenumber")).alias("qname"), ((F.col("l_suppkey") * 37 + F.col("l_partkey")) % 2048).cast("int").alias("flag"),
-        F.concat("l_returnflag", "l_linestatus").alias("rname"), pos.alias("pos"), (F.col("l_partkey") % 61).cast("int").alias("mapq"), F.concat(q.cast("string"), F.lit("M2D5M3I4S")).alias("cigar"),
-        F.lit("=").alias("rnext"), pos.alias("pnext"), F.lit(0).alias("tlen"), F.repeat(F.lit("A"), q + 12).alias("seq"), F.repeat(F.char(F.col("l_partkey") % 40 + 33), q + 12).alias("qual"),
+        name.alias("qname"), ((F.col("l_suppkey") * 37 + F.col("l_partkey")) % 2048).cast("int").alias("flag"), rname.alias("rname"), pos.alias("pos"), (F.col("l_partkey") % 61).cast("int").alias("mapq"),
+        cigar.alias("cigar"), mate.alias("rnext"), pos.alias("pnext"), F.lit(0).alias("tlen"), letters("", "x", BASES).alias("seq"), letters("q", "r", QUALITIES).alias("qual"),
     )
 
 
+def reference_orders(spark, d) -> DataFrame:
+    """(name, at, seq): pieces of the six references, sixteen letters of each order."""
+    o = ad.table(spark, d, "orders")
+    first = o.agg(F.min("o_orderkey")).first()[0] or 0
+    rows = o.select("o_orderkey", "o_orderstatus", F.explode(F.array(*[F.lit(a + b) for a in "ANR" for b in "FO"])).alias("name"))
+    seq = F.substring(F.translate(F.md5(F.concat("name", F.col("o_orderkey").cast("string"), "o_orderstatus")), HEX, BASES), 1, PER_ORDER)
+    return rows.select("name", ((F.col("o_orderkey") - first) * PER_ORDER).alias("at"), seq.alias("seq"))
+
+
 @query(f"WITH {SAM} SELECT qname, flag, mapq FROM sam WHERE mapq >= 20 AND flag & 1 = 1 AND flag & 1796 = 0")
 def sam_flag_filter(spark, d):
     return alignments.view(sam_lineitem(spark, d), 20, 1, 1796).select("qname", "flag", "mapq")
 
 
-@query(f"""WITH {SAM}, b AS (SELECT *, flag & 512 = 0 AS ok, flag & 4 = 0 AS m, flag & 1 = 1 AS p, flag & 8 = 8 AS mm FROM sam),
+@query(f"""WITH {SAM}, b AS (SELECT *, flag & 512 = 0 AS ok, flag & 4 = 0 AS m, flag & 1 = 1 AS p, flag & 8 = 8 AS mm, flag & 1 = 1 AND flag & 4 = 0 AND flag & 8 = 0 AND rnext NOT IN ('=', rname) AS other FROM sam),
 x AS (SELECT unnest(['total', 'duplicates', 'mapped', 'paired', 'read1', 'read2', 'properly paired', 'both mapped', 'singletons', 'mate elsewhere', 'mate elsewhere, mapq 5']) AS what,
-  unnest([true, flag & 1024 > 0, m, p, p AND flag & 64 > 0, p AND flag & 128 > 0, p AND m AND flag & 2 > 0, p AND m AND NOT mm, p AND m AND mm, false, false]) AS yes, ok FROM b)
+  unnest([true, flag & 1024 > 0, m, p, p AND flag & 64 > 0, p AND flag & 128 > 0, p AND m AND flag & 2 > 0, p AND m AND NOT mm, p AND m AND mm, other, other AND mapq >= 5]) AS yes, ok FROM b)
 SELECT what, count(*) FILTER (yes AND ok) AS passed, count(*) FILTER (yes AND NOT ok) AS failed FROM x GROUP BY what""")
 def flagstat(spark, d):
     return alignments.flagstat(sam_lineitem(spark, d))
@@ -780,21 +815,20 @@ def idxstats(spark, d):
     return alignments.idxstats(sam_lineitem(spark, d))
 
 
-@query(f"""WITH {SAM}, r AS (SELECT qname, row_number() OVER (PARTITION BY rname, flag & 16, CASE WHEN flag & 16 > 0 THEN pos + q + 7 ELSE pos END
-  ORDER BY pq * (q + 12) DESC, qname) AS k FROM sam WHERE flag & 4 = 0)
+@query(f"""WITH {SAM}, {OPS}, sums AS (SELECT qname, list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) AS quality FROM sam),
+r AS (SELECT qname, row_number() OVER (PARTITION BY rname, flag & 16, CASE WHEN flag & 16 > 0 THEN pos + span ELSE pos END ORDER BY quality DESC, qname) AS k FROM sam JOIN spans USING (qname) JOIN sums USING (qname) WHERE flag & 4 = 0)
 SELECT qname FROM r WHERE k = 1 UNION ALL SELECT qname FROM sam WHERE flag & 4 > 0""")
 def rmdup_best(spark, d):
     return alignments.remove_duplicates(sam_lineitem(spark, d)).select("qname")
 
 
-@query(f"""WITH {SAM}, ok AS (SELECT * FROM sam WHERE mapq >= 50 AND flag & 1796 = 0), c AS (SELECT rname, unnest(range(pos, pos + q)) AS pos FROM ok UNION ALL SELECT rname, unnest(range(pos + q + 2, pos + q + 7)) FROM ok)
-SELECT rname, pos::BIGINT AS pos, count(*) AS depth FROM c GROUP BY ALL""")
+@query(f"""WITH {SAM}, {OPS} SELECT rname, p AS pos, count(*) AS depth FROM cols WHERE mapq >= 50 AND flag & 1796 = 0 GROUP BY ALL""")
 def depth(spark, d):
     return alignments.depth(sam_lineitem(spark, d), 50)
 
 
-@query(f"""WITH {SAM}, ok AS (SELECT * FROM sam WHERE flag & 4 = 0), c AS (SELECT rname, unnest(range(pos, pos + q)) AS pos FROM ok UNION ALL SELECT rname, unnest(range(pos + q + 2, pos + q + 7)) FROM ok)
-SELECT rname, pos::BIGINT AS pos, count(*) AS depth, repeat('A', count(*)) AS bases FROM c GROUP BY ALL""")
+@query(f"""WITH {SAM}, {OPS}, b AS (SELECT rname, p, substr(seq, z + 1, 1) AS base FROM cols WHERE flag & 4 = 0)
+SELECT rname, p AS pos, count(*) AS depth, string_agg(base, '' ORDER BY base) AS bases FROM b GROUP BY ALL""")
 def pileup(spark, d):
     return alignments.pileup(sam_lineitem(spark, d))
 
@@ -805,16 +839,61 @@ def sam_count(spark, d):
     return spark.createDataFrame([(alignments.view(sam_lineitem(spark, d)).count(),)], "n long")
 
 
-@query(f"WITH {SAM} SELECT qname, pos::BIGINT AS start, (pos + q + 7)::BIGINT AS \"end\", CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END AS strand, mapq::DOUBLE AS score FROM sam WHERE flag & 4 = 0")
+@query(f"WITH {SAM}, {OPS} SELECT qname, pos::BIGINT AS start, pos + span AS \"end\", CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END AS strand, mapq::DOUBLE AS score FROM sam JOIN spans USING (qname) WHERE flag & 4 = 0")
 def sam_intervals(spark, d):
     return text.sam_intervals(sam_lineitem(spark, d)).select(F.col("name").alias("qname"), "start", "end", "strand", "score")
 
 
-@query(f"WITH {SAM} SELECT qname, repeat('A', q) || 'NN' || repeat('A', 5) AS laid FROM sam")
+@query(f"""WITH {SAM}, {OPS} SELECT qname, string_agg(CASE WHEN op = 'M' THEN substr(seq, y::INT + 1, n::INT) WHEN op IN ('D', 'N') THEN repeat('N', n::INT) ELSE '' END, '' ORDER BY i) AS laid FROM ops JOIN sam USING (qname) GROUP BY qname""")
 def apply_cigar(spark, d):
     return sam_lineitem(spark, d).select("qname", fx.apply_cigar(F.col("cigar"), F.col("seq")).alias("laid"))
 
 
+@query(f"""WITH {SAM}, {OPS}, {REFERENCE}, len AS (SELECT rname, max(p) + 1 AS len FROM refs GROUP BY rname),
+o AS (SELECT ops.*, rname, seq, pos + x AS rx, len, op IN ('M', 'D') AND pos + x + n > len AS beyond FROM ops JOIN sam USING (qname) JOIN len USING (rname) WHERE flag & 4 = 0 AND pos < len),
+last AS (SELECT qname, coalesce(min(i) FILTER (beyond), 99) AS last FROM o GROUP BY qname), kept AS (SELECT o.* FROM o JOIN last USING (qname) WHERE i <= last),
+m AS (SELECT *, rx + k AS p, substr(seq, (y + k + 1)::INT, 1) AS r FROM (SELECT *, unnest(range(0, least(n, greatest(len - rx, 0))::BIGINT)) AS k FROM kept WHERE op = 'M')),
+d AS (SELECT qname, i, rname, unnest(range(rx::BIGINT, least(rx + n, len)::BIGINT)) AS p FROM kept WHERE op = 'D'),
+toks AS (SELECT qname, i, k, CASE WHEN r = c AND c <> 'N' THEN '=' ELSE c END AS tok FROM m JOIN refs USING (rname, p) UNION ALL
+  SELECT qname, i, 0, '^' || coalesce(string_agg(c, '' ORDER BY p), '') FROM kept LEFT JOIN (SELECT d.qname, d.i, p, c FROM d JOIN refs USING (rname, p)) USING (qname, i) WHERE op = 'D' GROUP BY qname, i),
+g AS (SELECT *, sum((tok <> '=')::INT) OVER (PARTITION BY qname ORDER BY i, k) AS g FROM toks), c AS (SELECT qname, g, max(tok) FILTER (tok <> '=') AS head, count(*) FILTER (tok = '=') AS n FROM g GROUP BY ALL),
+md AS (SELECT qname, CASE WHEN min(g) > 0 THEN '0' ELSE '' END || string_agg(coalesce(head, '') || n, '' ORDER BY g) AS md FROM c GROUP BY qname),
+nm AS (SELECT qname, sum(CASE WHEN op = 'I' OR op = 'D' AND NOT beyond THEN n ELSE 0 END) AS gaps FROM kept GROUP BY qname), mm AS (SELECT qname, count(*) FILTER (tok <> '=' AND tok NOT LIKE '^%') AS mm FROM toks GROUP BY qname)
+SELECT qname, md, (gaps + mm)::INT AS nm FROM md JOIN nm USING (qname) JOIN mm USING (qname)""")
+def mismatch_strings(spark, d):
+    """Mismatch strings and edit distances of alignments."""
+    return reference.mismatches(sam_lineitem(spark, d), reference_orders(spark, d)).filter("md IS NOT NULL").select("qname", "md", "nm")
+
+
+@query()
+def alignment_quality(spark, d):
+    """Base qualities capped by the posteriors of a banded alignment; pytest compares them with all paths of short reads."""
+    return reference.alignment_qualities(sam_lineitem(spark, d), reference_orders(spark, d)).select("qname", "bq", "capped")
+
+
+@query(f"""WITH {SAM}, {OPS}, {REFERENCE},
+b AS (SELECT qname, rname, p, strpos('ACGT', substr(seq, z + 1, 1)) AS bp, ascii(substr(qual, z + 1, 1)) - 33 AS bq, least(mapq, 60) AS mq, (flag & 16 > 0)::INT AS strand FROM cols WHERE flag & 4 = 0),
+u AS (SELECT qname, rname, p, CASE bp WHEN 0 THEN 4 ELSE bp - 1 END AS base, greatest(least(bq, mq, 63), 4) AS q, strand FROM b WHERE bq >= 13), deep AS (SELECT rname, p, count(*) AS all_depth FROM b GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY rname, p, strand, base ORDER BY q DESC, qname) - 1 AS w, row_number() OVER (PARTITION BY rname, p, base ORDER BY q DESC, strand DESC, qname) - 1 AS k, count(*) OVER (PARTITION BY rname, p) AS n FROM u),
+qn AS (SELECT DISTINCT q, n FROM r), terms AS (SELECT q, n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(10 ** (-q / 10)) + (n - k) * ln(1 - 10 ** (-q / 10))) AS t FROM (SELECT q, n, unnest(range(0, n + 1)) AS k FROM qn)),
+tails AS (SELECT q, n, k, sum(t) OVER (PARTITION BY q, n ORDER BY k DESC) AS t FROM terms), beta AS (SELECT q, n, k, -10 * log10(lead(t) OVER (PARTITION BY q, n ORDER BY k) / t) AS beta FROM tails),
+s AS (SELECT rname, p, base, sum((pow(0.83::DOUBLE, w::DOUBLE) * 0.97::DOUBLE + 0.03::DOUBLE) * beta) AS cost, count(*) AS c, sum(q) AS qsum FROM r JOIN beta USING (q, n, k) GROUP BY ALL),
+pos AS (SELECT rname, p, sum(cost) AS total, sum(c)::BIGINT AS depth FROM s GROUP BY ALL),
+ref AS (SELECT pos.*, CASE WHEN c.c IN ('A', 'C', 'G', 'T') THEN c.c ELSE 'N' END AS ref, CASE coalesce(strpos('ACGT', c.c), 0) WHEN 0 THEN 4 ELSE strpos('ACGT', c.c) - 1 END AS code FROM pos LEFT JOIN refs c USING (rname, p)),
+five AS (SELECT rname, p, code, base, coalesce(cost, 0) AS cost, coalesce(c, 0) AS c, coalesce(qsum, 0) AS qsum FROM ref CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS base) LEFT JOIN s USING (rname, p, base)),
+o AS (SELECT *, row_number() OVER (PARTITION BY rname, p ORDER BY qsum DESC, base DESC) AS rank, count(*) FILTER (qsum > 0) OVER (PARTITION BY rname, p) AS seen FROM five WHERE base < 4 AND base <> code),
+al AS (SELECT rname, p, base, cost, c, rank, rank > seen AS unseen FROM o WHERE rank <= seen + 1 UNION ALL SELECT rname, p, base, cost, c, 0, false FROM five WHERE base = code),
+g AS (SELECT rname, p, x.rank AS k, y.rank AS j, greatest(total - x.cost - CASE WHEN x.base = y.base THEN 0 ELSE y.cost + 4.343 * (lgamma(x.c + y.c + 1) - lgamma(x.c + 1) - lgamma(y.c + 1) - (x.c + y.c) * ln(2)) END, 0) AS v
+  FROM al x JOIN al y USING (rname, p) JOIN pos USING (rname, p) WHERE y.rank <= x.rank),
+pl AS (SELECT rname, p, string_agg(least(floor(v - low + 0.499 + 1e-9), 255)::INT, ',' ORDER BY k, j) AS pl FROM (SELECT *, min(v) OVER (PARTITION BY rname, p) AS low FROM g) GROUP BY ALL),
+alts AS (SELECT rname, p, string_agg(CASE WHEN unseen THEN 'X' ELSE substr('ACGT', base + 1, 1) END, ',' ORDER BY rank) AS alts FROM al WHERE rank > 0 GROUP BY ALL)
+SELECT rname, p AS pos, ref, alts, depth, all_depth, pl FROM ref JOIN pl USING (rname, p) JOIN alts USING (rname, p) JOIN deep USING (rname, p)""")
+def genotype_likelihoods(spark, d):
+    """Alleles and scaled likelihoods of their genotypes at each position."""
+    found = calling.genotype_likelihoods(calling.base_counts(sam_lineitem(spark, d)), reference_orders(spark, d))
+    return found.select("rname", "pos", "ref", "alts", "depth", "all_depth", F.array_join(F.col("pl").cast("array<string>"), ",").alias("pl"))
+
+
 @query("SELECT l_orderkey, l_linenumber, round(10 ** (-l_quantity / 10), 9) AS p, round((10 ** (-l_quantity / 10)) / (1 + 10 ** (-l_quantity / 10)), 9) AS solexa, chr((l_quantity + 33)::INT) AS c FROM lineitem")
 def quality_scores(spark, d):
     q = F.col("l_quantity")
