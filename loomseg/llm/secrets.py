@@ -1,7 +1,8 @@
 """Secret scans: base patterns, and Shannon entropy over a sliding window of candidate strings.
 
-Everything is a DataFrame expression. A candidate's entropy is kept by incremental counts: a step takes
-one character out of the window and one in, and changes sum(c * log2 c) by those two counts only.
+Everything is a DataFrame expression. A candidate's entropy is kept by incremental counts: the fold carries how often each character of the
+alphabet stands in the window; a step takes one character out and one in, and changes two counts and sum(c * log2 c) by them. Counts
+are characters of a string, so that reading and changing one is a substring and an overlay.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ ASSIGN = (
 #: A run that is too short fails whole, and so does each of its ends: lengths can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-#: Whole runs of the base64 alphabets with a digit and a letter.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
+#: Whole runs of the base64 alphabets.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
-#: Bits in a window of 20 that a candidate of each class must exceed.
-THRESHOLDS = {"hex": 3.05, "alnum": 3.65, "base64": 3.75}
-#: Strings of these forms are not secrets: UUIDs, placeholders, runs of one character, counting, paths.
+#: Bits in a window of 20 that a candidate of each class must exceed. A candidate is of the first class that holds all its characters; digits alone are none.
+THRESHOLDS = {"hex": 3.05, "letters": 3.95, "alnum": 3.65, "base64": 3.75}
+CLASSES = {"hex": "^[0-9a-fA-F]+$", "letters": "^[A-Za-z]+$", "alnum": "^[A-Za-z0-9]+$", "base64": "^"}
+#: Windows that touch one of these forms are not secrets: UUIDs, placeholders, runs of one character, counting, paths.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|dummy|your_",
@@ -35,6 +38,10 @@ ALLOW = (
 )
 
 
+#: Matches that one inner fold lays out: their positions are then moved by what stands ahead, so the work follows the number of matches.
+PART = 128
+
+
 def _runs(text: Column, pattern: str, keep=None, group: int = 0) -> Column:
     """array<struct<s,e,m>> of the pattern's matches, as code points; keep: a test of the group's text.
 
@@ -52,9 +59,19 @@ def _runs(text: Column, pattern: str, keep=None, group: int = 0) -> Column:
         found = F.array_append(acc["found"], one) if keep is None else F.when(keep(x["test"]), F.array_append(acc["found"], one)).otherwise(acc["found"])
         return F.struct(e.alias("at"), found.alias("found"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    # most texts have no match: one search tells
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda a: a["found"])).otherwise(none)
+    def laid(part):
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("found")), step)
+
+    def joined(all_rows):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_rows) - 1) / PART).cast("int")), lambda i: laid(F.slice(all_rows, i * PART + 1, PART)))
+        moved = F.aggregate(
+            parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int,m:string>>>").alias("found")),
+            lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["found"], F.transform(x["found"], lambda y: F.struct((y["s"] + acc["at"]).alias("s"), (y["e"] + acc["at"]).alias("e"), y["m"].alias("m")))).alias("found")),
+        )
+        return F.flatten(moved["found"])
+
+    # most texts have no match: one search tells; the rows are made once, as the only element that a transform goes over
+    return F.when(text.rlike(pattern), F.flatten(F.transform(F.array(rows), joined))).otherwise(none)
 
 
 def _clog(c: Column) -> Column:
@@ -62,23 +79,49 @@ def _clog(c: Column) -> Column:
 
 
 def window_entropy(s: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of any `window` successive characters; null for shorter strings."""
-    chars = F.split(s, "")
-    n = F.size(chars)
+    """The largest Shannon entropy, in bits, of any `window` successive characters of the alphabet; windows with other characters don't count. Null if there is none."""
+    if not 1 <= window <= 70:
+        raise ValueError("the window has 1 to 70 characters")  # a count is one ASCII character
+    place = lambda c: F.instr(F.lit(ALPHABET), c)
+    count = lambda counts, p: F.when(p > 0, F.ascii(F.substring(counts, p, F.lit(1))) - 48).otherwise(0)
+    put = lambda counts, p, c: F.when(p > 0, F.overlay(counts, F.char(c + 48), p, F.lit(1))).otherwise(counts)
+
+    # x: p, the character's place in the alphabet (0: not in it), and i, how many characters the window then has had; below 0: it leaves
+    def step(acc, x):
+        p, i = x["p"], x["i"]
+        c, enters = count(acc["counts"], p), i > 0
+        after = F.when(enters, c + 1).otherwise(c - 1)
+        total = acc["s"] + F.when(p > 0, _clog(after) - _clog(c)).otherwise(0.0)
+        other = acc["other"] + F.when(p > 0, 0).when(enters, 1).otherwise(-1)
+        h = F.when((i >= window) & (other == 0), F.log2(F.lit(float(window))) - total / window)
+        return F.struct(put(acc["counts"], p, after).alias("counts"), total.alias("s"), other.alias("other"), F.greatest(acc["best"], h).alias("best"))
+
+    def walked(places):
+        """Each character enters, and leaves before the one enters that is `window` further on."""
+        own = lambda p, i: F.struct(p.alias("p"), i.alias("i"))
+        both = lambda p, i: F.when(i >= window, F.array(own(F.element_at(places, i - window + 1), F.lit(-1)), own(p, i + 1))).otherwise(F.array(own(p, i + 1)))
+        start = F.struct(F.lit("0" * len(ALPHABET)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("other"), F.lit(None).cast("double").alias("best"))
+        return F.aggregate(F.flatten(F.transform(places, both)), start, step, lambda a: a["best"])
 
-    def step(acc, i):
-        x = F.element_at(chars, i)
-        y = F.element_at(chars, F.greatest(i - window, F.lit(1)))
-        seen = F.slice(chars, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)))
-        full = i > window
-        cy = F.when(full, F.size(F.filter(seen, lambda z: z == y))).otherwise(0)
-        cx = F.size(F.filter(seen, lambda z: z == x)) - F.when(full & (x == y), 1).otherwise(0)
-        s1 = acc["s"] + F.when(full, _clog(cy - 1) - _clog(cy)).otherwise(0.0) + _clog(cx + 1) - _clog(cx)
-        h = F.when(i >= window, F.lit(float(window)) * 0.0 + F.log2(F.lit(float(window))) - s1 / window)
-        return F.struct(s1.alias("s"), F.greatest(acc["best"], h).alias("best"))
+    # a lambda's variable holds what is computed once
+    places = F.transform(F.split(s, ""), place)
+    return F.when(F.length(s) >= window, F.element_at(F.transform(F.array(places), walked), 1))
 
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("best"))
-    return F.when(n >= window, F.aggregate(F.sequence(F.lit(1), n), start, step, lambda a: a["best"]))
+
+def without_forms(s: Column, forms: Sequence[str]) -> Column:
+    """s with blanks where a form matches, of the same length. Forms are looked for one after the other."""
+
+    def blanked(form):
+        def one(x):
+            blanks = F.concat(F.transform(F.regexp_extract_all(x, F.lit(form), F.lit(0)), lambda h: F.repeat(F.lit(" "), F.length(h))), F.array(F.lit("")))
+            return F.when(x.rlike(form), F.array_join(F.zip_with(F.split(x, form, -1), blanks, lambda g, b: F.concat(g, b)), "")).otherwise(x)
+
+        return one
+
+    held = F.array(s)
+    for form in forms:
+        held = F.transform(held, blanked(form))
+    return F.element_at(held, 1)
 
 
 def scan_secrets(
@@ -91,8 +134,8 @@ def scan_secrets(
 ) -> DataFrame:
     """One row per document: doc_id, text, spans array<struct<s,k,e,kind,secret>> sorted by start and kind.
 
-    Kinds: assign, access, hex (base patterns, leftmost and non-overlapping per kind), entropy (a candidate
-    with a window above its class's threshold that no allowed form matches and no base span touches).
+    Kinds: assign, access, hex (base patterns, leftmost and non-overlapping per kind), entropy (a candidate with a window above its
+    class's threshold that no allowed form touches; no base span touches the candidate).
     Offsets are code points, end exclusive. Null or empty text: no spans. Rows are independent, so
     repeated rows and null ids come back as they are. Columns other than the two named are not read.
     """
@@ -108,14 +151,15 @@ def scan_secrets(
 
     def secret(c):
         m = c["m"]
-        bits = F.when(m.rlike("^[0-9a-fA-F]+$"), thresholds["hex"]).when(m.rlike("^[A-Za-z0-9]+$"), thresholds["alnum"]).otherwise(thresholds["base64"])
-        allowed = F.lit(False)
-        for form in allow:
-            allowed = allowed | m.rlike(form)
-        clear = F.lit(True)
+        bits = F.lit(float("inf"))
+        for name, form in reversed(CLASSES.items()):
+            bits = F.when(m.rlike(form), thresholds[name]).otherwise(bits)
+        clear = ~m.rlike("^[0-9]+$")
         for kind in KINDS[:3]:
             clear = clear & ~F.exists(F.col(kind), lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-        return clear & ~allowed & (window_entropy(m, window) > bits)
+        # forms are looked for and windows walked in what is left only
+        entropy = F.element_at(F.transform(F.array(without_forms(m, allow)), lambda x: window_entropy(x, window)), 1)
+        return F.when(clear, F.coalesce(entropy > bits, F.lit(False))).otherwise(False)
 
     found = found.withColumn("entropy", F.when(F.size("candidates") > 0, F.filter("candidates", secret)).otherwise(F.col("candidates")))
 
@@ -142,6 +186,12 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
 
 # The same in SQL: runs of the plain alphabets, filtered afterwards where Java's patterns look around.
 _ASSIGN_SQL = ASSIGN.replace("'", "''")
+_HITS = "regexp_extract_all(m, '{f}')"
+_FORMS_SQL = ",\n".join(
+    f"""c{i + 1} AS (SELECT doc_id, s, e, h, CASE WHEN regexp_matches(m, '{f}') THEN array_to_string(list_transform(range(1, len(regexp_split_to_array(m, '{f}')) + 1),
+  lambda i: regexp_split_to_array(m, '{f}')[i] || repeat(' ', coalesce(length({_HITS.format(f=f)}[i]), 0))), '') ELSE m END AS m FROM c{i})"""
+    for i, f in enumerate(ALLOW)
+)
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 f AS (
@@ -160,14 +210,14 @@ u AS (SELECT doc_id, k, kind, unnest(hits) AS h, unnest(gaps[1:len(hits)]) AS ga
 p AS (SELECT *, (sum(length(gap) + length(h)) OVER (PARTITION BY doc_id, k ORDER BY i))::BIGINT AS e FROM u),
 s AS (SELECT doc_id, k, kind, h, e - length(h) AS s, e FROM p WHERE k > 0 OR length(t) >= 6),
 base AS (SELECT * FROM s WHERE k < 3),
+c0 AS (SELECT doc_id, s, e, h, h AS m FROM s WHERE k = 3 AND NOT regexp_matches(h, '^[0-9]+$') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.s < s.e AND s.s < b.e)),
+{_FORMS_SQL},
 w AS (
-  SELECT c.doc_id, c.s, c.e, c.h, max(list_aggregate(string_split(substr(c.h, n::INT, 20), ''), 'entropy')) AS bits
-  FROM (SELECT *, unnest(range(1, length(h) - 18)) AS n FROM s WHERE k = 3 AND regexp_matches(h, '[0-9]') AND regexp_matches(h, '[A-Za-z]')) c GROUP BY ALL),
+  SELECT c.doc_id, c.s, c.e, c.h, max(list_aggregate(string_split(substr(c.m, n::INT, 20), ''), 'entropy')) AS bits
+  FROM (SELECT *, unnest(range(1, length(m) - 18)) AS n FROM c{len(ALLOW)}) c WHERE NOT contains(substr(c.m, n::INT, 20), ' ') GROUP BY ALL),
 added AS (
   SELECT w.doc_id, 3 AS k, 'entropy' AS kind, h, s, e FROM w
-  WHERE bits > CASE WHEN regexp_matches(h, '^[0-9a-fA-F]+$') THEN {THRESHOLDS["hex"]} WHEN regexp_matches(h, '^[A-Za-z0-9]+$') THEN {THRESHOLDS["alnum"]} ELSE {THRESHOLDS["base64"]} END
-    AND NOT ({" OR ".join(f"regexp_matches(h, '{a}')" for a in ALLOW)})
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
+  WHERE bits > CASE {" ".join(f"WHEN regexp_matches(h, '{CLASSES[c]}') THEN {THRESHOLDS[c]}" for c in CLASSES)} END),
 spans AS (SELECT doc_id, k, kind, s, e FROM base UNION ALL SELECT doc_id, k, kind, s, e FROM added),
 j AS (
   SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,

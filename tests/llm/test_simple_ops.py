@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -108,6 +109,42 @@ def test_secrets_entropy(spark):
     assert kinds == {0: ["entropy"], 1: [], 2: [], 3: [], 4: []}
 
 
+def _entropy_spans(text):
+    """Candidates by the rules, in plain Python."""
+    out = []
+    base = _brute_spans(text)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+        s, masked = m[0], m[0]
+        if re.fullmatch("[0-9]+", s) or any(a < m.end() and m.start() < b for _, a, b in base):
+            continue
+        for form in secrets.ALLOW:
+            masked = re.sub(form, lambda x: " " * len(x[0]), masked)
+        bits = next(secrets.THRESHOLDS[c] for c, form in secrets.CLASSES.items() if re.search(form, s))
+        windows = [masked[i : i + 20] for i in range(len(s) - 19) if " " not in masked[i : i + 20]]
+        if any(_entropy(w) > bits for w in windows):
+            out.append(("entropy", m.start(), m.end()))
+    return out
+
+
+def test_secrets_entropy_spans(spark):
+    rng = random.Random(4)
+    pools = ["abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", secrets.ALPHABET, "0123456789", "xxxxxX0000"]
+    forms = ["example", "0000000", "1234567", "xxxxx", "", "", "", "placeholder", "abc/def-1"]
+    texts = [" ".join("".join(rng.choice(pools[k]) for _ in range(rng.randrange(10, 30))) + rng.choice(forms) + "".join(rng.choice(pools[k]) for _ in range(rng.randrange(0, 30))) for k in (rng.randrange(5) for _ in range(6))) for _ in range(120)]
+    texts += ["QwErTyUiOpAsDfGhJkLzXcVbNmqW", "kP3vN8sLw2Qz7Xb5Ym4Tr9example", "aZ3kP9qLw2Xs8VbN1mRt7YcD4fG6hJ0" + "0000000"]
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.spans if x.kind == "entropy"] for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: _entropy_spans(t) for i, t in enumerate(texts)}
+    assert sum(map(len, got.values())) > 100 and got[121] and got[122]  # a key beside a form stays one
+
+
+def test_secrets_many_matches_in_one_text(spark):
+    text = " ".join(f"token={i:06d}" for i in range(20_000))
+    start = time.time()
+    r = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("spans").alias("n"), F.element_at("spans", -1).alias("x")).collect()[0]
+    assert (r.n, r.x.s, r.x.e) == (20_000, 19_999 * 13, 19_999 * 13 + 12)
+    assert time.time() - start < 60
+
+
 def test_secrets_query_digest(spark):
     for r in secrets.op10_secrets(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").limit(100).collect():
         base = ",".join(f"{k}:{s}:{e}" for k, s, e in _brute_spans(r.text))
