@@ -472,11 +472,21 @@ def baum_welch(
 def mixture(values: Weighted, kinds: list[Distribution], parts: np.ndarray, most: int, tolerance: float = 1e-20, scales_weigh: bool = False) -> tuple[list[Distribution], np.ndarray]:
     """EM of a mixture from a first split (part of each distinct value, shares by weight); runs on the aggregated table.
 
+    Fits that differences refine (refined) are so here, at start-up; training's own steps fit the samples.
+
     scales_weigh: the first fit takes scales for weights, as the training of one sample does; later ones take them for scales.
     """
     n = len(kinds)
     share = np.stack([(parts == i).astype(float) for i in range(n)], axis=1) if parts.ndim == 1 else parts
-    fit = lambda w: [d.fitted(Weighted(values.k, values.s, np.maximum(values.w * w[:, i], 1e-12), values.a, values.b)) for i, d in enumerate(kinds)]
+
+    def fit(w: np.ndarray) -> list[Distribution]:
+        out = []
+        for i, d in enumerate(kinds):
+            part = Weighted(values.k, values.s, np.maximum(values.w * w[:, i], 1e-12), values.a, values.b)
+            one = d.fitted(part)
+            out.append(one.refined(part) if hasattr(one, "refined") else one)
+        return out
+
     mix, last = np.full(n, 1 / n), None
     if scales_weigh:
         dists = [d.fitted(Weighted(values.k, np.ones_like(values.s), np.maximum(values.w * values.s * share[:, i], 1e-12), values.a, values.b)) for i, d in enumerate(kinds)]
