@@ -827,6 +827,15 @@ def depth(spark, d):
     return alignments.depth(sam_lineitem(spark, d), 50)
 
 
+@query(f"""WITH {SAM}, {OPS}, c AS (SELECT rname, p, mapq % 3 AS who FROM cols WHERE mapq >= 5 AND flag & 1796 = 0 AND ascii(substr(qual, z + 1, 1)) - 33 >= 14)
+SELECT rname, p AS pos, count(*) FILTER (who = 0) AS a, count(*) FILTER (who = 1) AS b FROM c WHERE p % 4000 < 3000 GROUP BY ALL HAVING count(*) FILTER (who < 2) > 0""")
+def depth_samples(spark, d):
+    """Depth of two samples with a least base quality, in given regions."""
+    sam = sam_lineitem(spark, d).withColumn("sample", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.col("mapq") % 3 + 1))
+    spans = spark.range(0, 40).select(F.explode(F.array(*[F.lit(x + y) for x in "ANR" for y in "FO"])).alias("chrom"), (F.col("id") * 4000).alias("start"), (F.col("id") * 4000 + 3000).alias("end"))
+    return alignments.depth(sam, 5, 14, ["a", "b"], regions=spans)
+
+
 @query(f"""WITH {SAM}, {OPS}, b AS (SELECT rname, p, substr(seq, z + 1, 1) AS base FROM cols WHERE flag & 4 = 0)
 SELECT rname, p AS pos, count(*) AS depth, string_agg(base, '' ORDER BY base) AS bases FROM b GROUP BY ALL""")
 def pileup(spark, d):

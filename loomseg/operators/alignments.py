@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cigar_ops, has_flag, reference_length
@@ -70,18 +70,47 @@ def remove_duplicates(sam: DataFrame, paired: bool = False) -> DataFrame:
     return best.filter("_r = 1").drop("_q", "_r").unionByName(sam.filter(has_flag(F.col("flag"), UNMAPPED)))
 
 
-def depth(sam: DataFrame, mapq: int = 0) -> DataFrame:
-    """(rname, pos, depth): how many alignments cover each position, from changes at the ends of covered stretches; no position is made per read."""
+#: Positions of a cell: windows run inside cells, which stretches are cut at.
+CELL = 1 << 16
+
+
+def covered(cigar: Column, pos: Column) -> Column:
+    """array<struct<s, n, y>>: the stretches that an alignment covers, and where each begins in its read (from 0); deletions and skips part them."""
+
+    def step(acc, o):
+        lies, moves, reads = o["op"].isin("M", "=", "X"), o["op"].isin("M", "=", "X", "D", "N"), o["op"].isin("M", "=", "X", "I", "S")
+        one = F.struct(acc["at"].alias("s"), o["n"].alias("n"), acc["y"].alias("y"))
+        return F.struct((acc["at"] + F.when(moves, o["n"]).otherwise(0)).alias("at"), (acc["y"] + F.when(reads, o["n"]).otherwise(0)).alias("y"), F.when(lies, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(pos.cast("long").alias("at"), F.lit(0).alias("y"), F.array().cast("array<struct<s:bigint,n:int,y:int>>").alias("out"))
+    return F.aggregate(cigar_ops(cigar), start, step, lambda a: a["out"])
+
+
+def depth(sam: DataFrame, mapq: int = 0, least_quality: int = 0, samples: list[str] | None = None, sample: str = "sample", regions: DataFrame | None = None) -> DataFrame:
+    """(rname, pos, depth): how many alignments cover each position, from changes at the ends of covered stretches; no position is made per read.
+
+    samples: values of a column that tells samples apart, each of which has a column of its own in place of depth; positions that any covers have a row, others' values don't count. least_quality:
+    bases below it don't cover their position. regions (chrom, start, end): only positions in one. Stretches are cut at cells' borders, and each cell is summed by itself.
+    """
     kept = sam.filter((F.col("mapq") >= mapq) & ~has_flag(F.col("flag"), UNMAPPED | SECONDARY | FAILED | DUPLICATE))
-    covers = F.col("op").isin("M", "=", "X")
-    # each stretch takes from what moves before it; a cigar is short
-    laid = kept.select("rname", F.col("pos").cast("long").alias("at"), cigar_ops(F.col("cigar")).alias("ops")).select("rname", "at", "ops", F.posexplode("ops").alias("i", "x")).select("rname", "at", "ops", "i", "x.*").filter(covers)
-    ahead = F.expr("aggregate(slice(ops, 1, i), 0L, (a, y) -> a + if(y.op IN ('M', '=', 'X', 'D', 'N'), y.n, 0))")
-    spans = laid.select("rname", (F.col("at") + ahead).alias("s"), F.col("n"))
-    edges = spans.select("rname", F.explode(F.array(F.struct(F.col("s").alias("p"), F.lit(1).alias("d")), F.struct((F.col("s") + F.col("n")).alias("p"), F.lit(-1).alias("d")))).alias("x"))
-    w = Window.partitionBy("rname").orderBy("p")
-    deep = edges.groupBy("rname", F.col("x.p").alias("p")).agg(F.sum("x.d").alias("d")).withColumn("depth", F.sum("d").over(w)).withColumn("q", F.lead("p").over(w)).filter("depth > 0")
-    return deep.select("rname", F.explode(F.sequence("p", F.col("q") - 1)).alias("pos"), "depth")
+    who = [F.col(sample).cast("string").alias("who")] if samples is not None else []
+    laid = kept.select("rname", *who, "qual", F.explode(covered(F.col("cigar"), F.col("pos"))).alias("x")).select("rname", *[c for c in ("who",) if who], "qual", "x.*")
+    if least_quality > 0:
+        codes = F.transform(F.split(F.substring("qual", F.col("y") + 1, F.col("n")), ""), lambda c: F.ascii(c) - 33)
+        laid = laid.select("*", F.posexplode(codes).alias("k", "c")).filter(F.col("c") >= least_quality).withColumns({"s": F.col("s") + F.col("k"), "n": F.lit(1)})
+    cells = laid.withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / CELL), F.floor((F.col("s") + F.col("n") - 1) / CELL))))
+    first, last = F.greatest("s", F.col("cell") * CELL), F.least(F.col("s") + F.col("n"), (F.col("cell") + 1) * CELL)
+    ends = F.explode(F.array(F.struct(first.alias("p"), F.lit(1).alias("d")), F.struct(last.alias("p"), F.lit(-1).alias("d")))).alias("x")
+    edges = cells.select("rname", "cell", *[c for c in ("who",) if who], ends)
+    names = ["depth"] if samples is None else list(samples)
+    sums = [F.sum("x.d" if samples is None else F.when(F.col("who") == n, F.col("x.d")).otherwise(0)).alias(f"d{i}") for i, n in enumerate(names)]
+    w = Window.partitionBy("rname", "cell").orderBy("p")
+    swept = edges.groupBy("rname", "cell", F.col("x.p").alias("p")).agg(*sums).withColumns({f"n{i}": F.sum(f"d{i}").over(w) for i in range(len(names))} | {"q": F.lead("p").over(w)})
+    deep = swept.filter(" OR ".join(f"n{i} > 0" for i in range(len(names))))
+    out = deep.select("rname", F.explode(F.sequence("p", F.col("q") - 1)).alias("pos"), *[F.col(f"n{i}").alias(n) for i, n in enumerate(names)])
+    if regions is None:
+        return out
+    return semi(out.withColumns({"chrom": F.col("rname"), "start": F.col("pos"), "end": F.col("pos") + 1}), regions).drop("chrom", "start", "end")
 
 
 def pileup(sam: DataFrame) -> DataFrame:
