@@ -7,8 +7,8 @@ shards of bounded size. A shard is broadcast to the tasks that stream its stretc
 states know the smallest document of their strings: matching statistics then tell of each window whether a smaller document
 has it. What travels is the shard's text, as its automaton is ten times as large. Hashes only say what meets: equality is decided by the automata, word by word.
 
-Frequent lines in many surroundings would put very many different stretches under one anchor. The stretches of such an anchor are cut into
-single windows, which meet under their own hash, so a shard stays small. A shard with very many stretches to stream is broadcast to several tasks.
+Frequent lines in many surroundings would put very many different stretches under one anchor. The stretches of such an anchor are cut
+under anchors of longer grams, and where that does not do into single windows, which meet under their own hash, so a shard stays small. A shard with very many stretches to stream is broadcast to several tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +27,9 @@ from .shared import bounded_batches, cut_text, release, stored, trim
 GRAM = 16
 #: Words that are winnowed at once, and windows of a stretch at most.
 SEGMENT, RUN = 1 << 17, 256
-#: Words of a shard's reference, about; an anchor with more is cut into windows.
-SHARD_WORDS = 40_000
+#: Words of a shard's reference, about; what stands under an anchor with more than FULL is cut finer, under grams of these shares of a window.
+SHARD_WORDS, FULL = 40_000, 100_000
+FINER = (0.8, 0.92, 1.0)
 #: At most so many anchors or shards count as hot: what holds a larger share of the rows than one in HOT.
 HOT = 4096
 SALTS = 64
@@ -38,20 +38,20 @@ _NONE = np.iinfo(np.int64).max
 _SPANS = "doc_id long, th long, a long, b long"
 
 
-def anchors(h: np.ndarray, length: int) -> np.ndarray:
+def anchors(h: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Of each window of `length` words (given by hash), the smallest hash of a gram in it."""
     n = len(h) - length + 1
     up, down = words.powers(SEGMENT + 2 * length + 2, _BASE)
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * up[: len(h)], out=total[1:])
-    g = words.mixed((total[GRAM:] - total[:-GRAM]) * down[: len(h) - GRAM + 1])
-    span, have = length - GRAM + 1, 1
+    g = words.mixed((total[gram:] - total[:-gram]) * down[: len(h) - gram + 1])
+    span, have = length - gram + 1, 1
     while 2 * have <= span:
         g, have = np.minimum(g[:-have], g[have:]), 2 * have
     return np.minimum(g[:n], g[span - have : span - have + n])
 
 
-def runs(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def runs(column: pa.Array, length: int, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, anchor, first window, windows, first byte, byte after the last) of each run of windows with one anchor, for a column of texts.
 
     Windows are counted within their text. Long texts come in segments that overlap by length - 1 words.
@@ -70,16 +70,16 @@ def runs(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray
         held = [np.concatenate(x) for x in zip(held, (start, end, h), strict=True)]
         while len(held[0]) >= length and (len(held[0]) > SEGMENT or b == len(data)):
             part = [x[: SEGMENT + length - 1] for x in held]
-            yield from _runs(*part, offsets, first_word, before, length)
+            yield from _runs(*part, offsets, first_word, before, length, gram)
             n = len(part[0]) - length + 1
             held, before = [x[n:] for x in held], before + n
     del data
 
 
-def _runs(start, end, h, offsets, first_word, before, length):
+def _runs(start, end, h, offsets, first_word, before, length, gram):
     n = len(start) - length + 1
     doc = np.searchsorted(offsets, start, "right") - 1
-    key, d = anchors(h, length).view(np.int64), doc[:n]
+    key, d = anchors(h, length, gram).view(np.int64), doc[:n]
     whole = d == doc[length - 1 :]
     place = np.arange(n) + before - first_word[d]
     cut = np.ones(n + 1, bool)
@@ -92,18 +92,21 @@ def _runs(start, end, h, offsets, first_word, before, length):
         yield d[at], key[at], place[at], size, start[at], end[at + size + length - 2]
 
 
+_TEXT = ["doc_id", "th", "tc"]
+
+
 def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, anchor: the different anchors of each document."""
+    """doc_id, th, tc, anchor: the different anchors of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            own = [batch.column(c).to_numpy() for c in _TEXT]
             for doc, key, *_ in runs(batch.column("text"), length):
-                pairs = np.unique(np.stack([ids[doc], key], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["doc_id", "anchor"])
+                pairs = np.unique(np.stack([doc, key], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[pairs[:, 0]]) for c in own], pa.array(pairs[:, 1])], [*_TEXT, "anchor"])
         trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, anchor long")
+    return docs.select(*_TEXT, "text").mapInArrow(run, "doc_id long, th long, tc long, anchor long")
 
 
 def _shared(found: DataFrame) -> DataFrame:
@@ -149,26 +152,30 @@ def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[:-1], edge[1:]
 
 
-def single_windows(units: DataFrame, length: int) -> DataFrame:
-    """Each stretch's windows, keyed by their own hash."""
+def finer(units: DataFrame, length: int, gram: int) -> DataFrame:
+    """Each stretch as stretches under anchors of longer grams; of `length` words: each window under its own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                w = r["body"].split(b" ")
-                body = [b" ".join(w[i : i + length]) for i in range(len(w) - length + 1)]
-                n = len(body)
-                keys = np.array([xxhash.xxh3_64_intdigest(x) for x in body], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([r["doc_id"]] * n), pa.array([r["th"]] * n), pa.array(np.arange(n) + r["first"]), pa.array(body, pa.binary())], _UNIT)
+            bodies = batch.column("body")
+            raw = memoryview(words.text_bytes(bodies)[0])
+            ids, ths, firsts = (batch.column(c).to_numpy() for c in ("doc_id", "th", "first"))
+            for of, key, place, _, a, b in runs(bodies, length, gram):
+                for lo in range(0, len(of), 2048):
+                    i = slice(lo, lo + 2048)
+                    body = [bytes(raw[x:y]) for x, y in zip(a[i].tolist(), b[i].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(ids[of[i]]), pa.array(ths[of[i]]), pa.array(firsts[of[i]] + place[i]), pa.array(body, pa.binary())], _UNIT)
+            del raw, batch
+        trim()
 
     return units.select(*_UNIT).mapInArrow(run, _UNITS)
 
 
-def _split_full(units: DataFrame, full: DataFrame, length: int) -> DataFrame:
-    """units, those under a full key as single windows. Full keys are few, so they are laid out under every salt."""
+def _split_full(units: DataFrame, full: DataFrame, length: int, gram: int) -> DataFrame:
+    """units, those under a full key under finer ones. Full keys are few, so they are laid out under every salt."""
     salted = units.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)).cast("int"))
     spread = full.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return salted.join(spread, ["key", "salt"], "left_anti").select(*_UNIT).union(single_windows(salted.join(spread, ["key", "salt"], "left_semi"), length))
+    return salted.join(spread, ["key", "salt"], "left_anti").select(*_UNIT).union(finer(salted.join(spread, ["key", "salt"], "left_semi"), length, gram))
 
 
 class Automaton:
@@ -261,7 +268,8 @@ def matched(units: DataFrame, reference: DataFrame, length: int) -> DataFrame:
     parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     none = F.lit(None).cast("long")
     sent = reference.join(F.broadcast(hot), "shard", "left").select("shard", parts.alias("part"), F.lit(0).alias("kind"), F.col("lo").alias("doc_id"), none.alias("th"), none.alias("first"), "body")
-    dealt = sent.union(stream).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "body")
+    # by range: shards are few for so many tasks, and hashes would put several into one
+    dealt = sent.union(stream).repartitionByRange("shard", "part").sortWithinPartitions("shard", "part", "kind", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, automaton, last, smallest = None, [], None, None, None
@@ -289,25 +297,37 @@ def matched(units: DataFrame, reference: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, th, a, b for docs (doc_id, text, th): words a to b, end exclusive, are covered by windows that smaller documents have too."""
+    """doc_id, th, a, b for docs (doc_id, text, th, tc): words a to b, end exclusive, are covered by windows that smaller documents have too; b may lie beyond the end.
+
+    Of the documents with one text, as two 64-bit hashes tell, the smallest stands for all: the others lose every window to it.
+    """
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     found = stored(_anchored(known, length), "winnowed")
-    wanted = _shared(found).groupBy("doc_id").agg(F.collect_list("anchor").alias("keep"))
+    owners = found.select(*_TEXT).distinct()
+    firsts = stored(owners.groupBy("th", "tc").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    # rows are met on the id too, so copies of one text spread over all tasks
+    copies = stored(owners.join(firsts, _TEXT, "left_anti").select("doc_id", "th", F.lit(0).cast("long").alias("a"), F.lit(1 << 62).alias("b")), "copies")
+    own = stored(found.join(firsts, _TEXT, "left_semi").select("doc_id", "anchor"), "anchored")
+    release(found, firsts)
+    wanted = _shared(own).groupBy("doc_id").agg(F.collect_list("anchor").alias("keep"))
     units = stored(stretches(known, wanted, length), "units")
-    release(found)
+    release(own)
     n_words = F.size(F.split(F.col("body").cast("string"), " "))
-    per = lambda u: u.groupBy("key", "body").agg(F.min("doc_id").alias("lo"))
-    reference = stored(per(units).withColumn("n", n_words), "reference")
-    full = stored(reference.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > SHARD_WORDS).select("key"), "full")
-    if not full.isEmpty():
-        whole, cut, old = reference, stored(_split_full(units, full, length), "cut"), units
-        units, reference = cut, stored(per(cut).withColumn("n", n_words), "reference")
-        release(whole, old)
+    per = lambda u: stored(u.groupBy("key", "body").agg(F.min("doc_id").alias("lo")).withColumn("n", n_words), "reference")
+    reference = per(units)
+    for share in FINER:
+        gram = round(share * length)
+        full = stored(reference.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > FULL).select("key"), "full")
+        if not full.isEmpty():
+            cut = stored(_split_full(units, full, length, gram), "cut")
+            release(units, reference)
+            units, reference = cut, per(cut)
+        release(full)
     shards = max(1, -(-(reference.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS))
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
     spans = stored(matched(units.select(shard, "doc_id", "th", "first", "body"), reference.select(shard, "body", "lo"), length), "spans")
-    release(units, reference, full)
-    return spans
+    release(units, reference)
+    return spans.union(copies)
 
 
 def remove_known(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,7 +341,7 @@ def remove_known(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     bounded_batches(spark)
     if length < 2 * GRAM:
         raise ValueError(f"length is at least {2 * GRAM}")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns({"th": F.xxhash64("text"), "tc": F.xxhash64(F.lit(1), "text")})
     found = repeated_spans(base, length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,6 +355,7 @@ def remove_known(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                     else:
                         gone.append([a, b])
                 n, sha, kept = _kept((text or "").encode(), gone)
+                gone = [[a, min(b, n)] for a, b in gone]
                 spans = pa.array([[{"s": a, "e": b} for a, b in gone]], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
                 values = [batch.column("doc_id").slice(i, 1), pa.array([n]), pa.array([sum(b - a for a, b in gone)]), pa.array([len(gone)]), spans, pa.array([kept], pa.string()), pa.array([sha])]
                 yield pa.RecordBatch.from_arrays(values, ["doc_id", "n_words", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])

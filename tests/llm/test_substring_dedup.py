@@ -50,6 +50,7 @@ def _corpus(seed, n=120):
 @pytest.mark.parametrize("length,shard,segment,run", [(50, 40_000, 1 << 17, 256), (50, 300, 64, 16), (32, 2000, 1 << 17, 256)])
 def test_equals_brute_force(spark, monkeypatch, length, shard, segment, run):
     monkeypatch.setattr(sd, "SHARD_WORDS", shard)
+    monkeypatch.setattr(sd, "FULL", shard)
     monkeypatch.setattr(sd, "SEGMENT", segment)
     monkeypatch.setattr(sd, "RUN", run)
     docs = _corpus(length + shard)
