@@ -236,13 +236,19 @@ def _near(fps: DataFrame, index: Index, apart: bool) -> DataFrame:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a probe meets (id, near) as a forest (a, b), where it lies."""
+    """What a task's probes meet (id, near) as a forest (a, b). Forests of blocks are joined; what a join doesn't make smaller leaves the task."""
+    held = [np.zeros(0, np.int64)] * 2
     for b in batches:
         own, lists = b.column("id").to_numpy(), b.column("near")
         many = lists.value_lengths().to_numpy(zero_copy_only=False)
         x, y = np.repeat(own, many), lists.flatten().to_numpy(zero_copy_only=False)
         for i in range(0, len(x), BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in forest(x[i : i + BLOCK], y[i : i + BLOCK])], ["a", "b"])
+            held = forest(*(np.concatenate(v) for v in zip(held, (x[i : i + BLOCK], y[i : i + BLOCK]), strict=True)))
+            if len(held[0]) > BLOCK:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in held], ["a", "b"])
+                held = [np.zeros(0, np.int64)] * 2
+    if len(held[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in held], ["a", "b"])
 
 
 def near_links(fps: DataFrame, index: Index = Index()) -> DataFrame:
