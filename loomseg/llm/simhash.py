@@ -26,8 +26,10 @@ from .shared import bounded_batches, stored, trim, utf8_column, worker_cache
 
 #: Members of a table's entry that stand in one row; a fuller entry is dealt to several rows.
 ENTRY = 256
-#: Rows of an entry that a probe meets at once; of a longer one, each part is a join key of its own.
+#: Such rows of an entry that stand in one part; of a longer one, each part is met in a task of its own.
 PART = 64
+#: Pairs that are compared at once, rows of a key from which on connected ones are told apart first, and rows of a key that wait for the rest of it.
+PAIRS, LARGE, WAITING = 1 << 16, 1 << 11, 1 << 16
 #: Fingerprints from which on op1's segments are longer: an entry of 21 bits then holds 16 that are alike in nothing else.
 MANY = 1 << 25
 #: Shingles that are hashed at once.
@@ -206,54 +208,133 @@ def _words(index: Index) -> list:
     return [F.element_at("fp", w + 1).alias(f"f{w}") for w in range(index.compared)]
 
 
-def _near(fps: DataFrame, index: Index, apart: bool) -> DataFrame:
-    """(id, near array<long>): each probe with what it meets within the radius; apart: of other components (c) only.
+def _close(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows x and y are within the radius, and of different components where they have such."""
+    d = np.zeros(len(x), np.uint16)
+    for name, f in rows.items():
+        if name[0] == "f":
+            d += np.bitwise_count(f[x] ^ f[y])
+    close = d <= radius
+    return close & (rows["c"][x] != rows["c"][y]) if "c" in rows else close
+
+
+def _joined_by_key(rows: dict[str, np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (ids) that connect what is close under each key: members with each other and with those that visit them. A key's rows follow each other, members first."""
+    key, part, own = rows["key"], rows["part"], rows["own"]
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+    sizes = np.diff(np.append(starts, len(key)))
+    use = sizes > 1
+    if "c" in rows:
+        use &= np.minimum.reduceat(rows["c"], starts) < np.maximum.reduceat(rows["c"], starts)
+    large = use & (sizes > LARGE)
+    for s, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
+        for x, y in _joined_in_large({k: v[s : s + n] for k, v in rows.items()}, radius):
+            yield rows["id"][s + x], rows["id"][s + y]
+    small = np.repeat(use & ~large, sizes) & own
+    x = np.flatnonzero(small)
+    many = np.repeat(starts + sizes, sizes)[x] - x - 1  # a member meets all rows of its key that follow it
+    work = np.cumsum(many)
+    i = 0
+    while i < len(x):
+        j = max(i + 1, int(np.searchsorted(work, (work[i - 1] if i else 0) + PAIRS, "right")))
+        m = many[i:j]
+        p = np.repeat(x[i:j], m)
+        q = np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m) + p + 1
+        close = _close(rows, p, q, radius)
+        yield rows["id"][p[close]], rows["id"][q[close]]
+        i = j
+
+
+def _joined_in_large(rows: dict[str, np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (places) that connect what is close under one key of many rows. Members take their turn by blocks; those already connected aren't compared again."""
+    n = len(rows["id"])
+    label, members = np.arange(n), np.flatnonzero(rows["own"])
+    step = max(1, PAIRS // n)
+    for i in range(0, len(members), step):
+        block = members[i : i + step]
+        x, y = np.nonzero(label[block][:, None] != label)
+        x = block[x]
+        close = _close(rows, x, y, radius)
+        if close.any():
+            a, b = forest(x[close], y[close])
+            yield a, b
+            nodes, least = forest(label[a], label[b])
+            up = np.arange(n)
+            up[nodes] = least
+            label = up[label]
+
+
+def _contracted(links: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """A task's links as a forest (a, b). Forests of blocks are joined; what a join doesn't make smaller leaves the task."""
+    held, waiting, count = [np.zeros(0, np.int64)] * 2, [], 0
+
+    def joined():
+        return list(forest(*(np.concatenate(v) for v in zip(held, *waiting, strict=True))))
+
+    for x, y in links:
+        if len(x):
+            waiting.append((x, y))
+            count += len(x)
+        if count >= BLOCK or len(waiting) >= 1000:
+            held, waiting, count = joined(), [], 0
+            if len(held[0]) > BLOCK:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in held], ["a", "b"])
+                held = [np.zeros(0, np.int64)] * 2
+    held = joined()
+    if len(held[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in held], ["a", "b"])
+    trim()
+
+
+def _meet(radius: int):
+    """Rows of whole keys, in order of key, part and members first, as links (a, b)."""
 
-    Of the two ends of a pair, the one whose lowest flipped bit is 0 probes, so a pair is met once a segment. A probe
-    of a table's fuller entry meets a few rows, each verified by one expression. An entry of over PART rows is met part by part,
-    by as many copies of the probe, in tasks of their own. No entry is capped.
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows = None
+        for b in batches:
+            new = {k: b.column(k).to_numpy(zero_copy_only=False) for k in b.schema.names}
+            new |= {k: v.view("<u8") for k, v in new.items() if k[0] == "f"}
+            rows = new if rows is None else {k: np.concatenate([v, new[k]]) for k, v in rows.items()}
+            n = len(rows["key"])
+            last = n and int(np.argmax((rows["key"] == rows["key"][-1]) & (rows["part"] == rows["part"][-1])))  # the last key may go on
+            if last:
+                yield from _joined_by_key({k: v[:last] for k, v in rows.items()}, radius)
+                rows = {k: v[last:] for k, v in rows.items()}
+            if n - last > WAITING and not rows["own"][-1]:  # its members are all here; they wait for the other visitors
+                yield from _joined_by_key(rows, radius)
+                rows = {k: v[rows["own"]] for k, v in rows.items()}
+        if rows is not None and len(rows["key"]):
+            yield from _joined_by_key(rows, radius)
+
+    return lambda batches: _contracted(found(batches))
+
+
+def near_links(fps: DataFrame, index: Index = Index(), full: DataFrame | None = None) -> DataFrame:
+    """(a, b) by id: links that connect whatever fingerprints (id long, fp array<long>; distinct) the index connects; of other components only where fps has them (c long).
+
+    Of the two ends of a pair, the one whose lowest flipped bit is 0 visits the other, so a pair is met once a segment. Each member and visitor of
+    a key is a row once, whatever it meets; tasks compare the rows of a key where they lie. A key of over ENTRY * PART members is cut into parts,
+    each met by copies of the key's other rows, in tasks of their own. No key is capped. full: _full(fps, index), if at hand.
     """
 
-    def probes(k):
+    def visits(k):
         bits, value = index.segments[k][2], _value(index, k)
         flips = [sum(1 << x for x in c) for r in range(1, index.ball + 1) for c in combinations(range(bits), r)]
-        own = F.array(F.struct(_marked(k, value).alias("key"), F.lit(True).alias("same")))
+        own = F.array(F.struct(_marked(k, value).alias("key"), F.lit(True).alias("own")))
         if not flips:
             return own
         masks = F.filter(F.array(*[F.lit(m).cast("long") for m in flips]), lambda m: value.bitwiseAND(m).bitwiseAND(-m) == 0)
-        return F.concat(own, F.transform(masks, lambda m: F.struct(_marked(k, value.bitwiseXOR(m)).alias("key"), F.lit(False).alias("same"))))
-
-    probing = fps.select("id", "c", *_words(index), F.explode(F.concat(*[probes(k) for k in range(len(index.segments))])).alias("p"))
-    probing = probing.select("id", "c", *[f"f{w}" for w in range(index.compared)], "p.*")
-    distance = " + ".join(f"bit_count(x.f{w} ^ f{w})" for w in range(index.compared))
-    other = "x.c <> c AND " if apart else ""
-    full = _full(fps, index)
-    wide = full.filter(f"rows > {PART}").select(F.col("fk").alias("wk"), F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
-    probing = probing.join(wide, F.col("key") == F.col("wk"), "left")
-    probing = probing.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("wk", "parts")
-    near = probing.join(_entries(fps, index, full).withColumn("part", F.floor(F.col("row") / PART).cast("int")), ["key", "part"])
-    return near.select("id", F.expr(f"transform(filter(held, x -> {other}{distance} <= {index.radius} AND (NOT same OR x.id > id)), x -> x.id)").alias("near")).filter(F.size("near") > 0)
-
-
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a task's probes meet (id, near) as a forest (a, b). Forests of blocks are joined; what a join doesn't make smaller leaves the task."""
-    held = [np.zeros(0, np.int64)] * 2
-    for b in batches:
-        own, lists = b.column("id").to_numpy(), b.column("near")
-        many = lists.value_lengths().to_numpy(zero_copy_only=False)
-        x, y = np.repeat(own, many), lists.flatten().to_numpy(zero_copy_only=False)
-        for i in range(0, len(x), BLOCK):
-            held = forest(*(np.concatenate(v) for v in zip(held, (x[i : i + BLOCK], y[i : i + BLOCK]), strict=True)))
-            if len(held[0]) > BLOCK:
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in held], ["a", "b"])
-                held = [np.zeros(0, np.int64)] * 2
-    if len(held[0]):
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in held], ["a", "b"])
-
+        return F.concat(own, F.transform(masks, lambda m: F.struct(_marked(k, value.bitwiseXOR(m)).alias("key"), F.lit(False).alias("own"))))
 
-def near_links(fps: DataFrame, index: Index = Index()) -> DataFrame:
-    """(a, b) by id: links that connect whatever fingerprints (id long, fp array<long>; distinct) the index connects."""
-    return _near(fps.withColumn("c", F.col("id")), index, apart=False).mapInArrow(_contract, "a long, b long")
+    names = ["id", *(["c"] if "c" in fps.columns else []), *[f"f{w}" for w in range(index.compared)]]
+    rows = fps.select(*names[: -index.compared], *_words(index), F.explode(F.concat(*[visits(k) for k in range(len(index.segments))])).alias("p")).select(*names, "p.*")
+    wide = (_full(fps, index) if full is None else full).filter(f"rows > {PART}").select(F.col("fk").alias("wk"), F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
+    rows = rows.join(wide, F.col("key") == F.col("wk"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # a member is at home in one part and visits those after it
+    rows = rows.withColumn("home", F.when(F.col("own"), F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.coalesce("home", F.lit(0)), F.col("parts") - 1)))
+    rows = rows.select(*names, "key", "part", (F.col("own") & (F.col("part") == F.col("home"))).alias("own"))
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", F.desc("own")).mapInArrow(_meet(index.radius), "a long, b long")
 
 
 def _nearest(ids: np.ndarray, fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +359,7 @@ def _nearest(ids: np.ndarray, fps: np.ndarray, sizes: np.ndarray, radius: int) -
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def first_pairs(fps: DataFrame, index: Index) -> DataFrame:
+def first_pairs(fps: DataFrame, index: Index, full: DataFrame) -> DataFrame:
     """(a, b): at most two candidates a member and entry. They join most of a large group, so that its other pairs need no comparison."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +380,7 @@ def first_pairs(fps: DataFrame, index: Index) -> DataFrame:
         trim()
 
     nodes = fps.withColumn("c", F.col("id"))
-    held = _entries(nodes, index, _full(nodes, index)).filter(F.size("held") > 1).select("held")
+    held = _entries(nodes, index, full).filter(F.size("held") > 1).select("held")
     return held.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -446,9 +527,11 @@ def _similar_groups(docs, index, width, seed, id_col, text_col, least) -> tuple[
         comps = stored(connected_components(links), "components")
         return stored(nodes.join(comps, nodes["id"] == comps["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("c")), "placed")
 
-    links = stored(similar(rows, nodes, stored(first_pairs(nodes, index), "pairs"), least, width, seed), "links")
+    full = _full(nodes, index)
+    links = stored(similar(rows, nodes, stored(first_pairs(nodes, index, full), "pairs"), least, width, seed), "links")
     now = placed(links)
-    clusters = stored(connected_components(_near(now, index, apart=True).mapInArrow(_contract, "a long, b long")), "clusters")
+    # stored first: a task then has one Python worker, not one more for the components
+    clusters = stored(connected_components(stored(near_links(now, index, full), "near")), "clusters")
     ends = nodes.select("id", "first").join(now.select(F.col("id").alias("i"), "c"), F.col("id") == F.col("i")).join(clusters, F.col("id") == F.col("node")).select("id", "first", "c", F.col("component").alias("cluster"))
     more = stored(_alike_within(rows, stored(ends, "ends"), least, width, seed), "links")
     return own, placed(links.union(more)), clashing

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -165,3 +166,54 @@ def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
     docs = [(i, t) for i, t in enumerate(texts)] + [(20 + i, t) for i, t in enumerate(texts)] + [(40, texts[0][:-5] + "w9999")]
     kept = simhash.simhash_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == list(range(10))
+
+
+def _rows_of_joins(df):
+    """Runs df; the rows that each of its joins made."""
+    df.write.format("noop").mode("overwrite").save()
+    run = df._jdf.queryExecution()
+    rows = df.collect()
+    out, todo = [], [run.executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        todo += [p.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [p.plan()] if "QueryStage" in name else [p.children().apply(i) for i in range(p.children().size())]
+        if "Join" in name:
+            out.append(p.metrics().apply("numOutputRows").value())
+    return rows, out
+
+
+def test_rows_made_for_a_dense_group_follow_its_size(spark, monkeypatch):
+    """No join gives a row for each meeting of a large group's members with its entries: there are no more than members and visits."""
+    monkeypatch.setattr(simhash, "ENTRY", 4)
+    rng, base, n = random.Random(8), random.Random(9).getrandbits(64), 1000
+    fps = {base}
+    while len(fps) < n:
+        fps.add(base ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
+    signed = np.array(sorted(fps), "<u8").view("<i8").tolist()
+    links, joins = _rows_of_joins(simhash.near_links(spark.createDataFrame([(x, [x]) for x in signed], "id long, fp array<long>")))
+    assert len(forest(*np.array([tuple(r) for r in links]).T)[0]) == n - 1
+    assert max(joins, default=0) <= n * (3 + 64)
+
+
+@pytest.mark.parametrize("limits", [(1 << 16, 1 << 11, 1 << 16), (50, 10, 30), (50, 1 << 11, 1 << 16)])
+@pytest.mark.parametrize("apart", [False, True])
+def test_rows_of_a_key_meet_whatever_the_batches(monkeypatch, limits, apart):
+    for name, v in zip(("PAIRS", "LARGE", "WAITING"), limits, strict=True):
+        monkeypatch.setattr(simhash, name, v)
+    rng = random.Random(sum(limits))
+    rows = []
+    for key, (members, visitors) in enumerate([(1, 0), (0, 5), (1, 1), (7, 3), (60, 0), (40, 150), (3, 200), (1, 1), (90, 90)]):
+        for part in (0, 1):
+            bases = [rng.getrandbits(64) for _ in range(1 + key % 4)]
+            for k in range(members + visitors):
+                fp = rng.choice(bases) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64)
+                rows.append({"id": rng.randrange(-(2**62), 2**62), "c": rng.randrange(6), "f0": fp - (fp >> 63 << 64), "f1": -(1 << 63), "key": key, "part": part, "own": k < members})
+    want = [(x, y) for i, x in enumerate(rows) for y in rows[i + 1 :] if x["own"] and (x["key"], x["part"]) == (y["key"], y["part"])]
+    want = [(x["id"], y["id"]) for x, y in want if ((x["f0"] ^ y["f0"]) & (1 << 64) - 1).bit_count() <= 4 and (not apart or x["c"] != y["c"])]
+    names = [n for n in rows[0] if apart or n != "c"]
+    for size in (1, 7, 64, len(rows)):
+        table = pa.table({n: [r[n] for r in rows] for n in names})
+        got = [b.to_pydict() for b in simhash._meet(4)(iter(table.to_batches(max_chunksize=size)))]
+        a, b = (np.array([v for g in got for v in g[n]], np.int64) for n in "ab")
+        assert [v.tolist() for v in forest(a, b)] == [v.tolist() for v in forest(*np.array(want).T)]
