@@ -877,7 +877,8 @@ def mismatch_strings(spark, d):
 @query()
 def alignment_quality(spark, d):
     """Base qualities capped by the posteriors of a banded alignment; pytest compares them with all paths of short reads."""
-    return reference.alignment_qualities(sam_lineitem(spark, d), reference_orders(spark, d)).select("qname", "bq", "capped")
+    sam = sam_lineitem(spark, d).select("qname", "flag", "rname", "pos", "cigar", "seq", "qual")
+    return reference.alignment_qualities(sam, reference_orders(spark, d)).select("qname", "bq", "capped")
 
 
 @query(f"""WITH {SAM}, {OPS}, {REFERENCE},

@@ -1,13 +1,15 @@
 """Reads against the reference: its letters under each read, mismatch strings, and base qualities by alignment posteriors.
 
 The reference comes as pieces (name, at, seq), of any length that doesn't overlap. It is cut into tiles that reach a margin beyond
-their own letters, so a read meets one tile by an equi-join; a read longer than the margin meets all the tiles under it. Tiles are laid out under
-SALTS keys, so that the reads of one deep place are dealt to as many tasks.
+their own letters, so a read meets one tile by an equi-join; a read longer than the margin meets all the tiles under it. Tiles that reads meet are laid out under
+up to SALTS keys, so that the reads of one deep place are dealt to as many tasks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,39 +20,69 @@ from ..functions.columns import cigar_ops, has_flag, reference_length
 from .alignments import UNMAPPED
 
 TILE, MARGIN, SALTS = 1024, 1024, 8
+#: Tiles under a salt that the driver may hold the names of.
+MET = 1 << 16
 
 
-def tiles(pieces: DataFrame, tile: int = TILE, margin: int = MARGIN) -> DataFrame:
-    """(name, t, letters): the letters of [t * tile, (t + 1) * tile + margin) of each sequence, as far as there are any."""
+def _cut(pieces: DataFrame, tile: int, margin: int) -> DataFrame:
+    """(name, t, x): what each piece has of each tile that it reaches; x: where it begins, and its letters."""
     low = F.greatest(F.floor((F.col("at") - margin - tile) / tile) + 1, F.lit(0))
     parts = pieces.filter("seq <> ''").withColumn("t", F.explode(F.sequence(low, F.floor((F.col("at") + F.length("seq") - 1) / tile))))
     first = F.greatest(F.col("t") * tile - F.col("at"), F.lit(0))
     last = F.least((F.col("t") + 1) * tile + margin - F.col("at"), F.length("seq"))
-    cut = parts.filter(last > first).select("name", "t", F.struct((F.col("at") + first).alias("at"), F.substring("seq", (first + 1).cast("int"), (last - first).cast("int")).alias("s")).alias("x"))
-    return cut.groupBy("name", "t").agg(F.array_sort(F.collect_list("x")).alias("x")).select("name", "t", F.concat_ws("", "x.s").alias("letters"))
+    return parts.filter(last > first).select("name", "t", F.struct((F.col("at") + first).alias("at"), F.substring("seq", (first + 1).cast("int"), (last - first).cast("int")).alias("s")).alias("x"))
+
+
+def _glued(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("name", "t").agg(F.array_sort(F.collect_list("x")).alias("x")).select("name", "t", F.concat_ws("", "x.s").alias("letters"))
+
+
+def tiles(pieces: DataFrame, tile: int = TILE, margin: int = MARGIN) -> DataFrame:
+    """(name, t, letters): the letters of [t * tile, (t + 1) * tile + margin) of each sequence, as far as there are any."""
+    return _glued(_cut(pieces, tile, margin))
 
 
 def with_reference(sam: DataFrame, pieces: DataFrame, ahead: Column | int = 0, behind: Column | int = 0, tile: int = TILE, margin: int = MARGIN) -> DataFrame:
-    """Adds ref_at and ref: the letters under each alignment, from `ahead` letters before it to `behind` after it, as far as the reference goes. Null where there are none."""
+    """Adds ref_at and ref: the letters under each alignment, from `ahead` letters before it to `behind` after it, as far as the reference goes. Null where there are none.
+
+    A first pass over the reads tells which tiles they meet, under which salts; only those are laid out. Up to MET of them are known to the driver, so that pieces
+    off them are dropped where they lie; more are met by a join. The tiles are many times as large as what Spark estimates by the files, so they are not left to its choice of a broadcast.
+    """
     names = sam.columns
     ahead, behind = (F.lit(x) if isinstance(x, int) else x for x in (ahead, behind))
     end = F.col("pos").cast("long") + F.coalesce(reference_length(F.col("cigar")), F.lit(0)) + behind
     reads = sam.withColumns({"ref_at": F.greatest(F.col("pos").cast("long") - ahead, F.lit(0)), "_e": end, "_salt": F.pmod(F.xxhash64("qname", "pos"), F.lit(SALTS)).cast("int")})
     reads = reads.withColumn("_t", F.floor(F.col("ref_at") / tile))
-    own = tiles(pieces, tile, margin).select(F.col("name").alias("_n"), F.col("t").alias("_k"), "letters").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = (F.col("rname") == F.col("_n")) & (F.col("_t") == F.col("_k")) & (F.col("_salt") == F.col("_s"))
     fits = F.coalesce(F.col("_e") - F.col("_t") * tile <= tile + margin, F.lit(True))
+    under = F.when(fits, F.array("_t")).otherwise(F.sequence("_t", F.floor((F.col("_e") - 1) / tile)))
+    met = reads.filter("rname IS NOT NULL").select(F.col("rname").alias("_n"), F.explode(under).alias("_k"), F.col("_salt").alias("_s"), (~fits).alias("_long")).distinct()
+    rows = met.limit(MET + 1).collect()
+    few = len(rows) <= MET
+    if few:
+        met = sam.sparkSession.createDataFrame(rows, met.schema)
+    spots = met.select(F.col("_n").alias("name"), F.col("_k").alias("t")).distinct()
+    letters = _glued(_cut(pieces, tile, margin).join(F.broadcast(spots) if few else spots.hint("merge"), ["name", "t"], "left_semi"))
+    keys = met.select("_n", "_k", "_s").distinct()
+    own = letters.withColumnsRenamed({"name": "_n", "t": "_k"}).join(F.broadcast(keys) if few else keys.hint("merge"), ["_n", "_k"]).hint("merge")
+    on = (F.col("rname") == F.col("_n")) & (F.col("_t") == F.col("_k")) & (F.col("_salt") == F.col("_s"))
     at = (F.col("ref_at") - F.col("_t") * tile + 1).cast("int")
-    short = reads.filter(fits).join(own, met, "left").withColumn("ref", F.substring("letters", at, F.greatest(F.col("_e") - F.col("ref_at"), F.lit(0)).cast("int")))
-    long = reads.filter(~fits).withColumn("_t", F.explode(F.sequence("_t", F.floor((F.col("_e") - 1) / tile)))).join(own, met, "left")
-    part = F.substring("letters", F.greatest(at, F.lit(1)), F.least(F.col("_e") - F.greatest("ref_at", F.col("_t") * tile), F.least(F.lit(tile), (F.col("_t") + 1) * tile - F.col("ref_at"))).cast("int"))
-    several = long.groupBy(*names, "ref_at", "_e", "_salt").agg(F.array_sort(F.collect_list(F.when(F.col("letters").isNotNull(), F.struct("_t", part.alias("s"))))).alias("_x"), F.count_distinct("_t").alias("_tiles"), F.count("*").alias("_rows"))
-    whole = F.array_join(F.transform(F.array_distinct("_x"), lambda x: x["s"]), "")
-    several = several.withColumn("ref", F.when(F.size("_x") > 0, whole)).withColumn("_c", F.explode(F.sequence(F.lit(1), (F.col("_rows") / F.col("_tiles")).cast("int"))))
-    found = short.select(*names, "ref_at", "ref").union(several.select(*names, "ref_at", "ref"))
+    short = reads if few and not any(r["_long"] for r in rows) else reads.filter(fits)
+    found = short.join(own, on, "left").withColumn("ref", F.substring("letters", at, F.greatest(F.col("_e") - F.col("ref_at"), F.lit(0)).cast("int"))).select(*names, "ref_at", "ref")
+    if short is not reads:
+        long = reads.filter(~fits).withColumn("_t", F.explode(F.sequence("_t", F.floor((F.col("_e") - 1) / tile)))).join(own, on, "left")
+        part = F.substring("letters", F.greatest(at, F.lit(1)), F.least(F.col("_e") - F.greatest("ref_at", F.col("_t") * tile), F.least(F.lit(tile), (F.col("_t") + 1) * tile - F.col("ref_at"))).cast("int"))
+        several = long.groupBy(*names, "ref_at", "_e", "_salt").agg(F.array_sort(F.collect_list(F.when(F.col("letters").isNotNull(), F.struct("_t", part.alias("s"))))).alias("_x"), F.count_distinct("_t").alias("_tiles"), F.count("*").alias("_rows"))
+        whole = F.array_join(F.transform(F.array_distinct("_x"), lambda x: x["s"]), "")
+        several = several.withColumn("ref", F.when(F.size("_x") > 0, whole)).withColumn("_c", F.explode(F.sequence(F.lit(1), (F.col("_rows") / F.col("_tiles")).cast("int"))))
+        found = found.union(several.select(*names, "ref_at", "ref"))
     return found.withColumn("ref", F.nullif("ref", F.lit("")))
 
 
+@lru_cache(maxsize=8192)
+def _ops(cigar: str) -> list[tuple[int, str]]:
+    return [(int(n), op) for n, op in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)]
+
+
 def _same(read: Column, ref: Column) -> Column:
     """The read's letter says the reference's: equal known letters (in either case), or =."""
     a, b = F.upper(read), F.upper(ref)
@@ -109,90 +141,86 @@ def posteriors(refs: np.ndarray, sizes: np.ndarray, reads: np.ndarray, quals: np
     """For reads of one length against stretches of the reference: of each letter the likeliest place (state, from 0), whether as an insertion, and its posterior.
 
     refs (n, widest) and reads (n, length): codes 0-3, 4 unknown; sizes: letters of each stretch. Global in the read, local in the stretch: any place begins and ends it. Band: |i - k| at most
-    `bands` (raised to the difference of the lengths). All reads and all places of the band are one numpy step; a row's deletions follow from a scan along
-    it, by doubling.
+    `bands` (raised to the difference of the lengths). All reads and all places of the band are one numpy step, a place's reads side by side; a row's deletions follow from a scan along
+    the places.
     """
     n, length = reads.shape
     bands = np.minimum(np.maximum(sizes, length), bands)
     bands = np.maximum(bands, np.abs(sizes - length))
-    width = int(2 * bands.max() + 1)
-    error = np.power(10.0, -quals / 10.0)
+    most = int(bands.max())
+    width = 2 * most + 1
+    error = np.power(10.0, -quals / 10.0).T
     end = 1.0 / (2 * length + 2)
     mm, mg = (1 - 2 * OPEN) * (1 - end), OPEN * (1 - end)
     im, ii = (1 - EXTEND) * (1 - end), EXTEND * (1 - end)
     dm, dd = 1 - EXTEND, EXTEND
     begin_m, begin_i = (1 - OPEN) / sizes, OPEN / sizes
-    offset = np.arange(width) - int(bands.max())  # k - i of each column
-    rows = np.arange(n)[:, None]
-
-    def cells(i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places k (from 1) of the columns at read letter i (from 1), and which are in the band and the stretch."""
-        k = i + offset[None]
-        return np.broadcast_to(k, (n, width)), (k >= 1) & (k <= sizes[:, None]) & (np.abs(offset)[None] <= bands[:, None])
-
-    def emission(i: int, k: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        r = refs[rows, np.clip(k - 1, 0, refs.shape[1] - 1)]
-        q, e = reads[:, i - 1][:, None], error[:, i - 1][:, None]
-        return np.where(ok, np.where((r > 3) | (q > 3), 1.0, np.where(r == q, 1 - e, e * MISMATCH)), 0.0)
-
-    def right(x: np.ndarray) -> np.ndarray:  # the column before
-        out = np.zeros_like(x)
-        out[:, 1:] = x[:, :-1]
-        return out
-
-    def left(x: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(x)
-        out[:, :-1] = x[:, 1:]
-        return out
-
-    def decayed(x: np.ndarray, way) -> np.ndarray:
-        """y[c] = x[c] + EXTEND * y[c before]: all earlier x, each less by EXTEND a column."""
-        step, factor = 1, dd
-        while step < width:
-            moved = np.zeros_like(x)
-            if way is right:
-                moved[:, step:] = x[:, :-step]
-            else:
-                moved[:, :-step] = x[:, step:]
-            x = x + factor * moved
-            step, factor = 2 * step, factor * factor
-        return x
-
-    fm, fi, fd = (np.zeros((length + 1, n, width)) for _ in range(3))
-    scale = np.ones((length + 2, n))
+    # column c of letter i (from 1) is place k = i + c - most (from 1): rows i - 1 + c of the stretches with a margin; 5 is beyond them
+    codes = np.full((length + width, n), 5, np.int8)
+    at = min(refs.shape[1], length + width - most)
+    codes[most : most + at] = np.where(np.arange(at)[:, None] < sizes, refs.T[:at], 5)
+    inside, unknown = (codes < 5).astype(float), bool((codes == 4).any())
+    near = None if (bands == most).all() else (np.abs(np.arange(width) - most)[:, None] <= bands).astype(float)
+
+    def okay(i: int) -> np.ndarray:
+        """1 for the places that are in the band and the stretch, else 0."""
+        own = inside[i - 1 : i - 1 + width]
+        return own if near is None else own * near
+
+    def emission(i: int, ok: np.ndarray) -> np.ndarray:
+        r, q, e = codes[i - 1 : i - 1 + width], reads[:, i - 1], error[i - 1]
+        out = np.where(r == q.astype(np.int8), np.where(q > 3, 1.0, 1 - e), np.where(q > 3, 1.0, e * MISMATCH))
+        if unknown:
+            out[r == 4] = 1.0
+        return out * ok
+
+    fm, fi, es = (np.zeros((length + 1, width, n)) for _ in range(3))
+    fd, scale = np.zeros((width, n)), np.ones((length + 2, n))
     for i in range(1, length + 1):
-        k, ok = cells(i)
-        e = emission(i, k, ok)
+        ok = okay(i)
+        es[i] = e = emission(i, ok)
+        m, ins, d = fm[i], fi[i], np.zeros((width, n))
         if i == 1:
-            m, ins, d = e * begin_m[:, None], np.where(ok, INSERTED * begin_i[:, None], 0.0), np.zeros((n, width))
+            np.multiply(e, begin_m, out=m)
+            np.multiply(ok, INSERTED * begin_i, out=ins)
         else:
             # along a column k - i stays: a match comes from the same column, an insertion from the one after
-            m = e * (mm * fm[i - 1] + im * fi[i - 1] + dm * fd[i - 1])
-            ins = np.where(ok, INSERTED * (mg * left(fm[i - 1]) + ii * left(fi[i - 1])), 0.0)
-            d = np.where(ok, decayed(np.where(ok, right(mg * m), 0.0), right), 0.0)
-        total = (m + ins + d).sum(axis=1)
+            np.multiply(e, mm * fm[i - 1] + im * fi[i - 1] + dm * fd, out=m)
+            ins[:-1] = INSERTED * (mg * fm[i - 1, 1:] + ii * fi[i - 1, 1:]) * ok[:-1]
+            for c in range(1, width):
+                d[c] = mg * m[c - 1] + dd * d[c - 1]
+            d *= ok
+        total = m.sum(axis=0) + ins.sum(axis=0) + d.sum(axis=0)
         scale[i] = total
-        fm[i], fi[i], fd[i] = m / total[:, None], ins / total[:, None], d / total[:, None]
-    scale[length + 1] = ((fm[length] + fi[length]) * end).sum(axis=1)
+        m /= total
+        ins /= total
+        fd = d / total
+    scale[length + 1] = ((fm[length] + fi[length]) * end).sum(axis=0)
     state, inserted, best = (np.zeros((n, length), t) for t in (np.int64, bool, float))
-    bm = bi = bd = None
+    bm = bi = None
     for i in range(length, 0, -1):
-        k, ok = cells(i)
+        ok = okay(i)
         if i == length:
-            bm = bi = np.where(ok, end / scale[length][:, None] / scale[length + 1][:, None], 0.0)
-            bd = np.zeros((n, width))
+            bm = bi = ok * (end / scale[length] / scale[length + 1])
         else:
-            e = emission(i + 1, k + 1, ok & (k + 1 <= sizes[:, None])) * bm
-            after = right(bi)
-            d = np.where(ok, decayed(np.where(ok, e * dm, 0.0), left), 0.0) if i > 1 else np.zeros((n, width))
-            m = np.where(ok, e * mm + INSERTED * mg * after + mg * left(d), 0.0)
-            ins = np.where(ok, e * im + INSERTED * ii * after, 0.0)
-            bm, bi, bd = m / scale[i][:, None], ins / scale[i][:, None], d
+            e = es[i + 1] * bm * ok
+            m, ins, d = e * mm, e * im, np.zeros((width, n))
+            if i > 1:
+                d[-1] = dm * e[-1]
+                for c in range(width - 2, -1, -1):
+                    d[c] = dm * e[c] + dd * d[c + 1]
+                m[:-1] += mg * d[1:] * ok[1:]
+            m[1:] += INSERTED * mg * bi[:-1]
+            ins[1:] += INSERTED * ii * bi[:-1]
+            bm, bi = m * ok / scale[i], ins * ok / scale[i]
         zm, zi = fm[i] * bm, fi[i] * bi
-        both = np.stack([zm, zi], axis=2).reshape(n, -1)
-        top = both.argmax(axis=1)
-        state[:, i - 1], inserted[:, i - 1] = i + offset[top // 2] - 1, top % 2 == 1
-        best[:, i - 1] = both[np.arange(n), top] / both.sum(axis=1)
+        top, place = np.maximum(zm[0], zi[0]), np.zeros(n, np.int64)
+        for c in range(1, width):
+            now = np.maximum(zm[c], zi[c])
+            place[now > top] = c
+            np.maximum(top, now, out=top)
+        state[:, i - 1], inserted[:, i - 1] = i - 1 + place - most, zi[place, np.arange(n)] > zm[place, np.arange(n)]
+        best[:, i - 1] = top / (zm.sum(axis=0) + zi.sum(axis=0))
     return state, inserted, best
 
 
@@ -253,19 +281,16 @@ def alignment_qualities(sam: DataFrame, pieces: DataFrame, extended: bool = Fals
     unknown references have null. A certain place counts as 99. Reads of one length are aligned side by side; memory follows the longest read times its band.
     """
     room = F.coalesce(F.length("seq"), F.lit(0)) + F.coalesce(reference_length(F.col("cigar")), F.lit(0)) + 8
-    with_ops = with_reference(sam, pieces, room, room).withColumn("ops_", cigar_ops(F.col("cigar")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sam.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             todo: dict[int, list] = {}
-            columns = {c: batch.column(c).to_pylist() for c in ("flag", "pos", "seq", "qual", "ref_at", "ref", "ops_")}
-            for i in range(n):
-                flag, pos, seq, qual, at, ref, ops = (columns[c][i] for c in ("flag", "pos", "seq", "qual", "ref_at", "ref", "ops_"))
-                if flag is None or flag & UNMAPPED or not seq or not qual or len(seq) != len(qual) or not ref or not ops:
+            columns = {c: batch.column(c).to_pylist() for c in ("flag", "pos", "cigar", "seq", "qual", "ref_at", "ref")}
+            for i, (flag, pos, cigar, seq, qual, at, ref) in enumerate(zip(*columns.values(), strict=True)):
+                if flag is None or flag & UNMAPPED or not seq or not qual or len(seq) != len(qual) or not ref or not cigar or not (ops := _ops(cigar)):
                     continue
-                ops = [(o["n"], o["op"]) for o in ops]
                 if (w := _window(ops, pos, len(seq))) is None:
                     continue
                 stretch = ref[w[0] - at : w[1] - at]
@@ -291,8 +316,8 @@ def alignment_qualities(sam: DataFrame, pieces: DataFrame, extended: bool = Fals
                         left = _capped(ops, pos, begin, state[j], inserted[j], q[j], base[j], extended)
                         tags[i] = bytes((base[j] - left + 64).astype(np.uint8)).decode("latin-1")
                         quals[i] = bytes((left + 33).astype(np.uint8)).decode("latin-1")
-            own = [batch.column(c) for c in batch.schema.names if c not in ("ref_at", "ref", "ops_")]
-            names = [c for c in batch.schema.names if c not in ("ref_at", "ref", "ops_")]
+            own = [batch.column(c) for c in batch.schema.names if c not in ("ref_at", "ref")]
+            names = [c for c in batch.schema.names if c not in ("ref_at", "ref")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(tags, pa.string()), pa.array(quals, pa.string())], [*names, "bq", "capped"])
 
-    return with_ops.mapInArrow(run, f"{fields}, bq string, capped string")
+    return with_reference(sam, pieces, room, room).mapInArrow(run, f"{fields}, bq string, capped string")

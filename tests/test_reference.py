@@ -89,6 +89,22 @@ def test_with_reference(spark):
             assert r.ref_at == max(0, r.pos - 5) and r.ref == seq[r.ref_at : r.pos + int(r.cigar[:-1]) + 9]
 
 
+def test_tiles_are_not_broadcast(spark):
+    """Files may be small beside the tiles made of them."""
+    pieces = spark.range(400).selectExpr("CAST(char(97 + id DIV 1000) AS string) AS name", "id * 50 AS at", "repeat('ACGTA', 10) AS seq")
+    reads = [(f"q{i}", 0, "a", 2000 + i % 7, 0, "60M", "A" * 60, "I" * 60) for i in range(100)] + [("long", 0, "a", 5, 0, "3000M", "A", "I")]
+    for sam in (reads[:-1], reads):
+        found = with_reference(spark.createDataFrame(sam, SAM), pieces, tile=1024, margin=1024)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [rname" not in plan and "SortMergeJoin [rname" in plan
+        assert len(found.filter("ref = substring(repeat('ACGTA', 4000), pos + 1, length(ref))").collect()) == len(sam)
+
+
+def test_reads_that_meet_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(reference, "MET", 3)
+    test_with_reference(spark)
+
+
 def _enumerated(ref, read, qual):
     """Weights of all paths, by (letter, place, kind)."""
     L, n = len(ref), len(read)
