@@ -871,7 +871,8 @@ nm AS (SELECT qname, sum(CASE WHEN op = 'I' OR op = 'D' AND NOT beyond THEN n EL
 SELECT qname, md, (gaps + mm)::INT AS nm FROM md JOIN nm USING (qname) JOIN mm USING (qname)""")
 def mismatch_strings(spark, d):
     """Mismatch strings and edit distances of alignments."""
-    return reference.mismatches(sam_lineitem(spark, d), reference_orders(spark, d)).filter("md IS NOT NULL").select("qname", "md", "nm")
+    sam = sam_lineitem(spark, d).filter(~fx.has_flag(F.col("flag"), alignments.UNMAPPED)).select("qname", "flag", "rname", "pos", "cigar", "seq")
+    return reference.mismatches(sam, reference_orders(spark, d)).filter("md IS NOT NULL").select("qname", "md", "nm")
 
 
 @query()

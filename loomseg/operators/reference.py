@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cigar_ops, has_flag, reference_length
+from ..functions.columns import reference_length
 from .alignments import UNMAPPED
 
 TILE, MARGIN, SALTS = 1024, 1024, 8
@@ -78,15 +79,46 @@ def with_reference(sam: DataFrame, pieces: DataFrame, ahead: Column | int = 0, b
     return found.withColumn("ref", F.nullif("ref", F.lit("")))
 
 
+#: Letters that agree with the same one in either case.
+KNOWN = frozenset("ACMGRSVTWYHKDBacmgrsvtwyhkdb")
+
+
 @lru_cache(maxsize=8192)
 def _ops(cigar: str) -> list[tuple[int, str]]:
     return [(int(n), op) for n, op in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)]
 
 
-def _same(read: Column, ref: Column) -> Column:
-    """The read's letter says the reference's: equal known letters (in either case), or =."""
-    a, b = F.upper(read), F.upper(ref)
-    return (read == "=") | ((a == b) & a.rlike("^[ACMGRSVTWYHKDB]$"))
+def _mismatch(ops: list[tuple[int, str]], seq: str | None, ref: str) -> tuple[str | None, int | None, str | None]:
+    """(md, nm, equal_seq) of one read that begins with the reference's letters; without a sequence what needs one is None."""
+    x = y = u = nm = 0
+    md, shown, over = [], [], False
+    for n, op in ops:
+        if op in "M=X" and not over:
+            if seq is None:
+                return None, None, None
+            over = x + n > len(ref)
+            here, read = ref[x : x + n], seq[y : y + n]
+            for r, f in zip_longest(read[: len(here)], here):
+                if r == "=" or f == "=" or r is not None and r in KNOWN and r.upper() == f.upper():
+                    u += 1
+                    shown.append("=")
+                else:
+                    md += (str(u), f)
+                    u, nm = 0, nm + 1
+                    shown.append(r or "")
+            shown.append(read[len(here) :])
+            x, y = x + n, y + n
+        elif op in "MIS=X":
+            shown.append(None if seq is None else seq[y : y + n])
+            nm += n if op == "I" and not over else 0
+            y += n
+        elif op == "D" and not over:
+            over = x + n > len(ref)
+            md += (str(u), "^", ref[x : x + n])
+            u, nm, x = 0, nm + (0 if over else n), x + n
+        elif op == "N" and not over:
+            x += n
+    return "".join([*md, str(u)]), nm, None if None in shown else "".join(shown)
 
 
 def mismatches(sam: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -96,34 +128,17 @@ def mismatches(sam: DataFrame, pieces: DataFrame) -> DataFrame:
     letters. An operation that reaches beyond the reference ends the string after the last letter there; what follows does not count, nor does a deletion that reaches beyond. The exact forms
     of a match count as matches. Nothing is known on unknown references and of reads that begin beyond the end: null.
     """
-    start = F.struct(F.lit(1).alias("x"), F.lit(1).alias("y"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("tokens"), F.lit(0).alias("nm"), F.lit("").alias("seq"))
-    letters = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
-
-    def step(acc, o):
-        n, op = o["n"], o["op"]
-        match, deleted, skipped, inserted, clipped = op.isin("M", "=", "X"), op == "D", op == "N", op == "I", op == "S"
-        beyond = (match | deleted) & (acc["x"] + n - 1 > F.length("ref"))
-        upto = F.least(n, F.greatest(F.length("ref") - acc["x"] + 1, F.lit(0)))
-        here, read = F.substring("ref", acc["x"], upto), F.substring("seq", acc["y"], upto)
-        tokens = F.zip_with(letters(read), letters(here), lambda r, f: F.when(_same(r, f), "=").otherwise(f))
-        own = F.when(match, tokens).when(deleted, F.array(F.concat(F.lit("^"), here))).otherwise(F.array().cast("array<string>"))
-        more = F.when(match, F.size(F.filter(tokens, lambda t: t != "="))).when((deleted & ~beyond) | inserted, n).otherwise(0)
-        shown = F.when(match, F.concat(F.array_join(F.zip_with(letters(read), tokens, lambda r, t: F.when(t == "=", t).otherwise(r)), ""), F.substring("seq", acc["y"] + upto, n - upto))).when(inserted | clipped, F.substring("seq", acc["y"], n)).otherwise("")
-        next_ = F.struct(
-            (acc["x"] + F.when(match | deleted | skipped, n).otherwise(0)).alias("x"), (acc["y"] + F.when(match | inserted | clipped, n).otherwise(0)).alias("y"), beyond.alias("over"),
-            F.concat(acc["tokens"], own).alias("tokens"), (acc["nm"] + more).alias("nm"), F.concat(acc["seq"], shown).alias("seq"),
-        )
-        rest = F.struct(acc["x"], (acc["y"] + F.when(match | inserted | clipped, n).otherwise(0)).alias("y"), acc["over"], acc["tokens"], acc["nm"], F.concat(acc["seq"], F.when(match | inserted | clipped, F.substring("seq", acc["y"], n)).otherwise("")).alias("seq"))
-        return F.when(acc["over"], rest).otherwise(next_)
-
-    known = F.col("ref").isNotNull() & ~has_flag(F.col("flag"), UNMAPPED)
-    found = with_reference(sam, pieces).withColumn("_a", F.when(known, F.aggregate(cigar_ops(F.col("cigar")), start, step)))
-    runs = F.aggregate(
-        F.col("_a.tokens"), F.struct(F.lit(0).alias("u"), F.lit("").alias("out")),
-        lambda a, t: F.when(t == "=", F.struct((a["u"] + 1).alias("u"), a["out"].alias("out"))).otherwise(F.struct(F.lit(0).alias("u"), F.concat(a["out"], a["u"].cast("string"), t).alias("out"))),
-        lambda a: F.concat(a["out"], a["u"].cast("string")),
-    )
-    return found.select(*sam.columns, runs.alias("md"), F.col("_a.nm").alias("nm"), F.col("_a.seq").alias("equal_seq"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sam.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("flag", "cigar", "seq", "ref"))
+            found = [(None, None, None) if flag is None or flag & UNMAPPED or cigar is None or ref is None else _mismatch(_ops(cigar), seq, ref) for flag, cigar, seq, ref in zip(*columns, strict=True)]
+            own = [c for c in batch.schema.names if c not in ("ref_at", "ref")]
+            new = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *new], [*own, "md", "nm", "equal_seq"])
+
+    return with_reference(sam, pieces).mapInArrow(run, f"{fields}, md string, nm int, equal_seq string")
 
 
 # base alignment quality

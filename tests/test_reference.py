@@ -79,6 +79,19 @@ def test_mismatches(spark, monkeypatch, tile, margin):
     assert sorted((r.qname, r.md, r.nm, r.equal_seq) for r in got) == sorted(((r[0], *_md(r, refs)) for r in reads), key=str)
 
 
+def test_mismatches_run_read_by_read_beside_the_join(spark):
+    """No fold over letters in the plan: it took most of the time."""
+    refs = {"a": "ACGTACGTAC"}
+    pieces = spark.createDataFrame([("a", 0, refs["a"])], "name string, at long, seq string")
+    reads = [("q1", 0, "a", 2, 30, "2M1D3M2S", "GTCGAAA", "IIIIIII"), ("q2", 4, "a", 2, 30, "2M", "GT", "II"), ("q3", 0, "a", 8, 30, "4M", "ACGT", "IIII"), ("q4", 0, "a", 3, 30, "3M", "T=G", "III")]
+    found = mismatches(spark.createDataFrame(reads, SAM), pieces)
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[0]
+    got = {r.qname: (r.md, r.nm, r.equal_seq) for r in found.collect()}
+    assert got == {r[0]: _md(r, refs) for r in reads} and got["q3"] == ("2", 0, "==GT")
+    noseq = reference._mismatch([(2, "D"), (3, "S")], None, "ACGT"), reference._mismatch([(2, "M")], None, "ACGT")
+    assert noseq == (("0^AC0", 2, None), (None, None, None))
+
+
 def test_with_reference(spark):
     seq = "".join(random.Random(3).choice("ACGT") for _ in range(500))
     pieces = spark.createDataFrame([("a", i, seq[i : i + 50]) for i in range(0, 500, 50)], "name string, at long, seq string")
