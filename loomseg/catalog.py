@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -485,11 +486,11 @@ def viterbi_3s(spark, d):
 
 
 def _step_rows(spark, step: tuple, n: int) -> DataFrame:
-    """Parameters after one training step, by name."""
+    """Parameters after one training step, by name; null if there were no bins."""
     model, total = step
     rows = [(f"p{i}{j}", v) for i, e in enumerate(model.emissions) for j, v in enumerate(e.params)]
     rows += [(f"t{i}{j}", float(model.trans[i, j])) for i in range(n) for j in range(n)]
-    return spark.createDataFrame([(k, round(float(v), 7)) for k, v in rows], "name string, value double")
+    return spark.createDataFrame([(k, None if math.isnan(v) else round(float(v), 7)) for k, v in rows], "name string, value double")
 
 
 def _step_sql(params: list[tuple[str, str]], n: int, less) -> str:

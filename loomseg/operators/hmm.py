@@ -383,7 +383,8 @@ def decode(bins: DataFrame, model: Model, k: str = "reads", posterior: bool = Fa
 def expectations(bins: DataFrame, model: Model, k: str, pair: tuple[str, str] | None) -> tuple[np.ndarray, list[Weighted], float]:
     """One E pass: expected transitions, per state the distinct values with summed posteriors, and the log-likelihood.
 
-    Each chunk sends sums per distinct value; they are added up on the executors before the driver takes them.
+    Each chunk sends sums per distinct value; they are added up on the executors before the driver takes them. Without bins there is neither
+    a transition nor a value, and the log-likelihood is nan.
     """
     n = model.n
     values = [*dict.fromkeys([k, "scale", *(pair or ())])]
@@ -406,7 +407,7 @@ def expectations(bins: DataFrame, model: Model, k: str, pair: tuple[str, str] |
     body = got[got.kind == 0].sort_values(values)
     arrays = {v: body[v].to_numpy(float) for v in values}
     weighted = [Weighted(arrays[k], arrays["scale"], body[f"g{i}"].to_numpy(float), *([arrays[pair[0]], arrays[pair[1]]] if pair else [])) for i in range(n)]
-    return head[:-1].reshape(n, n), weighted, float(head[-1])
+    return (head[:-1].reshape(n, n), weighted, float(head[-1])) if len(head) else (np.zeros((n, n)), weighted, np.nan)
 
 
 def _ordered(m: Model) -> Model:
@@ -437,8 +438,10 @@ def transitions(model: Model, moves: np.ndarray, pair: bool) -> np.ndarray:
 
 
 def em_step(bins: DataFrame, model: Model, k: str = "reads", pair: tuple[str, str] | None = None) -> tuple[Model, float]:
-    """One Baum-Welch step: the refitted model, and the log-likelihood under the given one. Start and end probabilities are kept."""
+    """One Baum-Welch step: the refitted model, and the log-likelihood under the given one. Start and end probabilities are kept. What no bins are there for is nan."""
     moves, weighted, total = expectations(bins, model, k, pair)
+    if np.isnan(total):
+        return Model([type(d)([np.nan] * len(d.params)) for d in model.emissions], model.start, np.full_like(model.trans, np.nan), model.end), total
     return Model([d.fitted(w) for d, w in zip(model.emissions, weighted, strict=True)], model.start, transitions(model, moves, pair is not None), model.end), total
 
 
@@ -449,12 +452,14 @@ def baum_welch(
 
     Two states: ends as soon as the likelihood gains less than `tolerance`; of that last step the emissions are kept and the transitions are
     not. Three states: ends when it changes less, or falls, and keeps the whole step. States are ordered by mean where samples are
-    compared; with order_states, in one sample too.
+    compared; with order_states, in one sample too. Without bins the model stays as it is.
     bins is chunked() and persisted by the caller, so an iteration shuffles one row a chunk and the sums.
     """
     history: list[float] = []
     for _ in range(most):
         new, total = em_step(bins, model, k, pair)
+        if np.isnan(total):
+            break
         gain = (total - history[-1]) / abs(history[-1]) if history else np.inf
         if model.n == 3:
             new = _ordered(new)

@@ -79,3 +79,11 @@ def test_expectations(spark, monkeypatch, n):
 def test_no_bins(spark):
     empty = _bins(spark).limit(0)
     assert hmm.decode(empty, MODELS[2]).count() == 0
+
+
+def test_training_without_bins(spark):
+    none = hmm.chunked(_bins(spark).limit(0).withColumns({"a": F.col("reads"), "b": F.col("reads")}))
+    for n, model in MODELS.items():
+        assert hmm.baum_welch(none, model) == (model, [])
+        step, total = hmm.em_step(none, model)
+        assert np.isnan(total) and np.isnan(step.trans).all() and all(np.isnan(d.params).all() and type(d) is type(e) for d, e in zip(step.emissions, model.emissions, strict=True))
