@@ -405,7 +405,9 @@ def _decoded(spark, d, posterior: bool = False) -> DataFrame:
 
 @query(f"WITH RECURSIVE {SCALED} SELECT round(sum(c + ln(a0 + a1) + ln(1e-10)), 4) AS ll FROM f WHERE t = len")
 def forward_ll(spark, d):
-    return spark.createDataFrame([(round(hmm.expectations(ev_regions(spark, d), TWO, "reads", None)[2], 4),)], "ll double")
+    """Null if there are no bins."""
+    total = hmm.expectations(ev_regions(spark, d), TWO, "reads", None)[2]
+    return spark.createDataFrame([(None if math.isnan(total) else round(total, 4),)], "ll double")
 
 
 @query(f"WITH RECURSIVE {SCALED} SELECT chrom, bin, round(p0, 6) AS p FROM post")

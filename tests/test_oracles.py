@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 #: Queries of regions that are to give what SQL gives where dead stretches leave no bin.
-NO_BINS = ["em_step_single"]
+NO_BINS = ["em_step_single", "forward_ll"]
 
 
 @pytest.mark.parametrize("name", NO_BINS)
