@@ -904,7 +904,7 @@ alts AS (SELECT rname, p, string_agg(CASE WHEN unseen THEN 'X' ELSE substr('ACGT
 SELECT rname, p AS pos, ref, alts, depth, all_depth, pl FROM ref JOIN pl USING (rname, p) JOIN alts USING (rname, p) JOIN deep USING (rname, p)""")
 def genotype_likelihoods(spark, d):
     """Alleles and scaled likelihoods of their genotypes at each position."""
-    found = calling.genotype_likelihoods(calling.base_counts(sam_lineitem(spark, d)), reference_orders(spark, d))
+    found = calling.genotypes(sam_lineitem(spark, d), reference_orders(spark, d))
     return found.select("rname", "pos", "ref", "alts", "depth", "all_depth", F.array_join(F.col("pl").cast("array<string>"), ",").alias("pl"))
 
 

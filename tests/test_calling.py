@@ -79,5 +79,39 @@ def test_counts_and_calls(spark):
     assert genotype_likelihoods(base_counts(sam.limit(0)), pieces).count() == 0
 
 
+def test_places_and_depths_make_no_difference(spark, monkeypatch):
+    rng = random.Random(4)
+    cigars = ["9M", "3M2D4M2S", "2S5M3N2M", "4M1I2M1D2M", "2H9M"]
+    reads = [(f"r{i}", rng.choice([0, 16, 4]), rng.choice(["c", "d", None]), rng.choice([3, 3, 5, 30, 61, None]), rng.choice([5, 40, 255, None]), rng.choice(cigars), "".join(rng.choice("ACGTN=a") for _ in range(9)), "".join(rng.choice("#5?I") for _ in range(9)), rng.choice("xy")) for i in range(300)]
+    sam = spark.createDataFrame(reads, SAM)
+    pieces = spark.createDataFrame([("c", 0, "ACGTN" * 10), ("d", 0, "GATTACA" * 12)], "name string, at long, seq string")
+    ordered = lambda rows: sorted(rows, key=str)
+    counts = ordered(base_counts(sam, sample="who").collect())
+    calls = ordered(genotype_likelihoods(base_counts(sam, sample="who"), pieces).collect())
+    assert sum(r.n for r in counts) > 1000 and any(r.pos is None for r in counts)
+    for place, deep, met in ((4, 1 << 22, 1 << 16), (8, 20, 2)):
+        for k, v in (("PLACE", place), ("DEEP", deep), ("MET", met), ("AT_ONCE", 40)):
+            monkeypatch.setattr(calling, k, v)
+        assert ordered(base_counts(sam, sample="who").collect()) == counts
+        assert ordered(calling.genotypes(sam, pieces, sample="who").collect()) == calls
+
+
+def test_deep_positions_share_their_costs(monkeypatch):
+    """A table for each number of bases and quality, not for each position."""
+    rng = np.random.default_rng(5)
+    units, cells = 300, 60
+    unit = np.repeat(np.arange(units), cells)
+    base, q, strand = (np.tile(x, units) for x in np.unravel_index(rng.choice(5 * 37 * 2, cells, replace=False), (5, 37, 2)))
+    n, made, whole = rng.integers(3, 6, units * cells), [], calling._costs
+    monkeypatch.setattr(calling, "_costs", lambda q, n: made.append(len(n)) or whole(q, n))
+    own, cost = calling._sums(unit, units, base, q + 4, strand, n)
+    assert sum(made) == len(set(zip(np.bincount(unit, n)[unit].tolist(), q.tolist()))) < units * 37
+    p = calling._genotypes(own, cost)
+    for u in (0, 299):
+        at = unit == u
+        bases = [x for b, y, s, m in zip(base[at], q[at] + 4, strand[at], n[at]) for x in [(b, y, s)] * m]
+        assert p[u] == pytest.approx(_formula(bases), rel=1e-6, abs=1e-6)
+
+
 def test_code_of_bases_is_fixed():
     assert calling.BASES == "ACGT"
