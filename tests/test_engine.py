@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomseg.functions import columns as fx
 from loomseg.functions.distributions import Weighted, log_bessel_i, make
-from loomseg.operators import binning, boundaries, domains, hmm, kmers
+from loomseg.operators import binning, boundaries, domains, hmm, intervals, kmers
 from loomseg.plans import segment
 from loomseg.sources import bam, sinks, text
 
@@ -248,3 +248,27 @@ def test_ranges_of_an_ordered_column(spark, monkeypatch):
     want = dict(zip(np.sort(x), np.cumsum(np.sort(x)), strict=True))
     assert got == {k: pytest.approx(v) for k, v in want.items()}
     assert stats.percentile_cutoff(spark.createDataFrame([(1.0,)] * 50, "x double"), "x") == 1.0
+
+
+def test_equal_spans_meet_once(spark, monkeypatch):
+    """Rows of joins made of lists and counts of equal spans, with nulls, long lists and no other column; before the last projection there are no more rows than pairs of spans."""
+    monkeypatch.setattr(intervals, "LISTED", 4)
+    schema = "id long, chrom string, start long, end long, tag string"
+    rows = [(i % 7 or None, "xy"[i % 2] if i % 11 else None, (i * 3) % 13, (i * 3) % 13 + i % 5, "t" if i % 3 else None) for i in range(90)]
+    a, b = rows[:50], rows[30:]
+    same = lambda got, want: sorted(map(str, got)) == sorted(map(str, want))
+    hit = [(x, y) for x in a for y in b if x[1] and x[1] == y[1] and x[3] > x[2] and y[3] > y[2] and x[2] < y[3] and y[2] < x[3]]
+    x, y = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    assert same([(tuple(r.a), tuple(r.b)) for r in intervals.overlap_join(x, y, 4).collect()], hit)
+    assert same([(r.a[0], r.b[0]) for r in intervals.overlap_join(x.drop("tag"), y.drop("tag"), 4).collect()], [(p[0], q[0]) for p, q in hit])
+    assert same([(tuple(r.a), tuple(r.b)) for r in intervals.overlap_join(x.drop("tag", "id"), y.drop("tag", "id"), 4).collect()], [(p[1:4], q[1:4]) for p, q in hit])
+    assert same([tuple(r) for r in intervals.intersect(x, y, 4).collect()], [(p[1], max(p[2], q[2]), min(p[3], q[3])) for p, q in hit])
+    lies = [(p, q) for p in a for q in b if p[1] and p[1] == q[1] and q[2] <= p[2] < q[3]]
+    for f in (x, x.drop("tag", "end"), x.select("chrom", "start")):
+        of = [schema.split(", ").index(next(c for c in schema.split(", ") if c.startswith(n + " "))) for n in f.columns]
+        assert same([(tuple(r.x), r.big.id) for r in intervals.assign(f, y, 4).collect()], [(tuple(p[i] for i in of), q[0]) for p, q in lies])
+    many = spark.range(300).selectExpr("id", "'x' AS chrom", "0L AS start", "9L AS end")
+    met = intervals._overlapping(*(intervals._listed(many, intervals.SPAN, n) for n in "ab"), 4)
+    monkeypatch.setattr(intervals, "LISTED", 1 << 16)
+    assert met.count() > 1 and intervals._overlapping(*(intervals._listed(many, intervals.SPAN, n) for n in "ab"), 4).count() == 1
+    assert intervals.overlap_join(many, many, 4).count() == 90_000
