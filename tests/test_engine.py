@@ -253,6 +253,7 @@ def test_ranges_of_an_ordered_column(spark, monkeypatch):
 def test_equal_spans_meet_once(spark, monkeypatch):
     """Rows of joins made of lists and counts of equal spans, with nulls, long lists and no other column; before the last projection there are no more rows than pairs of spans."""
     monkeypatch.setattr(intervals, "LISTED", 4)
+    monkeypatch.setattr(intervals, "COPIES", 3)
     schema = "id long, chrom string, start long, end long, tag string"
     rows = [(i % 7 or None, "xy"[i % 2] if i % 11 else None, (i * 3) % 13, (i * 3) % 13 + i % 5, "t" if i % 3 else None) for i in range(90)]
     a, b = rows[:50], rows[30:]
