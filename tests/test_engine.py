@@ -268,8 +268,11 @@ def test_equal_spans_meet_once(spark, monkeypatch):
     for f in (x, x.drop("tag", "end"), x.select("chrom", "start")):
         of = [schema.split(", ").index(next(c for c in schema.split(", ") if c.startswith(n + " "))) for n in f.columns]
         assert same([(tuple(r.x), r.big.id) for r in intervals.assign(f, y, 4).collect()], [(tuple(p[i] for i in of), q[0]) for p, q in lies])
-    many = spark.range(300).selectExpr("id", "'x' AS chrom", "0L AS start", "9L AS end")
-    met = intervals._overlapping(*(intervals._listed(many, intervals.SPAN, n) for n in "ab"), 4)
+    many = spark.range(300).selectExpr("id", "CAST(char(120 + id DIV 1000) AS string) AS chrom", "id DIV 1000 AS start", "9L + id DIV 1000 AS end")
+    listed = lambda: [intervals._listed(many, intervals.SPAN, n, intervals._under("start", "end", 16)) for n in "ab"]
+    met = intervals._overlapping(*listed(), 16)
+    assert met.count() > 1
     monkeypatch.setattr(intervals, "LISTED", 1 << 16)
-    assert met.count() > 1 and intervals._overlapping(*(intervals._listed(many, intervals.SPAN, n) for n in "ab"), 4).count() == 1
+    met = intervals._overlapping(*listed(), 16)
+    assert met.count() == 1 and met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # rows are dealt once
     assert intervals.overlap_join(many, many, 4).count() == 90_000
